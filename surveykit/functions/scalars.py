@@ -46,8 +46,13 @@ def stop_number(event: str | Column) -> Column:
     return F.get(F.split(_col(event), "-"), F.lit(2))
 
 
+def ratio(num: str | Column, den: str | Column) -> Column:
+    """Quotient as a double; null instead of an error where the divisor is 0."""
+    return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
+
+
 def proportion(num: str | Column, den: str | Column) -> Column:
-    return _col(num).cast("double") / F.nullif(_col(den).cast("double"), F.lit(0.0))
+    return ratio(num, den)
 
 
 def repeat_visits(col: str | Column, n: int = 4) -> Column:
@@ -101,7 +106,7 @@ def plogis(lp: str | Column) -> Column:
 
 def logit(p: str | Column) -> Column:
     p = _col(p)
-    return F.log(p / (F.lit(1.0) - p))
+    return F.log(ratio(p, F.lit(1.0) - p))
 
 
 def linear(coefs: Sequence[Column], terms: Sequence[Column]) -> Column:

@@ -6,17 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import ratio
 from .joins import null_safe_join
 from .order_stats import frequencies, quantiles, value_ranks
 
 
-def factor_code(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    """Integer code of each text value in byte order, from 1; a missing value is the text ``NA``."""
+def factor_code(df: DataFrame, col: str, name: str | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """Integer code of each text value in byte order, from 1; a missing value is the text ``NA``.
+
+    ``levels`` may supply the column's values from a smaller table.
+    """
     label = F.coalesce(F.col(col).cast("string"), F.lit("NA"))
-    labelled = df.withColumn("__label", label)
-    codes = value_ranks(frequencies(labelled, [], "__label"), [], "__label")
+    source = (df if levels is None else levels).select(label.alias("__label"))
+    codes = value_ranks(frequencies(source, [], "__label"), [], "__label")
     codes = codes.select("__label", F.col("rank").cast("int").alias(name or f"{col}_code"))
-    return labelled.join(codes, "__label").drop("__label")
+    return df.withColumn("__label", label).join(codes, "__label").drop("__label")
 
 
 def zscore(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = None,
@@ -32,7 +36,7 @@ def zscore(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = N
         out = null_safe_join(df, rows.groupBy(*by).agg(stats), by)
     else:
         out = df.withColumn("__st", rows.agg(stats).scalar())
-    z = (x - F.col("__st.m")) / F.nullif(F.col("__st.s"), F.lit(0.0))
+    z = ratio(x - F.col("__st.m"), "__st.s")
     return out.withColumn(name or f"{col}_z", z).drop("__st")
 
 
@@ -69,13 +73,14 @@ def impute_empirical(df: DataFrame, col: str, keys: Sequence[str], seed: int = 1
 
     The draw is a hash of the row's ``keys``, so it does not change when the data are repartitioned. Drawn
     positions and the observed values' position ranges meet on equal slices of the positions; a frequent
-    value lies in many slices, and the draws spread evenly over them.
+    value lies in many slices, and the draws spread evenly over them. Without any observed value the missing
+    ones stay missing.
     """
     observed = df.where(F.col(col).isNotNull())
     ranks = value_ranks(frequencies(observed.select(col), [], col), [], col)
     bound = observed.agg(
         F.struct(
-            F.count(F.lit(1)).alias("n"),
+            F.nullif(F.count(F.lit(1)), F.lit(0).cast("bigint")).alias("n"),
             F.least(F.lit(1_000_000), F.greatest(F.lit(4096), F.count_distinct(col))).cast("double").alias("g"),
         )
     )
@@ -112,7 +117,7 @@ def prediction_grid(df: DataFrame, col: str, lo: float | None = None, hi: float
     grid = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     raw = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / F.lit(float(n - 1))
     out = grid.select((F.col("k") + 1).alias("i"), raw.alias("raw"), "m", "s")
-    out = out.withColumn("z", (F.col("raw") - F.col("m")) / F.col("s")).drop("m", "s")
+    out = out.withColumn("z", ratio(F.col("raw") - F.col("m"), "s")).drop("m", "s")
     return poly(out, "z", 3)
 
 
@@ -125,5 +130,5 @@ def scaled_years(df: DataFrame, year: str = "survey_year") -> DataFrame:
     # mean and sample variance of consecutive integers
     stats = span.select(F.struct(((first + last) / 2).alias("m"), F.sqrt(n * (n + 1) / 12).alias("s")))
     return years.withColumn("__s", stats.scalar()).select(
-        "year", ((F.col("year") - F.col("__s.m")) / F.nullif(F.col("__s.s"), F.lit(0.0))).alias("z")
+        "year", ratio(F.col("year") - F.col("__s.m"), "__s.s").alias("z")
     )

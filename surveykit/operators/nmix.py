@@ -9,9 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import Z975, plogis
+from ..functions.scalars import Z975, linear, logit, plogis, ratio
 from .joins import null_safe_join
-from .newton import covariance, durable, maximise, parameter_table, symmetric
+from .newton import covariance, durable, maximise, symmetric
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def nmix_loglik(hist: DataFrame, params: Sequence[tuple[float, float]], by: Sequ
     ])
     rows = collapse_histories(hist, by, history, k).withColumn("__q", F.explode(grid))
     lam, p = F.col("__q.lam"), F.col("__q.p")
-    rows = _with_moments(rows, F.log(lam), F.log(p / (1 - p)))
+    rows = _with_moments(rows, F.log(lam), logit(p))
     return rows.groupBy(*by, F.col("__q.point").alias("point"), lam.alias("lam"), p.alias("p")).agg(
         F.sum(F.col("w") * F.col("__ll")).alias("loglik")
     )
@@ -123,77 +123,98 @@ FIT_SCHEMA = (
 )
 
 
+def _start(formula: Formula, mean: float, variance: float, visits: float) -> np.ndarray:
+    """Moment estimates from the site totals: their variance exceeds the mean by a factor 1 + (visits - 1) p."""
+    b = np.zeros(len(formula.names))
+    p = 0.5
+    if formula.p_intercept:
+        if visits > 1 and mean > 0:
+            p = min(max((variance / mean - 1) / (visits - 1), 0.02), 0.9)
+        b[formula.n_lam] = math.log(p / (1 - p))
+    if formula.lam_intercept:
+        b[0] = math.log(max(mean / (visits * p), 0.05))
+    return b
+
+
 def nmix_fit(hist: DataFrame, models: Mapping[str, Formula], by: str = "species", k: int = 100,
              history: str = "history", max_steps: int = 80) -> DataFrame:
     """Coefficients of every model for every species.
 
     Gradient and curvature follow from the mean and variance of N given the counts, so a Newton step is one
-    pass over the collapsed histories for all species together. ``vcov`` holds the row of the covariance
-    matrix that belongs to the term, in the order of the model's terms.
+    pass over the collapsed histories for all species and models together. All models share one design of all
+    covariates, in which the terms a model lacks stay 0. ``vcov`` holds the row of the covariance matrix that
+    belongs to the term, in the order of the model's terms.
     """
     spark = hist.sparkSession
     key_type = hist.schema[by].dataType.simpleString()
-    needed = list(dict.fromkeys(c for f in models.values() for c in f.covariates))
-    rows = durable(collapse_histories(hist, [by, *needed], history, k))
+    covariates = list(dict.fromkeys(c for f in models.values() for c in f.covariates))
+    full = Formula(tuple(covariates), tuple(covariates))
+    rows = durable(collapse_histories(hist, [by, *covariates], history, k))
+    total, w = F.col("total").cast("double"), F.col("w")
     base = rows.groupBy(by).agg(
-        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("total")) / F.sum(F.col("w") * F.col("j"))).alias("mean")
+        F.sum("w").alias("n"), (F.sum(w * total) / F.sum("w")).alias("mean"),
+        (F.sum(w * total * total) / F.sum("w")).alias("square"), (F.sum(w * F.col("j")) / F.sum("w")).alias("visits"),
     ).collect()
     sites = {r[by]: r["n"] for r in base}
-    means = {r[by]: r["mean"] for r in base}
+    places = {m: [full.names.index(t) for t in f.names] for m, f in models.items()}
+    x, z = full.design()
+    a, size = full.n_lam, len(full.names)
+    side, design = [0] * a + [1] * (size - a), [*x, *z]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    used = {(i, j) for place in places.values() for i in place for j in place}
+    pairs = [pair for pair in pairs if pair in used]
+
+    def evaluate(points: dict) -> dict:
+        table = [
+            (species, model, _spread(point, places[model], size)) for (species, model), point in points.items()
+        ]
+        params = spark.createDataFrame(table, f"`{by}` {key_type}, __model string, __b array<double>")
+        b = [F.get(F.col("__b"), F.lit(i)) for i in range(size)]
+        eta, zeta = linear(b[:a], x), linear(b[a:], z)
+        data = _with_moments(rows.join(params, by), eta, zeta)
+        e1, v, lam, p, j = (F.col(c) for c in ("__e1", "__v", "__lam", "__p", "j"))
+        score = [e1 - lam, F.col("total") - j * p * e1]
+        curve = {(0, 0): lam - v, (0, 1): j * p * v, (1, 1): j * p * (1 - p) * e1 - j * p * j * p * v}
+        cols = [F.sum(w * F.col("__ll")).alias("ll")]
+        cols += [F.sum(w * score[side[i]] * design[i]).alias(f"g{i}") for i in range(size)]
+        cols += [F.sum(w * curve[side[i], side[k2]] * design[i] * design[k2]).alias(f"h{i}_{k2}") for i, k2 in pairs]
+        out = {}
+        for r in data.groupBy(by, "__model").agg(*cols).collect():
+            place = places[r["__model"]]
+            upper = [r[f"h{i}_{place[n]}"] for m, i in enumerate(place) for n in range(m, len(place))]
+            gradient = np.array([r[f"g{i}"] for i in place])
+            out[(r[by], r["__model"])] = (r["ll"], gradient, symmetric(upper, len(place)))
+        return out
+
+    start = {
+        (r[by], m): _start(f, r["mean"], r["square"] - r["mean"] ** 2, r["visits"])
+        for r in base for m, f in models.items()
+    }
     result = []
-    for model, formula in models.items():
-        x, z = formula.design()
-        a, size = formula.n_lam, len(formula.names)
-        pairs = [(i, j) for i in range(size) for j in range(i, size)]
-
-        def evaluate(points: dict) -> dict:
-            table = parameter_table(spark, points, by, key_type)
-            data = rows.join(table, by)
-            b = [F.get(F.col("__b"), F.lit(i)) for i in range(size)]
-            eta, zeta = F.lit(0.0), F.lit(0.0)
-            for c, v in zip(b[:a], x, strict=True):
-                eta = eta + c * v
-            for c, v in zip(b[a:], z, strict=True):
-                zeta = zeta + c * v
-            data = _with_moments(data, eta, zeta)
-            e1, v, lam, p, j, w = (F.col(c) for c in ("__e1", "__v", "__lam", "__p", "j", "w"))
-            score = [e1 - lam, F.col("total") - j * p * e1]
-            curve = {
-                (0, 0): lam - v, (0, 1): j * p * v, (1, 1): j * p * (1 - p) * e1 - j * p * j * p * v,
-            }
-            side = [0] * a + [1] * (size - a)
-            design = [*x, *z]
-            cols = [F.sum(w * F.col("__ll")).alias("ll")]
-            cols += [F.sum(w * score[side[i]] * design[i]).alias(f"g{i}") for i in range(size)]
-            cols += [F.sum(w * curve[side[i], side[j2]] * design[i] * design[j2]).alias(f"h{i}_{j2}") for i, j2 in pairs]
-            return {
-                r[by]: (
-                    r["ll"], np.array([r[f"g{i}"] for i in range(size)]),
-                    symmetric([r[f"h{i}_{j2}"] for i, j2 in pairs], size),
-                )
-                for r in data.groupBy(by).agg(*cols).collect()
-            }
-
-        start = {}
-        for key, mean in means.items():
-            b0 = np.zeros(size)
-            if formula.lam_intercept:
-                b0[0] = math.log(max(2 * mean, 0.05))
-            start[key] = b0
-        for key, fit in maximise(evaluate, start, max_steps).items():
-            cov = covariance(fit.hessian) if fit.hessian.size else np.full((size, size), np.nan)
-            for i, name in enumerate(formula.names):
-                se = math.sqrt(cov[i, i]) if cov[i, i] > 0 else None
-                zval = float(fit.x[i]) / se if se else None
-                pval = math.erfc(abs(zval) / math.sqrt(2)) if zval is not None else None
-                row = [None if math.isnan(v) else float(v) for v in cov[i]]
-                result.append((
-                    key, model, name, float(fit.x[i]), se, zval, pval, size, float(fit.loglik), sites[key],
-                    bool(fit.converged), row,
-                ))
+    for (key, model), fit in maximise(evaluate, start, max_steps).items():
+        names = models[model].names
+        n = len(names)
+        cov = covariance(fit.hessian) if fit.hessian.size else np.full((n, n), np.nan)
+        for i, name in enumerate(names):
+            se = math.sqrt(cov[i, i]) if cov[i, i] > 0 else None
+            zval = float(fit.x[i]) / se if se else None
+            pval = math.erfc(abs(zval) / math.sqrt(2)) if zval is not None else None
+            row = [None if math.isnan(c) else float(c) for c in cov[i]]
+            result.append((
+                key, model, name, float(fit.x[i]), se, zval, pval, n, float(fit.loglik), sites[key],
+                bool(fit.converged), row,
+            ))
     return spark.createDataFrame(result, FIT_SCHEMA.format(by=by, type=key_type))
 
 
+def _spread(point: np.ndarray, place: Sequence[int], size: int) -> list[float]:
+    """A model's coefficients in the order of the shared design."""
+    out = [0.0] * size
+    for i, value in zip(place, point, strict=True):
+        out[i] = float(value)
+    return out
+
+
 def model_selection(fits: DataFrame, by: Sequence[str] = ("species",), model: str = "model",
                     n_pars: str = "n_pars", log_lik: str = "log_lik") -> DataFrame:
     """Models of each group by AIC, with difference to the best, weight and cumulative weight.
@@ -205,7 +226,7 @@ def model_selection(fits: DataFrame, by: Sequence[str] = ("species",), model: st
     upto = group.orderBy("delta", model).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = fits.withColumn("aic", aic).withColumn("delta", F.col("aic") - F.min("aic").over(group))
     out = out.withColumn("__r", F.exp(F.col("delta") * F.lit(-0.5)))
-    out = out.withColumn("weight", F.col("__r") / F.sum("__r").over(group)).drop("__r")
+    out = out.withColumn("weight", ratio("__r", F.sum("__r").over(group))).drop("__r")
     return out.withColumn("cum_weight", F.sum("weight").over(upto))
 
 
@@ -283,8 +304,8 @@ def predict_averaged(rows: DataFrame, coef: DataFrame, models: Mapping[str, Form
     out = out.withColumn("__e", weighted)
     zero = F.lit(0.0)
     total = F.aggregate("__e", zero, lambda a, e: a + e["w"])
-    mean = F.aggregate("__e", zero, lambda a, e: a + e["w"] * e["m"]) / F.nullif(total, zero)
-    square = F.aggregate("__e", zero, lambda a, e: a + e["w"] * (e["s"] * e["s"] + e["m"] * e["m"])) / F.nullif(total, zero)
+    mean = ratio(F.aggregate("__e", zero, lambda a, e: a + e["w"] * e["m"]), total)
+    square = ratio(F.aggregate("__e", zero, lambda a, e: a + e["w"] * (e["s"] * e["s"] + e["m"] * e["m"])), total)
     var = F.greatest(square - mean * mean, zero)
     return out.select(*rows.columns, mean.alias("Predicted"), F.sqrt(var).alias("SE"))
 
@@ -302,8 +323,8 @@ def model_average(pred: DataFrame, weights: DataFrame, keys: Sequence[str], by:
         F.sum("weight").alias("__w"), F.sum(wt * m).alias("__m"),
         F.sum(wt * (F.col("SE") * F.col("SE") + m * m)).alias("__q"),
     )
-    avg = F.col("__m") / F.col("__w")
-    var = F.greatest(F.col("__q") / F.col("__w") - avg * avg, F.lit(0.0))
+    avg = ratio("__m", "__w")
+    var = F.greatest(ratio("__q", "__w") - avg * avg, F.lit(0.0))
     return sums.select(*keys, avg.alias("Predicted"), F.sqrt(var).alias("SE"))
 
 
@@ -322,5 +343,5 @@ def site_abundance(hist: DataFrame, params: DataFrame, keys: Sequence[str], by:
         by, "__h", F.size("__h").alias("j"), total.alias("total"), F.array_max("__h").alias("top"),
         _weights(F.col("__h"), k).alias("__c"),
     ).join(params.select(by, "lam", "p"), by)
-    kinds = _with_moments(kinds, F.log("lam"), F.log(F.col("p") / (1 - F.col("p"))))
+    kinds = _with_moments(kinds, F.log("lam"), logit("p"))
     return rows.join(kinds.select(by, "__h", F.col("__e1").alias("estimate")), [by, "__h"]).drop("__h")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import Z975, logit, plogis
+from ..functions.scalars import Z975, logit, plogis, ratio
 from .encode import scaled_years
 
 
@@ -21,9 +21,9 @@ def occupancy_detection(occurrence: DataFrame, species: str = "taxa_code", year:
         F.count(F.lit(1)).alias("detections"), F.count_distinct(site).alias("sites")
     )
     trials = F.col("sites").cast("double") * F.lit(float(visits))
-    p = F.col("detections") / trials
+    p = ratio("detections", trials)
     inner = F.col("p") < 1
-    se_logit = F.when(inner, F.lit(1.0) / F.sqrt(F.col("trials") * F.col("p") * (1 - F.col("p"))))
+    se_logit = F.when(inner, ratio(F.lit(1.0), F.sqrt(F.col("trials") * F.col("p") * (1 - F.col("p")))))
     out = counts.withColumn("trials", trials).withColumn("p", p).withColumn("__se", se_logit)
     lp = F.when(inner, logit("p"))
     return out.select(

@@ -24,14 +24,15 @@ def frequencies(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def _bucketed(freq: DataFrame, by: list[str], value: str) -> DataFrame:
+    # Every use of ``freq`` reads all its columns, so that Spark shuffles it once and reuses the exchange.
     v = F.col(value)
     if not by:
-        picks = freq.orderBy(F.xxhash64(v), v).limit(_CUTS)
+        picks = freq.orderBy(F.xxhash64(v, "n"), v).limit(_CUTS)
         cuts = picks.agg(F.sort_array(F.collect_list(v)).alias("c")).scalar()
         out = freq.withColumn("__cuts", cuts)
     else:
         large = freq.groupBy(*by).agg(F.count(F.lit(1)).alias("__d")).where(F.col("__d") > _LARGE).drop("__d")
-        first = Window.partitionBy(*by).orderBy(F.xxhash64(v), v)
+        first = Window.partitionBy(*by).orderBy(F.xxhash64(v, "n"), v)
         cuts = (
             null_safe_join(freq, large, by, "left_semi")
             .withColumn("__r", F.row_number().over(first))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schema as S
-from ..functions.scalars import day_of_year
+from ..functions.scalars import day_of_year, ratio
 from .clean import site_years
 from .draws import summarise_draws
 from .joins import null_safe_join, relabel
@@ -31,7 +31,7 @@ def totals_with_line(totals: DataFrame, by: str = S.SPECIES, year: str = S.YEAR,
     return out.select(
         by, year, total,
         (F.col("intercept") + F.col("slope") * F.col(year)).alias("fitted"),
-        F.sqrt(F.col("s2") * (1 / F.col("n") + d * d / F.col("sxx"))).alias("se_fit"),
+        F.sqrt(F.col("s2") * (ratio(F.lit(1.0), "n") + ratio(d * d, "sxx"))).alias("se_fit"),
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
+from ..functions.scalars import ratio
 from .clean import first_stop
 from .joins import null_safe_join
 from .summaries import route_location
@@ -57,7 +58,7 @@ def project_points(df: DataFrame, lon: str = "lon", lat: str = "lat",
     chi0 = math.asin((c * w1 - 1) / (c * w1 + 1))
 
     s = F.sin(F.radians(F.col(lat)))
-    w = F.lit(c) * F.pow((1 + s) / (1 - s) * F.pow((1 - e * s) / (1 + e * s), F.lit(e)), F.lit(n))
+    w = F.lit(c) * F.pow(ratio(1 + s, 1 - s) * F.pow((1 - e * s) / (1 + e * s), F.lit(e)), F.lit(n))
     chi = F.asin((w - 1) / (w + 1))
     shift = F.lit(n) * (F.radians(F.col(lon)) - F.lit(lam0))
     b = 1 + F.sin(chi) * math.sin(chi0) + F.cos(chi) * math.cos(chi0) * F.cos(shift)
@@ -124,7 +125,7 @@ def point_in_polygon(pts: DataFrame, rings: DataFrame, x: str = "lon", y: str =
 
     def crossed(count: Column, edge: Column) -> Column:
         spans = (edge["y1"] > py) != (edge["y2"] > py)
-        at = (edge["x2"] - edge["x1"]) * (py - edge["y1"]) / (edge["y2"] - edge["y1"]) + edge["x1"]
+        at = ratio((edge["x2"] - edge["x1"]) * (py - edge["y1"]), edge["y2"] - edge["y1"]) + edge["x1"]
         return count + F.when(spans, F.when(px < at, 1).otherwise(0)).otherwise(0)
 
     inside = F.aggregate("__edges", F.lit(0), crossed) % 2 == 1

@@ -57,7 +57,7 @@ def species_year_stats(df: DataFrame, by: Sequence[str] = (S.SPECIES, S.YEAR), v
     present = F.sum(F.when(v.isNotNull(), n))
     stats = freq.groupBy(*by).agg(
         sum_rm(v * n).alias("CountTot"),
-        (F.sum(v * n).cast("double") / present).alias("MeanCount"),
+        X.ratio(F.sum(v * n), present).alias("MeanCount"),
         F.min(v).alias("MinCount"),
         F.max(v).alias("MaxCount"),
         F.sum("n").alias("N"),
@@ -147,17 +147,17 @@ def initial_abundance(cells: DataFrame, keys: Sequence[str] = ("site", "year_idx
 def mean_abundance(estimates: DataFrame, by: Sequence[str], value: str = "estimate") -> DataFrame:
     """Mean and standard error of site estimates; sites without an estimate do not count."""
     return estimates.groupBy(*by).agg(
-        F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se")
+        F.avg(value).alias("mean"), X.ratio(F.stddev_samp(value), F.sqrt(F.count(value))).alias("se")
     )
 
 
 def _correlation_columns() -> list[Column]:
     r, n = F.col("r"), F.col("n")
     usable = (n > 2) & (F.abs(r) < 1)
-    width = F.lit(X.Z975) / F.sqrt(n - 3)
+    width = X.ratio(F.lit(X.Z975), F.sqrt(n - 3))
     z = F.when((n > 3) & (F.abs(r) < 1), F.atanh(r))
     return [
-        F.when(usable, r * F.sqrt(n - 2) / F.sqrt(1 - r * r)).alias("t"),
+        F.when(usable, X.ratio(r * F.sqrt(n - 2), F.sqrt(1 - r * r))).alias("t"),
         (n - 2).alias("df"),
         F.tanh(z - width).alias("conf_low"),
         F.tanh(z + width).alias("conf_high"),
@@ -170,8 +170,11 @@ def correlation_test(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
     The p-value needs the t distribution; :func:`operators.trend.with_t_pvalue` adds it to the result.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
+    # from the sums of squares, because corr() raises on a column without spread
+    spread = F.sqrt(F.regr_sxx(yd, xd) * F.regr_syy(yd, xd))
     stats = both.groupBy(*by).agg(
-        F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"), F.count(F.lit(1)).alias("n")
+        X.ratio(F.regr_sxy(yd, xd), spread).alias("r"), F.count(F.lit(1)).alias("n")
     )
     return stats.select(*by, "n", "r", *_correlation_columns())
 
@@ -208,9 +211,9 @@ def ols_line(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Least-squares line with r squared, standard error of the slope and residual variance, per group."""
     fit = df.groupBy(*by).agg(*_line_aggregates(x, y))
     left = F.greatest(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0))
-    s2 = F.when(F.col("n") > 2, left / (F.col("n") - 2))
+    s2 = F.when(F.col("n") > 2, X.ratio(left, F.col("n") - 2))
     return fit.select(
-        *by, "n", "slope", "intercept", "r2", F.sqrt(s2 / F.col("sxx")).alias("se_slope"),
+        *by, "n", "slope", "intercept", "r2", F.sqrt(X.ratio(s2, "sxx")).alias("se_slope"),
         s2.alias("s2"), "sxx", "xbar",
     )
 

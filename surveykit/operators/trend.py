@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schema as S
-from ..functions.scalars import Z975, digamma, lgamma, trigamma
+from ..functions.scalars import Z975, digamma, lgamma, ratio, trigamma
 from .joins import null_safe_join
 from .newton import covariance, durable, maximise, parameter_table, symmetric
 
@@ -169,7 +169,7 @@ def trend_fit(
         if gamma:
             u, below = (Y + theta) / (M + theta), M + theta
         elif route_effect == "fixed":
-            u, below = F.when(M > 0, Y / M).otherwise(0.0), M
+            u, below = F.coalesce(ratio(Y, M), F.lit(0.0)), M
         else:
             u, below = F.lit(1.0), None
         if pearson:
@@ -179,7 +179,8 @@ def trend_fit(
                 lp = lp + F.get(F.col("__b"), F.lit(j)) * x
             m = F.col("__u") * F.exp(lp)
             back = null_safe_join(joined, sums, [by, "__route"], "inner").withColumn("__m", m)
-            chi = (F.col("__yy") - 2 * F.col("__m") * F.col("__y") + F.col("__n") * F.col("__m") * F.col("__m")) / F.col("__m")
+            square = F.col("__yy") - 2 * F.col("__m") * F.col("__y") + F.col("__n") * F.col("__m") * F.col("__m")
+            chi = ratio(square, "__m")
             return back.where(F.col("__m") > 0).groupBy(by).agg(F.sum(chi).alias("chi")).collect()
         if gamma:
             ll = lgamma(Y + theta) - lgamma(theta) + theta * F.log(theta) - (Y + theta) * F.log(M + theta)
@@ -193,7 +194,7 @@ def trend_fit(
         for j, k in pairs:
             inner = F.col(f"__m{j}_{k}")
             if below is not None:
-                cross = F.when(below > 0, F.col(f"__m{j}") * F.col(f"__m{k}") / below).otherwise(0.0)
+                cross = F.coalesce(ratio(F.col(f"__m{j}") * F.col(f"__m{k}"), below), F.lit(0.0))
                 inner = inner - cross
             cols.append(F.sum(u * inner).alias(f"h{j}_{k}"))
             if j == k:
@@ -299,12 +300,12 @@ def trend_within(df: DataFrame, x: str = "scaleyear", y: str = "RouteTotal", by:
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_routes"),
         F.sum("sxx").alias("sxx"), F.sum("sxy").alias("sxy"), F.sum("syy").alias("syy"),
     )
-    slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx"))
+    slope = ratio("sxy", "sxx")
     left = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
     dof = F.col("n") - F.col("n_routes") - 1
     return total.withColumn("slope", slope).select(
         by, "n", "n_routes", "slope",
-        F.when(dof > 0, F.sqrt(left / dof / F.col("sxx"))).alias("se"),
+        F.when(dof > 0, F.sqrt(ratio(left, dof * F.col("sxx")))).alias("se"),
     )
 
 
@@ -315,7 +316,7 @@ def annual_change(coef: DataFrame, sd_year: str | float = "sd_year", estimate: s
     """
     sd = F.col(sd_year) if isinstance(sd_year, str) else F.lit(float(sd_year))
     b, half = F.col(estimate), F.lit(Z975) * F.col(se)
-    logs = {"beta_year": b / sd, "ci_lower_year": (b - half) / sd, "ci_upper_year": (b + half) / sd}
+    logs = {"beta_year": ratio(b, sd), "ci_lower_year": ratio(b - half, sd), "ci_upper_year": ratio(b + half, sd)}
     percent = {
         "Annual_Per_Change": "beta_year", "Lower_Per_Change": "ci_lower_year", "Upper_Per_Change": "ci_upper_year"
     }
@@ -327,7 +328,7 @@ def dispersion(df: DataFrame, y: str, mu: str, n_par: int, by: Sequence[str] = (
     r = F.col(y) - F.col(mu)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        (F.sum(r * r / F.col(mu)) / F.nullif(F.count(F.lit(1)) - F.lit(n_par), F.lit(0).cast("bigint"))).alias("ratio"),
+        ratio(F.sum(ratio(r * r, mu)), F.count(F.lit(1)) - F.lit(n_par)).alias("ratio"),
     )
 
 

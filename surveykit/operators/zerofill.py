@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -76,43 +77,67 @@ def zero_fill_bins(events: DataFrame, obs: DataFrame, species: DataFrame | Seque
     return out.withColumns({b: F.coalesce(F.col(b), F.lit(0)) for b in bins})
 
 
-def route_totals_filled(
+@dataclass(frozen=True)
+class VisitTotals:
+    """What zero-filled route totals are made of; all three derive from one aggregation of the records."""
+
+    #: Route visits with effort, one row each.
+    visits: DataFrame
+    #: ``RouteTotal`` per route visit and detected species.
+    totals: DataFrame
+    #: Count per stop-day and species.
+    found: DataFrame
+
+
+def visit_totals(
     obs: DataFrame,
-    species: DataFrame | Sequence[str],
-    covariate: DataFrame | None = None,
     group: Sequence[str] = (S.ROUTE, S.YEAR, S.PROTOCOL, "doy", S.COLLECTOR),
     occasion: Sequence[str] = (S.ROUTE, S.STOP, S.YEAR, "doy"),
-    event_cols: Sequence[str] = (S.YEAR, "doy", S.PROTOCOL, S.ROUTE, S.STOP, S.COLLECTOR),
     species_col: str = S.SPECIES,
     count: str = S.COUNT,
     one_row_per_occasion: bool = False,
-) -> DataFrame:
-    """Zero-filled totals per species and route visit, with effort, covariate and detection flag.
+) -> VisitTotals:
+    """Route visits and the totals of the species found on them.
 
     A stop-day that appears in the events under two protocols or collectors counts under both;
     ``one_row_per_occasion=True`` assigns it to the first of them only.
-
-    Filling stop by stop and then adding up gives the same totals as adding up the detections and filling
-    route visit by route visit. The latter is done here: the grid of zeros has one row per species and route
-    visit instead of one per species and stop-day.
     """
     occasion, group = list(occasion), list(group)
-    events = obs.select(*dict.fromkeys([*event_cols, *occasion, *group])).distinct()
+    event = list(dict.fromkeys([*occasion, *group]))
+    cells = obs.groupBy(*event, species_col).agg(sum_rm(count).alias("__t"))
+    events = cells.select(*event).distinct()
     if one_row_per_occasion:
-        extra = [c for c in events.columns if c not in occasion]
+        extra = [c for c in event if c not in occasion]
         events = events.groupBy(*occasion).agg(F.min(F.struct(*extra)).alias("__x")).select(*occasion, "__x.*")
-    found = obs.where(F.col(species_col).isNotNull()).groupBy(*occasion, species_col).agg(
-        sum_rm(count).alias("__t")
+    found = cells.where(F.col(species_col).isNotNull()).groupBy(*occasion, species_col).agg(
+        F.sum("__t").alias("__t")
     )
     totals = null_safe_join(events, found, occasion, "inner").groupBy(*group, species_col).agg(
         F.sum("__t").alias("RouteTotal")
     )
-    visits = events.select(*group).distinct()
-    grid = event_species_grid(visits, species, species_col)
-    out = null_safe_join(grid, totals, [*group, species_col])
-    out = null_safe_join(out, stops_per_route_year(obs).withColumnRenamed("nstops", "nstop"), [S.ROUTE, S.YEAR])
-    if covariate is not None:
-        out = null_safe_join(out, covariate, [S.YEAR])
+    effort = stops_per_route_year(events).withColumnRenamed("nstops", "nstop")
+    visits = null_safe_join(events.select(*group).distinct(), effort, [S.ROUTE, S.YEAR])
+    return VisitTotals(visits, totals, found.withColumnRenamed("__t", count))
+
+
+def route_totals_filled(
+    obs: DataFrame,
+    species: DataFrame | Sequence[str],
+    covariate: DataFrame | None = None,
+    group: Sequence[str] = (S.ROUTE, S.YEAR, S.PROTOCOL, "doy", S.COLLECTOR),
+    species_col: str = S.SPECIES,
+    count: str = S.COUNT,
+    one_row_per_occasion: bool = False,
+) -> DataFrame:
+    """Zero-filled totals per species and route visit, with effort, covariate and detection flag.
+
+    Filling stop by stop and then adding up gives the same totals as adding up the detections and filling
+    route visit by route visit. The latter is done here: the grid of zeros has one row per species and route
+    visit instead of one per species and stop-day.
+    """
+    parts = visit_totals(obs, group, species_col=species_col, count=count, one_row_per_occasion=one_row_per_occasion)
+    visits = parts.visits if covariate is None else null_safe_join(parts.visits, covariate, [S.YEAR])
+    out = null_safe_join(event_species_grid(visits, species, species_col), parts.totals, [*group, species_col])
     return out.withColumn("RouteTotal", F.coalesce(F.col("RouteTotal"), F.lit(0))).withColumn(
         "RouteTotal_nb", detected("RouteTotal")
     )

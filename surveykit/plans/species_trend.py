@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schema as S
 from ..functions.nulls import sum_rm, to_int
-from ..operators.clean import drop_bad_start, exclude_codes, min_year, species_list, with_day_of_year
+from ..functions.scalars import detected
+from ..operators.clean import drop_bad_start, drop_in, exclude_codes, min_year, with_day_of_year
 from ..operators.encode import factor_code, zscore
-from ..operators.joins import keep_routes
+from ..operators.joins import null_safe_join
 from ..operators.trend import sd_of_years, trend_fit, trend_table
-from ..operators.zerofill import route_totals_filled
+from ..operators.zerofill import visit_totals
 
 
 @dataclass(frozen=True)
@@ -39,24 +40,38 @@ def clean(obs: DataFrame, rules: TrendRules) -> DataFrame:
 
 
 def yearly_covariate(obs: DataFrame, species: str, name: str = "covariate_total") -> DataFrame:
+    """Yearly total of one species."""
     return obs.where(F.col(S.SPECIES) == species).groupBy(S.YEAR).agg(sum_rm(S.COUNT).alias(name))
 
 
-def model_rows(obs: DataFrame, rules: TrendRules, species: DataFrame | Iterable[str] | None = None) -> DataFrame:
+def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
     """Zero-filled route totals of all species, coded, scaled, and reduced to qualifying routes.
 
-    Year is scaled before routes are dropped. The protocol enters the model as a number.
+    The route visits are the same for every species, so codes, scaled year and scaled covariate are worked
+    out on the visits, before they meet the species. A route qualifies for a species with at least one
+    detection and ``min_rows`` visits; only the visits of qualifying routes are filled with zeros. Year is
+    scaled before routes are dropped. The protocol enters the model as a number.
     """
-    if species is None:
-        left_out = [*rules.excluded_species, *([rules.covariate_species] if rules.covariate_species else [])]
-        species = species_list(obs, left_out)
-    covariate = yearly_covariate(obs, rules.covariate_species) if rules.covariate_species else None
-    rows = route_totals_filled(obs, species, covariate)
-    rows = factor_code(rows, S.PROTOCOL, "protocol_code")
-    rows = zscore(rows, S.YEAR, [S.SPECIES], "scaleyear")
-    if covariate is not None:
-        rows = zscore(rows, "covariate_total", [S.SPECIES], "scalecovariate")
-    return keep_routes(rows, "RouteTotal", [S.SPECIES, S.ROUTE], rules.min_rows)
+    parts = visit_totals(obs)
+    visits = factor_code(parts.visits, S.PROTOCOL, "protocol_code", levels=parts.visits.select(S.PROTOCOL).distinct())
+    left_out = list(rules.excluded_species)
+    if rules.covariate_species:
+        left_out.append(rules.covariate_species)
+        covariate = yearly_covariate(parts.found, rules.covariate_species)
+        yearly = null_safe_join(parts.visits.select(S.YEAR), covariate, [S.YEAR])
+        visits = null_safe_join(visits, covariate, [S.YEAR])
+        visits = zscore(visits, "covariate_total", name="scalecovariate", stat_rows=yearly)
+    visits = zscore(visits, S.YEAR, name="scaleyear", stat_rows=parts.visits)
+    totals = drop_in(parts.totals, S.SPECIES, left_out) if left_out else parts.totals
+    often = parts.visits.groupBy(S.ROUTE).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= rules.min_rows)
+    pairs = totals.where(F.col("RouteTotal") > 0).select(S.SPECIES, S.ROUTE).distinct()
+    pairs = null_safe_join(pairs, often.select(S.ROUTE), [S.ROUTE], "left_semi")
+    rows = null_safe_join(visits, pairs, [S.ROUTE], "inner")
+    keys = [c for c in totals.columns if c != "RouteTotal"]
+    filled = null_safe_join(rows, totals, keys)
+    return filled.withColumn("RouteTotal", F.coalesce(F.col("RouteTotal"), F.lit(0))).withColumn(
+        "RouteTotal_nb", detected("RouteTotal")
+    )
 
 
 def species_trends(obs: DataFrame, rules: TrendRules, covariates: Sequence[str] = ("scaleyear", "protocol_code"),
