@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
 from ..functions.nulls import n_distinct, sum_rm
@@ -30,6 +30,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__{k}" for k in keys])
 
 
+def keep_after(df: DataFrame, condition: Column, count: str) -> DataFrame:
+    """Filter on a key of an aggregated table that stays above the aggregation.
+
+    Spark would push a plain filter on a key down to the scan, and the other uses of the same aggregation could
+    then no longer share its shuffle. Tied to the row count ``count``, which is never 0, the filter stays put.
+    """
+    return df.where(condition.cast("int") * F.col(count) > 0)
+
+
 def left_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return null_safe_join(left, right, keys, "left")
 

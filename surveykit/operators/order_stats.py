@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import null_safe_join
+from .joins import keep_after, null_safe_join
 
 _CUTS = 255
 _LARGE = 65_536
@@ -66,7 +66,7 @@ def _offsets(bucketed: DataFrame, by: list[str]) -> DataFrame:
 def value_ranks(freq: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Every different non-missing value of a group with its dense rank from 1 and the rows below it."""
     by = list(by)
-    buckets = _bucketed(freq.where(F.col(value).isNotNull()), by, value)
+    buckets = _bucketed(keep_after(freq, F.col(value).isNotNull(), "n"), by, value)
     offsets = _offsets(buckets, by).select(*by, "__b", "__n0", "__d0", "__total")
     joined = null_safe_join(buckets, offsets, [*by, "__b"], "inner")
     order = Window.partitionBy(*by, "__b").orderBy(value)
@@ -82,7 +82,7 @@ def value_ranks(freq: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def quantiles(freq: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Quantiles with linear interpolation between order statistics, one column per entry of ``probs``."""
     by = list(by)
-    buckets = _bucketed(freq.where(F.col(value).isNotNull()), by, value)
+    buckets = _bucketed(keep_after(freq, F.col(value).isNotNull(), "n"), by, value)
 
     def position(p: float) -> Column:
         return (F.col("__total") - 1) * F.lit(float(p))

@@ -266,7 +266,7 @@ def trend_glm(df: DataFrame, features: Sequence[str], y: str = "RouteTotal", eff
     cols = [F.col(y).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in features]]
     offset = F.log(F.col(effort).cast("double")) if effort else F.lit(0.0)
     rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        df.select(*cols, offset.alias("offset")).na.drop("any")
+        durable(df.select(*cols, offset.alias("offset")).na.drop("any"))
     )
     glm = GeneralizedLinearRegression(
         family=family, link="identity" if family == "gaussian" else "log", offsetCol="offset", maxIter=50, tol=1e-10

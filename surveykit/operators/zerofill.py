@@ -79,14 +79,14 @@ def zero_fill_bins(events: DataFrame, obs: DataFrame, species: DataFrame | Seque
 
 @dataclass(frozen=True)
 class VisitTotals:
-    """What zero-filled route totals are made of; all three derive from one aggregation of the records."""
+    """What zero-filled route totals are made of."""
 
-    #: Route visits with effort, one row each.
+    #: Route visits, one row each.
     visits: DataFrame
+    #: Stops per route and year.
+    effort: DataFrame
     #: ``RouteTotal`` per route visit and detected species.
     totals: DataFrame
-    #: Count per stop-day and species.
-    found: DataFrame
 
 
 def visit_totals(
@@ -101,23 +101,25 @@ def visit_totals(
 
     A stop-day that appears in the events under two protocols or collectors counts under both;
     ``one_row_per_occasion=True`` assigns it to the first of them only.
+
+    Each part reads only its own columns of the records and is reduced before it is shuffled. That moves less
+    data than one wide aggregation for all parts, which would have about as many rows as the records.
     """
     occasion, group = list(occasion), list(group)
     event = list(dict.fromkeys([*occasion, *group]))
-    cells = obs.groupBy(*event, species_col).agg(sum_rm(count).alias("__t"))
-    events = cells.select(*event).distinct()
+    events = obs.select(*event).distinct()
+    visits = obs.select(*group).distinct()
     if one_row_per_occasion:
         extra = [c for c in event if c not in occasion]
         events = events.groupBy(*occasion).agg(F.min(F.struct(*extra)).alias("__x")).select(*occasion, "__x.*")
-    found = cells.where(F.col(species_col).isNotNull()).groupBy(*occasion, species_col).agg(
-        F.sum("__t").alias("__t")
+        visits = events.select(*group).distinct()
+    found = obs.where(F.col(species_col).isNotNull()).groupBy(*occasion, species_col).agg(
+        sum_rm(count).alias("__t")
     )
     totals = null_safe_join(events, found, occasion, "inner").groupBy(*group, species_col).agg(
         F.sum("__t").alias("RouteTotal")
     )
-    effort = stops_per_route_year(events).withColumnRenamed("nstops", "nstop")
-    visits = null_safe_join(events.select(*group).distinct(), effort, [S.ROUTE, S.YEAR])
-    return VisitTotals(visits, totals, found.withColumnRenamed("__t", count))
+    return VisitTotals(visits, stops_per_route_year(obs).withColumnRenamed("nstops", "nstop"), totals)
 
 
 def route_totals_filled(
@@ -136,7 +138,9 @@ def route_totals_filled(
     visit instead of one per species and stop-day.
     """
     parts = visit_totals(obs, group, species_col=species_col, count=count, one_row_per_occasion=one_row_per_occasion)
-    visits = parts.visits if covariate is None else null_safe_join(parts.visits, covariate, [S.YEAR])
+    visits = null_safe_join(parts.visits, parts.effort, [S.ROUTE, S.YEAR])
+    if covariate is not None:
+        visits = null_safe_join(visits, covariate, [S.YEAR])
     out = null_safe_join(event_species_grid(visits, species, species_col), parts.totals, [*group, species_col])
     return out.withColumn("RouteTotal", F.coalesce(F.col("RouteTotal"), F.lit(0))).withColumn(
         "RouteTotal_nb", detected("RouteTotal")

@@ -13,6 +13,7 @@ from ..functions.scalars import detected
 from ..operators.clean import drop_bad_start, drop_in, exclude_codes, min_year, with_day_of_year
 from ..operators.encode import factor_code, zscore
 from ..operators.joins import null_safe_join
+from ..operators.newton import durable
 from ..operators.trend import sd_of_years, trend_fit, trend_table
 from ..operators.zerofill import visit_totals
 
@@ -40,8 +41,12 @@ def clean(obs: DataFrame, rules: TrendRules) -> DataFrame:
 
 
 def yearly_covariate(obs: DataFrame, species: str, name: str = "covariate_total") -> DataFrame:
-    """Yearly total of one species."""
-    return obs.where(F.col(S.SPECIES) == species).groupBy(S.YEAR).agg(sum_rm(S.COUNT).alias(name))
+    """Yearly total of one species, for the years in which it has records."""
+    mine = F.col(S.SPECIES) == species
+    totals = obs.groupBy(S.YEAR).agg(
+        sum_rm(F.when(mine, F.col(S.COUNT))).alias(name), F.count(F.when(mine, 1)).alias("__n")
+    )
+    return totals.where(F.col("__n") > 0).drop("__n")
 
 
 def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
@@ -52,23 +57,23 @@ def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
     detection and ``min_rows`` visits; only the visits of qualifying routes are filled with zeros. Year is
     scaled before routes are dropped. The protocol enters the model as a number.
     """
+    left_out = [*rules.excluded_species, *([rules.covariate_species] if rules.covariate_species else [])]
     parts = visit_totals(obs)
-    visits = factor_code(parts.visits, S.PROTOCOL, "protocol_code", levels=parts.visits.select(S.PROTOCOL).distinct())
-    left_out = list(rules.excluded_species)
+    visits = factor_code(parts.visits, S.PROTOCOL, "protocol_code", levels=obs.select(S.PROTOCOL).distinct())
+    visits = zscore(visits, S.YEAR, name="scaleyear", stat_rows=parts.visits)
     if rules.covariate_species:
-        left_out.append(rules.covariate_species)
-        covariate = yearly_covariate(parts.found, rules.covariate_species)
-        yearly = null_safe_join(parts.visits.select(S.YEAR), covariate, [S.YEAR])
+        covariate = yearly_covariate(obs, rules.covariate_species)
+        yearly = null_safe_join(parts.visits, covariate, [S.YEAR])
         visits = null_safe_join(visits, covariate, [S.YEAR])
         visits = zscore(visits, "covariate_total", name="scalecovariate", stat_rows=yearly)
-    visits = zscore(visits, S.YEAR, name="scaleyear", stat_rows=parts.visits)
-    totals = drop_in(parts.totals, S.SPECIES, left_out) if left_out else parts.totals
+    visits = null_safe_join(visits, parts.effort, [S.ROUTE, S.YEAR])
     often = parts.visits.groupBy(S.ROUTE).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= rules.min_rows)
-    pairs = totals.where(F.col("RouteTotal") > 0).select(S.SPECIES, S.ROUTE).distinct()
-    pairs = null_safe_join(pairs, often.select(S.ROUTE), [S.ROUTE], "left_semi")
-    rows = null_safe_join(visits, pairs, [S.ROUTE], "inner")
-    keys = [c for c in totals.columns if c != "RouteTotal"]
-    filled = null_safe_join(rows, totals, keys)
+    kept = drop_in(obs.where(F.col(S.SPECIES).isNotNull()), S.SPECIES, left_out) if left_out else obs
+    pairs = kept.groupBy(S.SPECIES, S.ROUTE).agg(sum_rm(S.COUNT).alias("__t"))
+    pairs = pairs.where(F.col(S.SPECIES).isNotNull() & (F.col("__t") > 0)).select(S.SPECIES, S.ROUTE)
+    rows = null_safe_join(visits, null_safe_join(pairs, often.select(S.ROUTE), [S.ROUTE], "left_semi"), [S.ROUTE], "inner")
+    keys = [c for c in parts.totals.columns if c != "RouteTotal"]
+    filled = null_safe_join(rows, parts.totals, keys)
     return filled.withColumn("RouteTotal", F.coalesce(F.col("RouteTotal"), F.lit(0))).withColumn(
         "RouteTotal_nb", detected("RouteTotal")
     )
@@ -77,6 +82,11 @@ def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
 def species_trends(obs: DataFrame, rules: TrendRules, covariates: Sequence[str] = ("scaleyear", "protocol_code"),
                    route_effect: str = "gamma") -> DataFrame:
     """Result table for all species; the standard deviation of the year is that of the kept rows."""
-    rows = model_rows(clean(obs, rules), rules)
+    return fitted_trends(model_rows(clean(obs, rules), rules), covariates, route_effect)
+
+
+def fitted_trends(rows: DataFrame, covariates: Sequence[str], route_effect: str = "gamma") -> DataFrame:
+    """Fit and result table from model rows, which are stored once because both need them."""
+    rows = durable(rows.select(S.SPECIES, S.ROUTE, S.YEAR, "RouteTotal", "nstop", *covariates))
     fits = trend_fit(rows, covariates, route_effect=route_effect)
     return trend_table(fits, sd_of_years(rows))

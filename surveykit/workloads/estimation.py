@@ -8,7 +8,7 @@ from ..functions.scalars import Z975
 from ..operators import draws as D, encode as N, nmix as M, occupancy as O, trend as T
 from ..operators.joins import event_species_grid, null_safe_join
 from ..operators.summaries import correlation_test, route_totals
-from ..plans.species_trend import TrendRules, model_rows
+from ..plans.species_trend import TrendRules, fitted_trends, model_rows
 from .filling import TOTALS_COLUMNS
 from .registry import query, rounded
 from .summarising import SPECIES_YEAR, focal
@@ -112,9 +112,7 @@ def trend_glm(spark, sf):
 
 @query("trend_table")
 def trend_table(spark, sf):
-    rows = trend_rows(spark, sf)
-    fits = T.trend_fit(rows, ["scaleyear", "protocol_code"])
-    return T.trend_table(fits, T.sd_of_years(rows))
+    return fitted_trends(trend_rows(spark, sf), ["scaleyear", "protocol_code"])
 
 
 @query("correlation_pvalue")
