@@ -99,6 +99,11 @@ def decimal_hours(ts: str | Column) -> Column:
     return F.hour(ts) + F.minute(ts) / F.lit(60.0)
 
 
+def offset(effort: str | Column) -> Column:
+    """Log of effort, to be added to a linear predictor; null for effort 0."""
+    return F.log(_col(effort).cast("double"))
+
+
 def plogis(lp: str | Column) -> Column:
     """Inverse logit."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_col(lp)))

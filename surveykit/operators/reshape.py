@@ -54,6 +54,15 @@ def cells_long(df: DataFrame, rep_cols: Sequence[str], ids: Sequence[str] = ("si
     )
 
 
+def site_year_long(df: DataFrame, site: str, year: str, value: str) -> DataFrame:
+    """Values by site and year, by their own keys and never by row position; repeated cells are an error."""
+    cells = df.groupBy(F.col(site).alias("site"), F.col(year).alias("year_idx")).agg(
+        F.max(value).alias("v"), F.count(F.lit(1)).alias("__n")
+    )
+    checked = F.when(F.col("__n") == 1, F.col("v")).otherwise(F.raise_error("a site has two values in one year"))
+    return cells.select("site", "year_idx", checked.alias("v"))
+
+
 def count_history(df: DataFrame, keys: Sequence[str], visits: Sequence[int], visit: str = "visit",
                   count: str = "y", name: str = "history") -> DataFrame:
     """Counts of a site as one array, a fixed place per visit, null where there was none.

@@ -98,8 +98,11 @@ def route_location(df: DataFrame, route: str = S.ROUTE, lat: str = S.LAT, lon: s
     Routes without any latitude have no location and are left out.
     """
     place = F.struct(F.col(lat), F.col(lon))
+    # distinct first: it hashes and combines before the shuffle, a maximum over structs has to sort
     return (
         df.where(F.col(lat).isNotNull())
+        .select(route, lat, lon)
+        .distinct()
         .groupBy(route)
         .agg(F.max(place).alias("__p"))
         .select(route, F.col(f"__p.{lat}").alias(lat), F.col(f"__p.{lon}").alias(lon))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schema as S
-from ..functions.scalars import Z975, digamma, lgamma, ratio, trigamma
+from ..functions.scalars import Z975, digamma, lgamma, offset, ratio, trigamma
 from .joins import null_safe_join
 from .newton import covariance, durable, maximise, parameter_table, symmetric
 
@@ -81,13 +81,13 @@ def with_t_pvalue(df: DataFrame, t: str = "t", dof: str = "df", name: str = "p")
 
 def _collapse(df: DataFrame, by: str, route: str, y: str, x: Sequence[str], effort: str | None) -> DataFrame:
     """Rows alike in species, route, covariates and effort as one row with count, sum and sum of squares."""
-    offset = F.log(F.col(effort).cast("double")) if effort else F.lit(0.0)
+    log_effort = offset(effort) if effort else F.lit(0.0)
     keep = df.where(F.col(by).isNotNull() & F.col(y).isNotNull())
     for c in [*x, *([effort] if effort else [])]:
         keep = keep.where(F.col(c).isNotNull())
     yd = F.col(y).cast("double")
     return keep.groupBy(
-        by, F.col(route).alias("__route"), offset.alias("__o"),
+        by, F.col(route).alias("__route"), log_effort.alias("__o"),
         *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(x, start=1)],
     ).agg(F.count(F.lit(1)).alias("__n"), F.sum(yd).alias("__y"), F.sum(yd * yd).alias("__yy"))
 
@@ -104,7 +104,7 @@ def _route_sums(rows: DataFrame, by: str, p: int, terms: list[Column]) -> tuple[
         F.sum("__mu").alias("__M"),
         F.sum(F.col("__y") * F.col("__lp")).alias("__ylp"),
         F.sum("__n").alias("__rows"),
-        F.first("__b").alias("__b"),
+        F.max(F.get(F.col("__b"), F.lit(p))).alias("__eta"),
     ]
     for j, x in enumerate(terms):
         sums.append(F.sum(F.col("__mu") * x).alias(f"__m{j}"))
@@ -165,7 +165,7 @@ def trend_fit(
         joined = rows.join(table, by)
         sums, pairs = _route_sums(joined, by, p, terms)
         Y, M = F.col("__Y"), F.col("__M")
-        theta = F.exp(F.get(F.col("__b"), F.lit(p)))
+        theta = F.exp("__eta")
         if gamma:
             u, below = (Y + theta) / (M + theta), M + theta
         elif route_effect == "fixed":
@@ -264,9 +264,9 @@ def trend_glm(df: DataFrame, features: Sequence[str], y: str = "RouteTotal", eff
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     cols = [F.col(y).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in features]]
-    offset = F.log(F.col(effort).cast("double")) if effort else F.lit(0.0)
+    log_effort = offset(effort) if effort else F.lit(0.0)
     rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        durable(df.select(*cols, offset.alias("offset")).na.drop("any"))
+        durable(df.select(*cols, log_effort.alias("offset")).na.drop("any"))
     )
     glm = GeneralizedLinearRegression(
         family=family, link="identity" if family == "gaussian" else "log", offsetCol="offset", maxIter=50, tol=1e-10
@@ -309,6 +309,23 @@ def trend_within(df: DataFrame, x: str = "scaleyear", y: str = "RouteTotal", by:
     )
 
 
+def gaussian_fit(df: DataFrame, x: str = "scaleyear", y: str = "RouteTotal", by: str = S.SPECIES,
+                 route: str = S.ROUTE, effort: str | None = "nstop") -> DataFrame:
+    """Linear trend within routes as a coefficient table like that of :func:`trend_fit`.
+
+    The log of effort is subtracted from the response, which is what an offset means on the identity scale.
+    """
+    response = F.col(y).cast("double") - (offset(effort) if effort else F.lit(0.0))
+    fit = trend_within(df.withColumn("__y", response), x, "__y", by, route)
+    none = F.lit(None).cast("double")
+    z = ratio("slope", "se")
+    return fit.select(
+        by, F.lit(x).alias("term"), F.col("slope").alias("estimate"), "se", z.alias("z"), pvalue(z).alias("p"),
+        none.alias("phi"), none.alias("theta"), none.alias("loglik"), "n", "n_routes",
+        F.lit(True).alias("converged"), F.lit(False).alias("dropped"),
+    )
+
+
 def annual_change(coef: DataFrame, sd_year: str | float = "sd_year", estimate: str = "estimate", se: str = "se") -> DataFrame:
     """Percent change per year with limits, from a coefficient of scaled year.
 

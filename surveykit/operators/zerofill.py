@@ -22,8 +22,28 @@ def events_frame(df: DataFrame, cols: Sequence[str] = OCCASION) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def _default(df: DataFrame, col: str):
-    return F.lit(False) if df.schema[col].dataType.typeName() == "boolean" else F.lit(0)
+def _fill(events: DataFrame, obs: DataFrame, species: DataFrame | Sequence[str], keys: Sequence[str],
+          species_col: str, values: Sequence[str]) -> DataFrame:
+    """Records of the listed species at their events, and zeros for every other event and species.
+
+    The same rows as a left join of the whole grid to the records, but the records are joined as the outer
+    side, where Spark can split a key that holds very many of them, and the grid only meets distinct keys.
+    """
+    keys = list(keys)
+    records = obs.select(*keys, species_col, *values)
+    if isinstance(species, DataFrame):
+        found = null_safe_join(records, species, [species_col], "inner")
+        extra = [c for c in species.columns if c != species_col]
+    else:
+        found, extra = records.where(F.col(species_col).isin(list(species))), []
+    found = null_safe_join(found, events, keys, "inner")
+    grid = event_species_grid(events, species, species_col)
+    missing = null_safe_join(grid, records.select(*keys, species_col).distinct(), [*keys, species_col], "left_anti")
+    out = [*events.columns, species_col, *extra, *values]
+    types = {v: obs.schema[v].dataType for v in values}
+    zeros = {v: F.lit(False) if t.typeName() == "boolean" else F.lit(0).cast(t) for v, t in types.items()}
+    known = {v: F.coalesce(F.col(v), zeros[v]) for v in values}
+    return found.withColumns(known).select(*out).unionByName(missing.withColumns(zeros).select(*out))
 
 
 def zero_fill(
@@ -42,39 +62,36 @@ def zero_fill(
     """
     if complete is not None:
         df = df.where(F.col(complete) == "Yes")
-    events = df.groupBy(by).agg(F.min(F.struct(*event_cols)).alias("__e")).select(by, "__e.*")
-    names = (
-        df.where(F.col(species).isNotNull())
-        .groupBy(species)
-        .agg(F.min(F.struct(F.lit(1).alias("__one"), *species_cols)).alias("__s"))
-        .select(species, *[F.col(f"__s.{c}").alias(c) for c in species_cols])
-    )
-    filled = null_safe_join(event_species_grid(events, names, species), df.select(by, species, fill), [by, species])
-    return filled.withColumn(fill, F.coalesce(F.col(fill), _default(df, fill)))
+
+    def first_of(rows: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+        # distinct first: it hashes and combines before the shuffle, a minimum over structs has to sort
+        kinds = rows.select(key, *cols).distinct()
+        if not cols:
+            return kinds
+        return kinds.groupBy(key).agg(F.min(F.struct(*cols)).alias("__c")).select(key, "__c.*")
+
+    listed = first_of(df.where(F.col(species).isNotNull()), species, species_cols)
+    return _fill(first_of(df, by, event_cols), df, listed, [by], species, [fill])
 
 
 def zero_fill_species(events: DataFrame, obs: DataFrame, species: int | str, keys: Sequence[str] = OCCASION,
                       species_col: str = S.SPECIES_ID, count: str = S.COUNT) -> DataFrame:
     """One species over all events; an event with several records keeps them all."""
     one = obs.where(F.col(species_col) == F.lit(species).cast(obs.schema[species_col].dataType))
-    out = null_safe_join(events.select(*keys), one.select(*keys, count), keys)
-    return out.withColumn(count, F.coalesce(F.col(count), F.lit(0)))
+    one = one.withColumn(species_col, F.lit(str(species)))
+    return _fill(events.select(*keys), one, [str(species)], keys, species_col, [count]).drop(species_col)
 
 
 def zero_fill_all(events: DataFrame, obs: DataFrame, species: DataFrame | Sequence[str],
                   keys: Sequence[str] = OCCASION, species_col: str = S.SPECIES, count: str = S.COUNT) -> DataFrame:
-    """All species over all events in one join; the species is known on the filled rows too."""
-    grid = event_species_grid(events.select(*keys), species, species_col)
-    out = null_safe_join(grid, obs.select(*keys, species_col, count), [*keys, species_col])
-    return out.withColumn(count, F.coalesce(F.col(count), F.lit(0)))
+    """All species over all events; the species is known on the filled rows too."""
+    return _fill(events.select(*keys), obs, species, keys, species_col, [count])
 
 
 def zero_fill_bins(events: DataFrame, obs: DataFrame, species: DataFrame | Sequence[str], keys: Sequence[str],
                    bins: Sequence[str] = ("Obs1", "Obs2", "Obs3", "Obs4"), species_col: str = S.SPECIES) -> DataFrame:
     """The four interval bins of every species over all events."""
-    grid = event_species_grid(events, species, species_col)
-    out = null_safe_join(grid, obs.select(*keys, species_col, *bins), [*keys, species_col])
-    return out.withColumns({b: F.coalesce(F.col(b), F.lit(0)) for b in bins})
+    return _fill(events, obs, species, keys, species_col, bins)
 
 
 @dataclass(frozen=True)

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schema as S
 from ..functions.nulls import sum_rm, to_int
 from ..functions.scalars import detected
-from ..operators.clean import drop_bad_start, drop_in, exclude_codes, min_year, with_day_of_year
+from ..operators.clean import drop_bad_start, drop_in, exclude_codes, keep_in, min_year, with_day_of_year
 from ..operators.encode import factor_code, zscore
-from ..operators.joins import null_safe_join
+from ..operators.joins import null_safe_join, stack
 from ..operators.newton import durable
-from ..operators.trend import sd_of_years, trend_fit, trend_table
+from ..operators.trend import gaussian_fit, sd_of_years, trend_fit, trend_table
 from ..operators.zerofill import visit_totals
 
 
@@ -79,14 +79,40 @@ def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
     )
 
 
-def species_trends(obs: DataFrame, rules: TrendRules, covariates: Sequence[str] = ("scaleyear", "protocol_code"),
-                   route_effect: str = "gamma") -> DataFrame:
-    """Result table for all species; the standard deviation of the year is that of the kept rows."""
-    return fitted_trends(model_rows(clean(obs, rules), rules), covariates, route_effect)
+@dataclass(frozen=True)
+class TrendModel:
+    """How to model some species; ``species=None`` stands for all that no other model names."""
+
+    species: tuple[str, ...] | None = None
+    covariates: tuple[str, ...] = ("scaleyear", "protocol_code")
+    family: str = "poisson"
+    route_effect: str = "gamma"
 
 
-def fitted_trends(rows: DataFrame, covariates: Sequence[str], route_effect: str = "gamma") -> DataFrame:
-    """Fit and result table from model rows, which are stored once because both need them."""
-    rows = durable(rows.select(S.SPECIES, S.ROUTE, S.YEAR, "RouteTotal", "nstop", *covariates))
-    fits = trend_fit(rows, covariates, route_effect=route_effect)
-    return trend_table(fits, sd_of_years(rows))
+def fitted_trends(rows: DataFrame, models: Sequence[TrendModel] = (TrendModel(),)) -> DataFrame:
+    """Fits and result table from model rows, which are stored once because all models need them.
+
+    Each model is fitted for all its species together. The column ``Link`` marks species with an identity
+    link, whose percent change is back-transformed like the others although their scale is not logarithmic.
+    """
+    used = dict.fromkeys(["scaleyear", *(c for m in models for c in m.covariates)])
+    rows = durable(rows.select(S.SPECIES, S.ROUTE, S.YEAR, "RouteTotal", "nstop", *used))
+    named = [sp for m in models for sp in m.species or ()]
+    tables = []
+    for model in models:
+        part = rows
+        if model.species is not None:
+            part = keep_in(rows, S.SPECIES, model.species)
+        elif named:
+            part = drop_in(rows, S.SPECIES, named)
+        if model.family == "gaussian":
+            fits, link = gaussian_fit(part), "identity"
+        else:
+            fits, link = trend_fit(part, model.covariates, route_effect=model.route_effect), "log"
+        tables.append(trend_table(fits, sd_of_years(part)).withColumn("Link", F.lit(link)))
+    return stack(*tables)
+
+
+def species_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel] = (TrendModel(),)) -> DataFrame:
+    """Result table for all species; the standard deviation of the year is that of the kept rows."""
+    return fitted_trends(model_rows(clean(obs, rules), rules), models)

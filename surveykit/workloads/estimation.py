@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import Z975
-from ..operators import draws as D, encode as N, nmix as M, occupancy as O, trend as T
+from ..operators import draws as D, encode as N, nmix as M, occupancy as O, plotdata as P, trend as T
 from ..operators.joins import event_species_grid, null_safe_join
 from ..operators.summaries import correlation_test, route_totals
-from ..plans.species_trend import TrendRules, fitted_trends, model_rows
+from ..plans.species_trend import TrendModel, TrendRules, fitted_trends, model_rows
 from .filling import TOTALS_COLUMNS
 from .registry import query, rounded
 from .summarising import SPECIES_YEAR, focal
@@ -112,7 +112,12 @@ def trend_glm(spark, sf):
 
 @query("trend_table")
 def trend_table(spark, sf):
-    return fitted_trends(trend_rows(spark, sf), ["scaleyear", "protocol_code"])
+    models = (
+        TrendModel(),
+        TrendModel(("LARGE",), ("scaleyear", "protocol_code", "scalecovariate")),
+        TrendModel(("STANDARD",), family="gaussian"),
+    )
+    return fitted_trends(trend_rows(spark, sf), models)
 
 
 @query("correlation_pvalue")
@@ -333,6 +338,12 @@ def summarise_draws(spark, sf):
     return rounded(rounded(out, "q2_5", "q50", "q97_5"), "mean", "sd", digits=5)
 
 
+@query("ribbons", f"WITH {DRAWS_SQL} SELECT param, idx, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.025), 6) AS"
+       " lower, round(quantile_cont(value, 0.975), 6) AS upper FROM draws GROUP BY ALL")
+def ribbons(spark, sf):
+    return rounded(rounded(P.ribbons(draws(spark, sf)), "lower", "upper"), "mean", digits=5)
+
+
 _REGIONS = ", ".join(
     f"CAST(coalesce(sum(CASE WHEN site BETWEEN {lo} AND {hi} THEN n END), 0) AS BIGINT) AS \"{name}\""
     for name, (lo, hi) in D.REGION_SITES.items()
@@ -375,11 +386,9 @@ def curve_draws(spark, sf):
     " round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM curves GROUP BY ALL"
 ))
 def response_curves(spark, sf):
-    from ..operators.plotdata import ribbons
-
     grid = N.prediction_grid(table(spark, sf, "supplier"), "s_acctbal")
     curves = D.response_curves(curve_draws(spark, sf), grid, "b1", "b2")
-    return rounded(ribbons(curves, ["i"]), "mean", "lower", "upper")
+    return rounded(P.ribbons(curves, ["i"]), "mean", "lower", "upper")
 
 
 @query("thin_draws")

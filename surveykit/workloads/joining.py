@@ -214,6 +214,11 @@ def cells_long(spark, sf):
     return G.cells_long(replicates(spark, sf), ["r1", "r2", "r3", "r4"])
 
 
+@query("site_year_long", on_obs("SELECT site, year_idx, r1 AS v FROM replicates", REPLICATES_SQL))
+def site_year_long(spark, sf):
+    return G.site_year_long(replicates(spark, sf), "site", "year_idx", "r1")
+
+
 @query("count_history", on_obs(
     "SELECT RouteIdentifier, survey_year, CommonName, "
     + " || ',' || ".join(

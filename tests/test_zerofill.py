@@ -122,6 +122,13 @@ def test_presence_absence_covers_every_surveyed_point(spark, rows):
     assert only == [r for r in out if r[1] == "B"]
 
 
+def test_site_year_cells_are_unique(spark, rows):
+    df = spark.createDataFrame([(1, 1, 5), (1, 2, None), (2, 1, 3)], "s int, y int, v int")
+    assert rows(reshape.site_year_long(df, "s", "y", "v")) == [(1, 1, 5), (1, 2, None), (2, 1, 3)]
+    with pytest.raises(Exception, match="two values"):
+        reshape.site_year_long(df.union(df), "s", "y", "v").collect()
+
+
 def test_wide_and_long(spark, rows):
     df = spark.createDataFrame([("a", 2016, 3), ("a", 2018, 4)], "k string, survey_year int, v int")
     wide = reshape.wide_by_year(df, ["k"], "v", [2018, 2016, 2017])
