@@ -27,9 +27,14 @@ def max_na(col: str | Column) -> Column:
     return F.when(F.count(col) == F.count(F.lit(1)), F.max(col))
 
 
+#: Decimal numbers; keeps out texts such as ``3d`` that the JVM would read as a number.
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def to_number(col: str | Column) -> Column:
-    """Text to double; text that is no number becomes null."""
-    return (F.col(col) if isinstance(col, str) else col).try_cast("double")
+    """Text to double; text that is no decimal number becomes null."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(col.cast("string").rlike(_NUMBER), col.try_cast("double"))
 
 
 def to_int(col: str | Column) -> Column:

@@ -53,7 +53,7 @@ def _direction(h: np.ndarray, g: np.ndarray, longest: float) -> np.ndarray:
     """Ascent direction: Newton's where the curvature is known, no move along flat directions."""
     values, vectors = np.linalg.eigh((h + h.T) / 2)
     size = np.abs(values)
-    floor = max(size.max(), 1e-300) * 1e-10
+    floor = max(size.max(), 1e-200) * 1e-10
     scale = np.where(size > floor, 1.0 / np.maximum(size, floor), 0.0)
     step = vectors @ (scale * (vectors.T @ g))
     length = float(np.linalg.norm(step))

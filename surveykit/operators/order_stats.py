@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import keep_after, null_safe_join
 
-_CUTS = 255
+_CUTS = 511
 _LARGE = 65_536
+_STEPS = (256, 128, 64, 32, 16, 8, 4, 2, 1)
 
 
 def frequencies(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -41,7 +42,12 @@ def _bucketed(freq: DataFrame, by: list[str], value: str) -> DataFrame:
             .agg(F.sort_array(F.collect_list(v)).alias("__cuts"))
         )
         out = null_safe_join(freq, cuts, by)
-    below = F.size(F.filter("__cuts", lambda c: c <= v))
+
+    def halve(found: Column, step: Column) -> Column:
+        return F.when(F.get(F.col("__cuts"), found + step - 1) <= v, found + step).otherwise(found)
+
+    # binary search for the number of cut points at or below the value
+    below = F.aggregate(F.lit(list(_STEPS)), F.lit(0), halve)
     return out.withColumn("__b", F.when(F.col("__cuts").isNull(), 0).otherwise(below)).drop("__cuts")
 
 

@@ -222,10 +222,15 @@ def ols_line(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, width: float, lo: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
-    """Counts in right-closed bins of equal width; the lowest value belongs to the first bin."""
+    """Counts in right-closed bins of equal width, numbered from 1 above ``lo``.
+
+    ``lo`` itself belongs to bin 1; values below it fall into bins 0, -1 and so on.
+    """
     v = F.col(col)
-    k = F.greatest(F.lit(1).cast("bigint"), F.ceil((v - F.lit(float(lo))) / F.lit(float(width))))
-    binned = df.where(v.isNotNull() & (v >= F.lit(float(lo)))).select(*by, k.alias("bin"))
+    k = F.when(v == F.lit(float(lo)), F.lit(1).cast("bigint")).otherwise(
+        F.ceil((v - F.lit(float(lo))) / F.lit(float(width)))
+    )
+    binned = df.where(v.isNotNull()).select(*by, k.alias("bin"))
     return binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n")).select(
         *by, "bin",
         (F.lit(float(lo)) + (F.col("bin") - 1) * F.lit(float(width))).alias("lower"),

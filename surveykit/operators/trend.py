@@ -240,7 +240,7 @@ def trend_fit(
         dropped = flat.get(key, np.zeros(p, bool))
         keep = np.concatenate([~dropped, np.ones(size - p, bool)])
         cov = np.full((size, size), np.nan)
-        if fit.hessian.size:
+        if fit.hessian.size and keep.any():
             cov[np.ix_(keep, keep)] = covariance(fit.hessian[np.ix_(keep, keep)])
         used = p - int(dropped.sum()) + (routes if route_effect == "fixed" else 0)
         phi = chi.get(key, math.nan) / (n - used) if n > used else math.nan

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import encode as N
 from ..operators.reshape import cells_long
 from .registry import query, rounded

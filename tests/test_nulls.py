@@ -66,8 +66,10 @@ def test_first_stop(spark, rows):
 
 
 def test_lenient_numbers(spark):
-    df = spark.createDataFrame([("3",), ("3.0",), ("X",), (None,)], "t string")
-    assert [r[0] for r in df.select(nulls.to_int("t")).collect()] == [3, 3, None, None]
+    texts = ["3", "3.0", "X", None, " -2.9 ", "1e2", "3d", "NaN", "", "99999999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(nulls.to_int("t")).collect()] == [3, 3, None, None, -2, 100, None, None, None, None]
+    assert [r[0] for r in spark.range(2).select(nulls.to_int("id")).collect()] == [0, 1]
 
 
 def test_route_location(spark, rows):
@@ -136,8 +138,8 @@ def test_line_agrees_with_numpy(spark):
 
 
 def test_histogram_edges(spark, rows):
-    df = spark.createDataFrame([(0.0,), (5.0,), (5.1,), (10.0,), (None,)], "v double")
-    assert rows(summaries.histogram(df, "v", 5.0), "bin", "n") == [(1, 2), (2, 2)]
+    df = spark.createDataFrame([(0.0,), (5.0,), (5.1,), (10.0,), (None,), (-0.1,), (-5.0,)], "v double")
+    assert sorted(rows(summaries.histogram(df, "v", 5.0), "bin", "lower", "n")) == [(-1, -10, 1), (0, -5, 1), (1, 0, 2), (2, 5, 2)]
 
 
 def test_box_outliers(spark):

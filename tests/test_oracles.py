@@ -17,7 +17,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    assert compare(QUERIES[name](spark, FOLDER), con, ORACLES[name]) is None
+    df = QUERIES[name](spark, FOLDER)
+    assert compare(df, con, ORACLES[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 @pytest.mark.parametrize("name", ["impute_empirical", "thin_draws", "correlation_pvalue"])
@@ -27,11 +30,3 @@ def test_query_without_sql_has_rows(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-
-
-def test_plans_have_no_cartesian_product(spark):
-    for name in ("route_totals_filled", "zero_fill_all", "point_in_polygon", "event_species_grid", "response_curves"):
-        df = QUERIES[name](spark, FOLDER)
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

@@ -136,6 +136,11 @@ def test_no_variation_between_routes(spark):
     assert got["scaleyear"].estimate == pytest.approx(0, abs=0.05) and got["scaleyear"].se > 0
 
 
+def test_only_constant_covariates(table):
+    got = coefficients(T.trend_fit(table, ["protocol"], route_effect="fixed"), "A")
+    assert got["protocol"].dropped and got["protocol"].se is None
+
+
 def test_annual_change_and_table(spark):
     df = spark.createDataFrame([("s", 0.2, 0.05, 2.0)], "g string, estimate double, se double, sd_year double")
     r = T.annual_change(df).collect()[0]
