@@ -79,17 +79,17 @@ def with_t_pvalue(df: DataFrame, t: str = "t", dof: str = "df", name: str = "p")
     return df.withColumn(name, pvalue(F.col(t), F.col(dof).cast("double")))
 
 
-def _collapse(df: DataFrame, by: str, route: str, y: str, x: Sequence[str], effort: str | None) -> DataFrame:
-    """Rows alike in species, route, covariates and effort as one row with count, sum and sum of squares."""
-    log_effort = offset(effort) if effort else F.lit(0.0)
-    keep = df.where(F.col(by).isNotNull() & F.col(y).isNotNull())
-    for c in [*x, *([effort] if effort else [])]:
-        keep = keep.where(F.col(c).isNotNull())
+def collapse_rows(df: DataFrame, covariates: Sequence[str], y: str = "RouteTotal", by: str = S.SPECIES,
+                  route: str = S.ROUTE, effort: str | None = "nstop") -> DataFrame:
+    """Rows alike in species, route, covariates and effort as one cell: row count ``n``, sum and sum of squares.
+
+    Rows with a missing covariate or effort say nothing about the model and are left out.
+    """
+    keys = [by, route, *covariates, *([effort] if effort else [])]
     yd = F.col(y).cast("double")
-    return keep.groupBy(
-        by, F.col(route).alias("__route"), log_effort.alias("__o"),
-        *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(x, start=1)],
-    ).agg(F.count(F.lit(1)).alias("__n"), F.sum(yd).alias("__y"), F.sum(yd * yd).alias("__yy"))
+    return df.na.drop(subset=[by, y, *[k for k in keys if k not in (by, route)]]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(yd).alias("total"), F.sum(yd * yd).alias("square")
+    )
 
 
 def _route_sums(rows: DataFrame, by: str, p: int, terms: list[Column]) -> tuple[DataFrame, list[tuple[int, int]]]:
@@ -124,6 +124,7 @@ def trend_fit(
     route_effect: str = "gamma",
     quasi: bool = True,
     max_steps: int = 60,
+    collapsed: bool = False,
 ) -> DataFrame:
     """Poisson log-linear trend with route effects, all species at once.
 
@@ -133,12 +134,19 @@ def trend_fit(
 
     Each step is one pass over the collapsed rows: sums per species and route, then per species. Fixed effects
     cannot estimate a covariate that is constant within every route; such a term is dropped and flagged.
+    With ``collapsed`` the table already holds cells as :func:`collapse_rows` makes them.
     """
     if route_effect not in ("gamma", "fixed", "none"):
         raise ValueError(f"unknown route effect {route_effect!r}")
     spark = df.sparkSession
     key_type = df.schema[by].dataType.simpleString()
-    rows = durable(_collapse(df, by, route, y, covariates, effort))
+    cells = df if collapsed else collapse_rows(df, covariates, y, by, route, effort)
+    log_effort = offset(effort) if effort else F.lit(0.0)
+    rows = durable(cells.select(
+        by, F.col(route).alias("__route"), log_effort.alias("__o"), F.col("n").alias("__n"),
+        F.col("total").alias("__y"), F.col("square").alias("__yy"),
+        *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(covariates, start=1)],
+    ))
     intercept = route_effect != "fixed"
     names = ([] if not intercept else ["(Intercept)"]) + list(covariates)
     terms = ([F.lit(1.0)] if intercept else []) + [F.col(f"__x{k}") for k in range(1, len(covariates) + 1)]
@@ -349,8 +357,14 @@ def dispersion(df: DataFrame, y: str, mu: str, n_par: int, by: Sequence[str] = (
     )
 
 
-def sd_of_years(df: DataFrame, by: str = S.SPECIES, year: str = S.YEAR) -> DataFrame:
-    return df.groupBy(by).agg(F.stddev_samp(year).alias("sd_year"))
+def sd_of_years(df: DataFrame, by: str = S.SPECIES, year: str = S.YEAR, weight: str | None = None) -> DataFrame:
+    """Standard deviation of the year per species, over rows or over cells of ``weight`` rows."""
+    if weight is None:
+        return df.groupBy(by).agg(F.stddev_samp(year).alias("sd_year"))
+    # years are shifted so that the squares stay small
+    d, w = (F.col(year) - 2000).cast("double"), F.col(weight)
+    n, sum_d, sum_dd = F.sum(w), F.sum(w * d), F.sum(w * d * d)
+    return df.groupBy(by).agg(F.sqrt(ratio(sum_dd - ratio(sum_d * sum_d, n), n - 1)).alias("sd_year"))
 
 
 def trend_table(fits: DataFrame, sd_year: DataFrame, by: str = S.SPECIES, term: str = "scaleyear") -> DataFrame:

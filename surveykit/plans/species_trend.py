@@ -49,36 +49,77 @@ def yearly_covariate(obs: DataFrame, species: str, name: str = "covariate_total"
     return totals.where(F.col("__n") > 0).drop("__n")
 
 
-def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
-    """Zero-filled route totals of all species, coded, scaled, and reduced to qualifying routes.
+@dataclass(frozen=True)
+class _Parts:
+    """Visits and detections with all model covariates, and the qualifying pairs of species and route."""
+
+    visits: DataFrame
+    totals: DataFrame
+    pairs: DataFrame
+
 
-    The route visits are the same for every species, so codes, scaled year and scaled covariate are worked
-    out on the visits, before they meet the species. A route qualifies for a species with at least one
-    detection and ``min_rows`` visits; only the visits of qualifying routes are filled with zeros. Year is
-    scaled before routes are dropped. The protocol enters the model as a number.
+def _model_parts(obs: DataFrame, rules: TrendRules) -> _Parts:
+    """Codes, scaled year, scaled covariate and effort, attached to visits and to detections.
+
+    The records are read for four reduced tables, which are stored; everything else derives from those. The
+    visits are the same for every species, so means and deviations are those of the visits, before any route is
+    dropped. A route qualifies for a species with at least one detection and ``min_rows`` visits.
     """
     left_out = [*rules.excluded_species, *([rules.covariate_species] if rules.covariate_species else [])]
     parts = visit_totals(obs)
-    visits = factor_code(parts.visits, S.PROTOCOL, "protocol_code", levels=obs.select(S.PROTOCOL).distinct())
-    visits = zscore(visits, S.YEAR, name="scaleyear", stat_rows=parts.visits)
-    if rules.covariate_species:
-        covariate = yearly_covariate(obs, rules.covariate_species)
-        yearly = null_safe_join(parts.visits, covariate, [S.YEAR])
-        visits = null_safe_join(visits, covariate, [S.YEAR])
-        visits = zscore(visits, "covariate_total", name="scalecovariate", stat_rows=yearly)
-    visits = null_safe_join(visits, parts.effort, [S.ROUTE, S.YEAR])
-    often = parts.visits.groupBy(S.ROUTE).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= rules.min_rows)
-    kept = drop_in(obs.where(F.col(S.SPECIES).isNotNull()), S.SPECIES, left_out) if left_out else obs
-    pairs = kept.groupBy(S.SPECIES, S.ROUTE).agg(sum_rm(S.COUNT).alias("__t"))
-    pairs = pairs.where(F.col(S.SPECIES).isNotNull() & (F.col("__t") > 0)).select(S.SPECIES, S.ROUTE)
-    rows = null_safe_join(visits, null_safe_join(pairs, often.select(S.ROUTE), [S.ROUTE], "left_semi"), [S.ROUTE], "inner")
-    keys = [c for c in parts.totals.columns if c != "RouteTotal"]
-    filled = null_safe_join(rows, parts.totals, keys)
+    visits, effort, totals = durable(parts.visits), durable(parts.effort), durable(parts.totals)
+    covariate = durable(yearly_covariate(obs, rules.covariate_species)) if rules.covariate_species else None
+    protocols = visits.select(S.PROTOCOL).distinct()
+
+    def decorate(df: DataFrame) -> DataFrame:
+        df = factor_code(df, S.PROTOCOL, "protocol_code", levels=protocols)
+        df = zscore(df, S.YEAR, name="scaleyear", stat_rows=visits)
+        if covariate is not None:
+            yearly = null_safe_join(visits, covariate, [S.YEAR])
+            df = null_safe_join(df, covariate, [S.YEAR])
+            df = zscore(df, "covariate_total", name="scalecovariate", stat_rows=yearly)
+        return null_safe_join(df, effort, [S.ROUTE, S.YEAR])
+
+    kept = drop_in(totals, S.SPECIES, left_out) if left_out else totals
+    often = visits.groupBy(S.ROUTE).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= rules.min_rows)
+    pairs = kept.where(F.col("RouteTotal") > 0).select(S.SPECIES, S.ROUTE).distinct()
+    pairs = null_safe_join(pairs, often.select(S.ROUTE), [S.ROUTE], "left_semi")
+    return _Parts(decorate(visits), decorate(kept), pairs)
+
+
+def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
+    """Zero-filled route totals of all species, coded, scaled, and reduced to qualifying routes.
+
+    Only the visits of qualifying routes are filled with zeros. The protocol enters the model as a number.
+    """
+    parts = _model_parts(obs, rules)
+    keys = [S.SPECIES, S.ROUTE, S.YEAR, S.PROTOCOL, "doy", S.COLLECTOR]
+    rows = null_safe_join(parts.visits, parts.pairs, [S.ROUTE], "inner")
+    filled = null_safe_join(rows, parts.totals.select(*keys, "RouteTotal"), keys)
     return filled.withColumn("RouteTotal", F.coalesce(F.col("RouteTotal"), F.lit(0))).withColumn(
         "RouteTotal_nb", detected("RouteTotal")
     )
 
 
+def model_cells(obs: DataFrame, rules: TrendRules, covariates: Sequence[str] = ("scaleyear", "protocol_code")) -> DataFrame:
+    """The same data as ``collapse_rows(model_rows(...))``, without ever writing out the zeros.
+
+    A zero adds nothing to a cell but its row count, and the number of visits in a cell is the same for all
+    species of a route. So visits and detections are summed by cell on their own and joined afterwards.
+    """
+    parts = _model_parts(obs, rules)
+    cell = list(dict.fromkeys([S.ROUTE, S.YEAR, "nstop", "scaleyear", *covariates]))
+    complete = [c for c in cell if c != S.ROUTE]
+    visits = parts.visits.na.drop(subset=complete).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    y = F.col("RouteTotal").cast("double")
+    found = parts.totals.na.drop(subset=complete).groupBy(S.SPECIES, *cell).agg(
+        F.sum(y).alias("total"), F.sum(y * y).alias("square")
+    )
+    cells = null_safe_join(visits, parts.pairs, [S.ROUTE], "inner")
+    out = null_safe_join(cells, found, [S.SPECIES, *cell])
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("total", "square")})
+
+
 @dataclass(frozen=True)
 class TrendModel:
     """How to model some species; ``species=None`` stands for all that no other model names."""
@@ -89,30 +130,35 @@ class TrendModel:
     route_effect: str = "gamma"
 
 
-def fitted_trends(rows: DataFrame, models: Sequence[TrendModel] = (TrendModel(),)) -> DataFrame:
-    """Fits and result table from model rows, which are stored once because all models need them.
+def _members(df: DataFrame, model: TrendModel, named: Sequence[str]) -> DataFrame:
+    if model.species is not None:
+        return keep_in(df, S.SPECIES, model.species)
+    return drop_in(df, S.SPECIES, named) if named else df
+
+
+def fitted_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel] = (TrendModel(),)) -> DataFrame:
+    """Fits and result table from cleaned observations.
 
     Each model is fitted for all its species together. The column ``Link`` marks species with an identity
     link, whose percent change is back-transformed like the others although their scale is not logarithmic.
     """
-    used = dict.fromkeys(["scaleyear", *(c for m in models for c in m.covariates)])
-    rows = durable(rows.select(S.SPECIES, S.ROUTE, S.YEAR, "RouteTotal", "nstop", *used))
     named = [sp for m in models for sp in m.species or ()]
+    counts = [m for m in models if m.family != "gaussian"]
     tables = []
+    if counts:
+        cells = durable(model_cells(obs, rules, list(dict.fromkeys(c for m in counts for c in m.covariates))))
     for model in models:
-        part = rows
-        if model.species is not None:
-            part = keep_in(rows, S.SPECIES, model.species)
-        elif named:
-            part = drop_in(rows, S.SPECIES, named)
         if model.family == "gaussian":
-            fits, link = gaussian_fit(part), "identity"
+            part = _members(model_rows(obs, rules), model, named)
+            fits, sd, link = gaussian_fit(part), sd_of_years(part), "identity"
         else:
-            fits, link = trend_fit(part, model.covariates, route_effect=model.route_effect), "log"
-        tables.append(trend_table(fits, sd_of_years(part)).withColumn("Link", F.lit(link)))
+            part = _members(cells, model, named)
+            fits = trend_fit(part, model.covariates, route_effect=model.route_effect, collapsed=True)
+            sd, link = sd_of_years(part, weight="n"), "log"
+        tables.append(trend_table(fits, sd).withColumn("Link", F.lit(link)))
     return stack(*tables)
 
 
 def species_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel] = (TrendModel(),)) -> DataFrame:
     """Result table for all species; the standard deviation of the year is that of the kept rows."""
-    return fitted_trends(model_rows(clean(obs, rules), rules), models)
+    return fitted_trends(clean(obs, rules), rules, models)

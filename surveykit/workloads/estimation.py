@@ -8,7 +8,7 @@ from ..functions.scalars import Z975
 from ..operators import draws as D, encode as N, nmix as M, occupancy as O, plotdata as P, trend as T
 from ..operators.joins import event_species_grid, null_safe_join
 from ..operators.summaries import correlation_test, route_totals
-from ..plans.species_trend import TrendModel, TrendRules, fitted_trends, model_rows
+from ..plans.species_trend import TrendModel, TrendRules, fitted_trends, model_cells, model_rows
 from .filling import TOTALS_COLUMNS
 from .registry import query, rounded
 from .summarising import SPECIES_YEAR, focal
@@ -95,14 +95,20 @@ def trend_rows(spark, sf):
     return model_rows(observations(spark, sf, *TOTALS_COLUMNS), RULES)
 
 
+def trend_cells(spark, sf, covariates):
+    return model_cells(observations(spark, sf, *TOTALS_COLUMNS), RULES, covariates)
+
+
 @query("trend_fit")
 def trend_fit(spark, sf):
-    return T.trend_fit(trend_rows(spark, sf), ["scaleyear", "protocol_code", "scalecovariate"])
+    covariates = ["scaleyear", "protocol_code", "scalecovariate"]
+    return T.trend_fit(trend_cells(spark, sf, covariates), covariates, collapsed=True)
 
 
 @query("trend_fit_fixed")
 def trend_fit_fixed(spark, sf):
-    return T.trend_fit(trend_rows(spark, sf), ["scaleyear", "protocol_code"], route_effect="fixed")
+    covariates = ["scaleyear", "protocol_code"]
+    return T.trend_fit(trend_cells(spark, sf, covariates), covariates, route_effect="fixed", collapsed=True)
 
 
 @query("trend_glm")
@@ -117,7 +123,7 @@ def trend_table(spark, sf):
         TrendModel(("LARGE",), ("scaleyear", "protocol_code", "scalecovariate")),
         TrendModel(("STANDARD",), family="gaussian"),
     )
-    return fitted_trends(trend_rows(spark, sf), models)
+    return fitted_trends(observations(spark, sf, *TOTALS_COLUMNS), RULES, models)
 
 
 @query("correlation_pvalue")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F, types as T
 
 from surveykit import schema as S
 from surveykit.operators.spatial import grid_polygons
-from surveykit.plans.species_trend import TrendModel, TrendRules, clean, model_rows, species_trends
+from surveykit.operators.trend import collapse_rows
+from surveykit.plans.species_trend import TrendModel, TrendRules, clean, model_cells, model_rows, species_trends
 from surveykit.sources import io
 
 SMALL = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.StringType()), T.StructField("x", T.DoubleType())])
@@ -109,6 +110,11 @@ def test_trend_plan(spark):
     keys = ["CommonName", "RouteIdentifier", "survey_year"]
     assert out.count() == out.select(*keys).distinct().count() == 2 * (6 * 8 - 1 - 2)
     assert {r.nstop for r in out.collect()} == {4} and {r.protocol_code for r in out.collect()} == {1, 2}
+    covariates = ["scaleyear", "protocol_code", "scalecovariate"]
+    cells = {tuple(r)[:6]: tuple(r)[6:] for r in collapse_rows(out, ["survey_year", *covariates[:2]]).collect()}
+    names = ["CommonName", "RouteIdentifier", "survey_year", "scaleyear", "protocol_code", "nstop", "n", "total", "square"]
+    short = model_cells(cleaned, rules, covariates[:2]).select(*names)
+    assert {tuple(r)[:6]: tuple(r)[6:] for r in short.collect()} == cells and len(cells) == 90
     table = species_trends(raw(spark), rules, [TrendModel(), TrendModel(("B",), family="gaussian")]).cache()
     assert table.columns[0] == "Group" and {r.Group: r.Link for r in table.collect()} == {"A": "log", "B": "identity"}
     assert table.where("Estimate is null or Std_Error is null or p_value is null").count() == 0, table.collect()
