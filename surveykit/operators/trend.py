@@ -134,19 +134,20 @@ def trend_fit(
 
     Each step is one pass over the collapsed rows: sums per species and route, then per species. Fixed effects
     cannot estimate a covariate that is constant within every route; such a term is dropped and flagged.
-    With ``collapsed`` the table already holds cells as :func:`collapse_rows` makes them.
+    With ``collapsed`` the table already holds cells as :func:`collapse_rows` makes them; every step reads
+    them, so they should be stored (:func:`operators.newton.durable`).
     """
     if route_effect not in ("gamma", "fixed", "none"):
         raise ValueError(f"unknown route effect {route_effect!r}")
     spark = df.sparkSession
     key_type = df.schema[by].dataType.simpleString()
-    cells = df if collapsed else collapse_rows(df, covariates, y, by, route, effort)
+    cells = df if collapsed else durable(collapse_rows(df, covariates, y, by, route, effort))
     log_effort = offset(effort) if effort else F.lit(0.0)
-    rows = durable(cells.select(
+    rows = cells.select(
         by, F.col(route).alias("__route"), log_effort.alias("__o"), F.col("n").alias("__n"),
         F.col("total").alias("__y"), F.col("square").alias("__yy"),
         *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(covariates, start=1)],
-    ))
+    )
     intercept = route_effect != "fixed"
     names = ([] if not intercept else ["(Intercept)"]) + list(covariates)
     terms = ([F.lit(1.0)] if intercept else []) + [F.col(f"__x{k}") for k in range(1, len(covariates) + 1)]

@@ -61,13 +61,13 @@ class _Parts:
 def _model_parts(obs: DataFrame, rules: TrendRules) -> _Parts:
     """Codes, scaled year, scaled covariate and effort, attached to visits and to detections.
 
-    The records are read for four reduced tables, which are stored; everything else derives from those. The
-    visits are the same for every species, so means and deviations are those of the visits, before any route is
-    dropped. A route qualifies for a species with at least one detection and ``min_rows`` visits.
+    Visits, detections and the yearly covariate are stored, because nearly everything else derives from
+    them. The visits are the same for every species, so means and deviations are those of the visits, before
+    any route is dropped. A route qualifies for a species with at least one detection and ``min_rows`` visits.
     """
     left_out = [*rules.excluded_species, *([rules.covariate_species] if rules.covariate_species else [])]
     parts = visit_totals(obs)
-    visits, effort, totals = durable(parts.visits), durable(parts.effort), durable(parts.totals)
+    visits, totals = durable(parts.visits), durable(parts.totals)
     covariate = durable(yearly_covariate(obs, rules.covariate_species)) if rules.covariate_species else None
     protocols = visits.select(S.PROTOCOL).distinct()
 
@@ -78,7 +78,7 @@ def _model_parts(obs: DataFrame, rules: TrendRules) -> _Parts:
             yearly = null_safe_join(visits, covariate, [S.YEAR])
             df = null_safe_join(df, covariate, [S.YEAR])
             df = zscore(df, "covariate_total", name="scalecovariate", stat_rows=yearly)
-        return null_safe_join(df, effort, [S.ROUTE, S.YEAR])
+        return null_safe_join(df, parts.effort, [S.ROUTE, S.YEAR])
 
     kept = drop_in(totals, S.SPECIES, left_out) if left_out else totals
     often = visits.groupBy(S.ROUTE).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= rules.min_rows)
@@ -92,7 +92,10 @@ def model_rows(obs: DataFrame, rules: TrendRules) -> DataFrame:
 
     Only the visits of qualifying routes are filled with zeros. The protocol enters the model as a number.
     """
-    parts = _model_parts(obs, rules)
+    return _rows(_model_parts(obs, rules))
+
+
+def _rows(parts: _Parts) -> DataFrame:
     keys = [S.SPECIES, S.ROUTE, S.YEAR, S.PROTOCOL, "doy", S.COLLECTOR]
     rows = null_safe_join(parts.visits, parts.pairs, [S.ROUTE], "inner")
     filled = null_safe_join(rows, parts.totals.select(*keys, "RouteTotal"), keys)
@@ -107,7 +110,10 @@ def model_cells(obs: DataFrame, rules: TrendRules, covariates: Sequence[str] = (
     A zero adds nothing to a cell but its row count, and the number of visits in a cell is the same for all
     species of a route. So visits and detections are summed by cell on their own and joined afterwards.
     """
-    parts = _model_parts(obs, rules)
+    return _cells(_model_parts(obs, rules), covariates)
+
+
+def _cells(parts: _Parts, covariates: Sequence[str]) -> DataFrame:
     cell = list(dict.fromkeys([S.ROUTE, S.YEAR, "nstop", "scaleyear", *covariates]))
     complete = [c for c in cell if c != S.ROUTE]
     visits = parts.visits.na.drop(subset=complete).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
@@ -144,12 +150,13 @@ def fitted_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel
     """
     named = [sp for m in models for sp in m.species or ()]
     counts = [m for m in models if m.family != "gaussian"]
+    parts = _model_parts(obs, rules)
     tables = []
     if counts:
-        cells = durable(model_cells(obs, rules, list(dict.fromkeys(c for m in counts for c in m.covariates))))
+        cells = durable(_cells(parts, list(dict.fromkeys(c for m in counts for c in m.covariates))))
     for model in models:
         if model.family == "gaussian":
-            part = _members(model_rows(obs, rules), model, named)
+            part = _members(_rows(parts), model, named)
             fits, sd, link = gaussian_fit(part), sd_of_years(part), "identity"
         else:
             part = _members(cells, model, named)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import Z975
 from ..operators import draws as D, encode as N, nmix as M, occupancy as O, plotdata as P, trend as T
 from ..operators.joins import event_species_grid, null_safe_join
+from ..operators.newton import durable
 from ..operators.summaries import correlation_test, route_totals
 from ..plans.species_trend import TrendModel, TrendRules, fitted_trends, model_cells, model_rows
 from .filling import TOTALS_COLUMNS
@@ -96,7 +97,7 @@ def trend_rows(spark, sf):
 
 
 def trend_cells(spark, sf, covariates):
-    return model_cells(observations(spark, sf, *TOTALS_COLUMNS), RULES, covariates)
+    return durable(model_cells(observations(spark, sf, *TOTALS_COLUMNS), RULES, covariates))
 
 
 @query("trend_fit")
