@@ -156,7 +156,8 @@ def fitted_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel
         cells = durable(_cells(parts, list(dict.fromkeys(c for m in counts for c in m.covariates))))
     for model in models:
         if model.family == "gaussian":
-            part = _members(_rows(parts), model, named)
+            rows = _rows(parts).select(S.SPECIES, S.ROUTE, S.YEAR, "scaleyear", "nstop", "RouteTotal")
+            part = durable(_members(rows, model, named))
             fits, sd, link = gaussian_fit(part), sd_of_years(part), "identity"
         else:
             part = _members(cells, model, named)
