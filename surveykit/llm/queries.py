@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, langid, reputation, sharding, token_counts
+from . import byte_bpe, chat, langid, near_duplicates, reputation, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,9 @@ def naive_bayes_language(spark, folder):
     model, held_out = language_model(docs)
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_superminhash_groups")
+def superminhash_groups(spark, folder):
+    docs = table(spark, folder, "documents")
+    return near_duplicates.near_duplicates(docs, near_duplicates.Near(size=2))
