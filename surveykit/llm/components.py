@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import Scratch
 
@@ -14,9 +15,12 @@ _MOST = 500_000
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links every node of a task's links to the root of its local group (union-find), in bounded memory."""
+    """Links every node of a task's links to the first node of its local group (union-find), in bounded memory."""
     parent: dict[int, int] = {}
 
+    def place(x: int) -> tuple[int, int]:
+        return zlib.crc32(str(x).encode()), x
+
     def find(x: int) -> int:
         root = x
         while parent[root] != root:
@@ -37,34 +41,39 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent.setdefault(y, y)
             x, y = find(x), find(y)
             if x != y:
-                parent[max(x, y)] = min(x, y)
+                x, y = sorted((x, y), key=place)
+                parent[y] = x
         if len(parent) > _MOST:
             yield flush()
     if parent:
         yield flush()
 
 
+def _place(node: str) -> Column:
+    """A random but fixed order of nodes, the same as in the tasks."""
+    return F.crc32(F.col(node).cast("string"))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, component`` (the smallest node of the group) for all nodes of the links ``a, b`` (bigint).
 
-    Each task first joins what its own links connect. Then every node moves to the neighbour with the smallest
-    hash, anew for each round, which shrinks what is left by a constant factor, whatever the shape of the graph.
+    Each task first joins what its own links connect. Then every node moves to its first neighbour in a random order
+    (twice), which leaves about one node in three, whatever the shape of the graph, until no link is left.
     """
-    edges = scratch.keep(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    edges = scratch.keep(links.select("a", "b").where("a <> b").distinct().mapInArrow(_forest, "a long, b long"), "edges")
     moves: list[DataFrame] = []
-    while True:
-        if edges.isEmpty():
-            break
-        salt = F.lit(len(moves))
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("to"))).alias("m"))
-        move = scratch.keep(near.select(F.col("a").alias("node"), F.when(
-            F.col("m.h") < F.xxhash64("a", salt), F.col("m.to")).otherwise(F.col("a")).alias("to")), "moves")
+        near = both.groupBy("a").agg(F.min(F.struct(_place("b").alias("place"), F.col("b").alias("to"))).alias("m"))
+        step = near.select(F.col("a").alias("node"), F.when(
+            F.col("m") < F.struct(_place("a").alias("place"), F.col("a").alias("to")), F.col("m.to")).otherwise(F.col("a")).alias("to"))
+        again = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        move = scratch.keep(step.join(again, "to").select("node", F.col("further").alias("to")), "moves")
         moves.append(move)
         first = edges.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-        moved = first.join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
-        merged = moved.select(F.col("x").alias("a"), F.col("y").alias("b")).mapInArrow(_forest, "a long, b long").distinct()
-        following = scratch.keep(merged, "edges")
+        moved = first.join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        following = scratch.keep(moved.mapInArrow(_forest, "a long, b long"), "edges")
         scratch.drop(edges)
         edges = following
     if not moves:

@@ -5,9 +5,9 @@ step j offers j plus a random fraction. So each slot holds the least (rank, frac
 element are all different (which lowers the variance), and no more steps are needed once every slot is filled.
 
 Documents with equal shingle sets are one class. Classes that agree in a band share a bucket; all are compared with
-the bucket's smallest one on their full sets, and the links found are grouped. Buckets that still hold several groups
-go on: random members of falling rarity are compared with all members of other groups, until every pair of the bucket
-is compared or connected. Work so stays near linear in large groups of copies, and no pair of a bucket is skipped.
+the bucket's smallest one on their full sets, and the links found are grouped. Where a bucket still holds several
+groups, its pairs from different groups are compared too, in blocks of bounded size that spread over all tasks and
+return only links. So large groups of copies cost little, and no pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -130,6 +130,87 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _block_links(percent: int):
+    """Links between classes of different groups that share a bucket, in one cell (a pair of blocks)."""
+    def run(table: pa.Table) -> pa.Table:
+        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+            column = table.column(name).combine_chunks()
+            bounds = column.offsets.to_numpy().astype(np.int64)
+            return column.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+        reps, groups = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        keys, key_bounds = flat("keys")
+        values, bounds = flat("shingles")
+        sizes = np.diff(bounds)
+        _, ids = np.unique(values, return_inverse=True)
+        row = np.repeat(np.arange(len(reps)), np.diff(key_bounds))
+        order = np.argsort(keys, kind="stable")
+        keys, row = keys[order], row[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(keys))
+        bucket = np.repeat(np.arange(len(starts)), ends - starts)
+        of_row = np.argsort(row, kind="stable")
+        row_bounds = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(reps)))))
+        within, here, near_a, near_b = i[0] == j[0], np.zeros(len(ids) + 1, bool), [], []
+        for a in range(len(reps)):
+            if block[a] != i[0]:
+                continue
+            mates = [row[starts[b]:ends[b]] for b in bucket[of_row[row_bounds[a]:row_bounds[a + 1]]]]
+            others = np.unique(np.concatenate(mates)) if mates else np.zeros(0, np.int64)
+            others = others[(groups[others] != groups[a]) & ((others > a) if within else (block[others] == j[0]))]
+            small, large = np.minimum(sizes[others], sizes[a]), np.maximum(sizes[others], sizes[a])
+            others = others[small * 100 >= large * percent]
+            if not len(others):
+                continue
+            mine = ids[bounds[a]:bounds[a + 1]]
+            here[mine] = True
+            lengths = sizes[others]
+            offset = np.concatenate(([0], np.cumsum(lengths)))
+            at = np.repeat(bounds[others] - offset[:-1], lengths) + np.arange(offset[-1])
+            common = np.add.reduceat(here[ids[at]].astype(np.int64), offset[:-1])
+            here[mine] = False
+            linked = others[common * 100 >= (lengths + sizes[a] - common) * percent]
+            near_a.append(np.full(len(linked), reps[a]))
+            near_b.append(reps[linked])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(near_a or none), "b": np.concatenate(near_b or none)})
+    return run
+
+
+def _finished(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int, scratch: Scratch,
+              cell: int = 1 << 20) -> DataFrame:
+    """The groups, after comparing what buckets still hold in different groups; ``cell`` bounds a block's shingles."""
+    known = labels.select(F.col("node").alias("rep"), "component")
+    placed = members.select("key", "rep").join(known, "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.count("*").alias("n")).where("lo <> hi and n > 2")
+    still = scratch.keep(placed.join(split.select("key", "lo"), "key"), "open")
+    if still.isEmpty():
+        return labels
+    areas = components(still.select(F.col("lo").alias("a"), F.col("component").alias("b")).where("a <> b"), scratch)
+    areas = areas.select(F.col("node").alias("component"), F.col("component").alias("area"))
+    rows = scratch.keep(still.groupBy("rep", "component").agg(F.collect_list("key").alias("keys")).join(
+        areas, "component").join(full.select(F.col("id").alias("rep"), "shingles"), "rep"), "blocks")
+    blocks = rows.groupBy("area").agg(F.ceil(F.sum(F.size("shingles")) / cell).cast("int").alias("n_blocks"))
+    dealt = rows.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "area", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "component",
+        "keys", "shingles")
+    extra = scratch.keep(dealt.groupBy("area", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "links")
+    if extra.isEmpty():
+        return labels
+    of = known.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
+    to = known.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
+    joined = components(extra.join(of, "a", "left").join(to, "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
+    nodes = labels.unionByName(extra.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return nodes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left"
+                      ).select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near(), doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
 
@@ -159,44 +240,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc: str = "doc_id", t
         _full_sets(near), "id long, shingles array<long>"), "sets")
     links = scratch.keep(_linked(pairs, full, near.percent), "links")
     labels = components(links, scratch)
-    tested, found = pairs, links
-
-    most = None
-    while True:
-        known = labels.select(F.col("node").alias("rep"), F.col("component"))
-        placed = members.select("key", "rep").join(known, "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("component"))
-        split = placed.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-        open_buckets = scratch.keep(placed.join(split.select("key", "n"), "key"), "open")
-        if most is None:
-            largest = open_buckets.agg(F.max("n")).first()[0]
-            if largest is None:
-                break
-            # a hub's level is the number of zero bits its hash ends with: each level is half as frequent
-            most = 3 * (int(largest).bit_length() // 3)
-            above = 64
-        hash_of = F.xxhash64("rep")
-        level = F.least(F.lit(63), F.length(F.regexp_extract(F.bin(hash_of), "(0*)$", 1)))
-        ranked = open_buckets.withColumn("level", level)
-        hubs = ranked.where((F.col("level") >= most) & (F.col("level") < above)).select(
-            "key", F.col("rep").alias("hub"), F.col("component").alias("hub_component"), F.col("level").alias("hub_level"))
-        met = ranked.where(F.col("level") < above).join(hubs, "key").where(
-            (F.col("component") != F.col("hub_component")) & (
-                (F.col("level") < most) | (F.col("rep") > F.col("hub"))))
-        fresh = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(
-            tested, ["a", "b"], "left_anti")
-        more = scratch.keep(fresh, "pairs")
-        if not more.isEmpty():
-            extra = scratch.keep(_linked(more, full, near.percent), "links")
-            if not extra.isEmpty():
-                found = found.unionByName(extra)
-                labels = components(found, scratch)
-            tested = tested.unionByName(more)
-        scratch.drop(open_buckets)
-        if most == 0:
-            break
-        above, most = most, most - 3
+    labels = _finished(members, labels, full, near.percent, scratch)
 
     joined = described.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").join(
         labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
