@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, langid, near_duplicates, reputation, sharding, token_counts
+from . import byte_bpe, chat, decontamination, langid, near_duplicates, pseudonyms, reputation, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,20 @@ def naive_bayes_language(spark, folder):
 def superminhash_groups(spark, folder):
     docs = table(spark, folder, "documents")
     return near_duplicates.near_duplicates(docs, near_duplicates.Near(size=2))
+
+
+@query("op7_spaced_seeds")
+def spaced_seeds(spark, folder):
+    """The overlaps found: documents that are not listed hold no benchmark passage."""
+    return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+PSEUDONYM_KEY = "a-key-of-the-deployment"
+
+
+@query("op9_feistel_pseudonyms")
+def feistel_pseudonyms(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY)
+    return done.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_replaced"),
+                       F.array_sort(F.array_distinct(F.transform("pii_found", lambda p: p["kind"]))).alias("kinds"))
