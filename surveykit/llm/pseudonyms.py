@@ -14,19 +14,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 _ROUNDS = 8
+_BETWEEN = "(?!^)(?!$)"  # the places between two characters
 
-#: kind: pattern of candidates
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
-    "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)",
-    "national": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|token) ?= ?\"?[A-Za-z0-9]{12,}\"?",
-}
-_ANY = "|".join(PATTERNS.values())
+#: kind: pattern of candidates, behind what must not stand in front of it
+_LETTERS = {"email": ("[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
+            "account": ("[A-Za-z0-9]", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+            "secret": ("[A-Za-z0-9]", r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|token) ?= ?\"?[A-Za-z0-9]{12,}\"?")}
+_DIGITS = {"ip": (r"[\d.]", r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
+           "date": (r"[\d./-]", r"\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./-])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./-])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)"),
+           "national": (r"[\d-]", r"\d{3}-\d{2}-\d{4}(?![\d-])"),
+           "phone": (r"[\w+(-]", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+(-])\d{3}-\d{3}-\d{4}(?![\d-])"),
+           "card": (r"[\d.-]", r"\d(?:[ -]?\d){12,18}(?![\d-])")}
+PATTERNS = {k: f"(?<!{before}){pattern}" for k, (before, pattern) in (_LETTERS | _DIGITS).items()}
+
+
+def _either(kinds: dict[str, tuple[str, str]]) -> str:
+    return "|".join(PATTERNS[k] for k in kinds)
+
+
+# at most places in a text two short looks show that nothing begins there: no digit or sign, and no start of a word
+_ANY = f"(?=[0-9+(])(?:{_either(_DIGITS)})|(?<![A-Za-z0-9])(?=[A-Za-z0-9._%+-])(?:{_either(_LETTERS)})"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _number(key: str, kind: str, step: Column, value: Column) -> Column:
@@ -57,25 +69,26 @@ def _shifted(char: Column, by: Column) -> Column:
 
 def permuted_text(key: str, kind: str, value: Column) -> Column:
     """A keyed permutation of strings that keeps the length and the class of each character."""
-    half = F.ceil(F.length(value) / 2).cast("int")
-    start = F.struct(F.substring(value, F.lit(1), half).alias("l"),
-                     F.substring(value, half + 1, F.length(value)).alias("r"))
-
     def moved(text: Column, other: Column, step: Column) -> Column:
-        # one digest for every 16 characters
-        chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
-        def shift(char: Column, i: Column) -> Column:
-            digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), step.cast("string"),
-                                        F.floor(i / 16).cast("string"), other), 256)
+        def shift(char: Column, digest: Column, i: Column) -> Column:
             return _shifted(char, F.conv(F.substring(digest, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int"))
-        return F.when(F.length(text) > 0, F.array_join(F.transform(chars, shift), "")).otherwise(text)
+
+        # one digest for every 16 characters
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 16)), lambda b: _let(F.sha2(F.concat_ws(
+            ":", F.lit(key), F.lit(kind), step.cast("string"), b.cast("string"), other), 256), lambda digest: F.array_join(F.transform(
+                F.split(F.substring(text, (b * 16 + 1).cast("int"), F.lit(16)), _BETWEEN), lambda c, i: shift(c, digest, i)), "")))
+        return F.when(F.length(text) > 0, F.array_join(blocks, "")).otherwise(text)
 
     def round_of(pair: Column, step: Column) -> Column:
         return F.when(step % 2 == 0, F.struct(moved(pair["l"], pair["r"], step).alias("l"), pair["r"].alias("r"))).otherwise(
             F.struct(pair["l"].alias("l"), moved(pair["r"], pair["l"], step).alias("r")))
 
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, round_of)
-    return F.concat(done["l"], done["r"])
+    def whole(text: Column) -> Column:
+        half = F.ceil(F.length(text) / 2).cast("int")
+        start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, round_of, lambda pair: F.concat(pair["l"], pair["r"]))
+
+    return _let(value, whole)
 
 
 def _digits(value: Column) -> Column:
@@ -84,53 +97,56 @@ def _digits(value: Column) -> Column:
 
 def _laid_out(value: Column, filling: Column, pattern: str) -> Column:
     """``value`` with its characters that match ``pattern`` replaced, in order, by those of ``filling``."""
-    chars = F.split(value, "(?!^)")
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
-
-    def put(state: Column, char: Column) -> Column:
-        return F.when(char.rlike(pattern), F.struct(
-            F.concat(state["out"], F.substring(filling, state["next"], F.lit(1))).alias("out"),
-            (state["next"] + 1).alias("next"))).otherwise(
-            F.struct(F.concat(state["out"], char).alias("out"), state["next"].alias("next")))
+    def put(new: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+        return F.aggregate(F.split(value, _BETWEEN), start, lambda state, char: F.when(char.rlike(pattern), F.struct(
+            F.concat(state["out"], F.substring(new, state["next"], F.lit(1))).alias("out"),
+            (state["next"] + 1).alias("next"))).otherwise(F.struct(
+                F.concat(state["out"], char).alias("out"), state["next"].alias("next"))), lambda state: state["out"])
 
-    return F.aggregate(chars, start, put, lambda state: state["out"])
+    return _let(filling, put)
 
 
 def check_digit(digits: Column) -> Column:
     """The digit that makes a card number of all digits before it valid."""
-    places = F.sequence(F.lit(1), F.length(digits))
+    def worth(d: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, F.floor(2 * d / 10).cast("int") + (2 * d) % 10).otherwise(d)
 
-    def worth(i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, F.floor(2 * d / 10).cast("int") + (2 * d) % 10).otherwise(d)
-
-    total = F.aggregate(F.transform(places, worth), F.lit(0), lambda a, x: a + x)
-    return ((10 - total % 10) % 10).cast("string")
+    numbers = F.transform(F.split(F.reverse(digits), _BETWEEN), lambda c, i: worth(F.ascii(c) - 48, i))
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x, lambda total: ((10 - total % 10) % 10).cast("string"))
 
 
 def _card(key: str, value: Column) -> Column:
-    digits = _digits(value)
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = F.concat(F.substring(body, F.lit(1), F.lit(1)), permuted_text(
-        key, "card", F.substring(body, F.lit(2), F.length(body))))
-    valid = check_digit(body) == F.substring(digits, F.length(digits), F.lit(1))
-    return F.when(valid, _laid_out(value, F.concat(new, check_digit(new)), "^[0-9]$")).otherwise(value)
+    """The first digit stays."""
+    def of(digits: Column) -> Column:
+        body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        new = F.concat(F.substring(body, F.lit(1), F.lit(1)), permuted_text(
+            key, "card", F.substring(body, F.lit(2), F.length(body))))
+        valid = check_digit(body) == F.substring(digits, F.length(digits), F.lit(1))
+        return F.when(valid, _let(new, lambda n: _laid_out(value, F.concat(n, check_digit(n)), "^[0-9]$"))).otherwise(value)
+
+    return _let(_digits(value), of)
 
 
 def _remainder(account: Column) -> Column:
     """Of an account number (without blanks) by 97, its first four characters moved behind the rest."""
-    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, F.lit(1), F.lit(4)))
-    chars = F.split(moved, "(?!^)")
-    return F.aggregate(chars, F.lit(0), lambda rest, c: F.when(
-        c.rlike("^[0-9]$"), (rest * 10 + (F.ascii(c) - 48)) % 97).otherwise((rest * 100 + (F.ascii(c) - 55)) % 97))
+    def of(plain: Column) -> Column:
+        moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(4)))
+        return F.aggregate(F.split(moved, _BETWEEN), F.lit(0), lambda rest, c: F.when(
+            c.rlike("^[0-9]$"), (rest * 10 + (F.ascii(c) - 48)) % 97).otherwise((rest * 100 + (F.ascii(c) - 55)) % 97))
+
+    return _let(account, of)
 
 
 def _account(key: str, value: Column) -> Column:
-    plain = F.replace(value, F.lit(" "), F.lit(""))
-    land = F.substring(plain, F.lit(1), F.lit(2))
-    body = permuted_text(key, "account", F.substring(plain, F.lit(5), F.length(plain)))
-    check = F.lpad((98 - _remainder(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0")
-    return F.when(_remainder(plain) == 1, _laid_out(value, F.concat(land, check, body), "^[A-Z0-9]$")).otherwise(value)
+    """The country stays, the check digits follow from the rest."""
+    def of(plain: Column) -> Column:
+        land = F.substring(plain, F.lit(1), F.lit(2))
+        body = permuted_text(key, "account", F.substring(plain, F.lit(5), F.length(plain)))
+        return F.when(_remainder(plain) == 1, _let(body, lambda b: _laid_out(value, F.concat(
+            land, F.lpad((98 - _remainder(F.concat(land, F.lit("00"), b))).cast("string"), 2, "0"), b), "^[A-Z0-9]$"))).otherwise(value)
+
+    return _let(F.replace(value, F.lit(" "), F.lit("")), of)
 
 
 def _phone(key: str, value: Column) -> Column:
@@ -144,40 +160,52 @@ def _phone(key: str, value: Column) -> Column:
 
 
 def _ip(key: str, value: Column) -> Column:
-    part = F.transform(F.split(value, r"\."), lambda p: p.cast("int"))
-    pair = permuted_pair(key, "ip", F.get(part, 0) * 256 + F.get(part, 1), F.get(part, 2) * 256 + F.get(part, 3), 65536, 65536)
-    new = F.concat_ws(".", F.floor(pair["l"] / 256), pair["l"] % 256, F.floor(pair["r"] / 256), pair["r"] % 256)
-    return F.when(F.forall(part, lambda p: p <= 255), new).otherwise(value)
+    def of(part: Column) -> Column:
+        pair = permuted_pair(key, "ip", F.get(part, 0) * 256 + F.get(part, 1), F.get(part, 2) * 256 + F.get(part, 3), 65536, 65536)
+        return F.when(F.forall(part, lambda p: p <= 255), _let(pair, lambda p: F.concat_ws(
+            ".", F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256))).otherwise(value)
+
+    return _let(F.transform(F.split(value, r"\."), lambda p: p.try_cast("int")), of)
 
 
 def _date(key: str, value: Column) -> Column:
     """Days of a cycle of 400 years (1800 to 2199): 146,097 = 189 x 773. A month comes first before ``/``."""
     iso, slash = value.contains("-"), value.contains("/")
-    part = F.split(value, "[-/.]")
-    year = F.when(iso, F.get(part, 0)).otherwise(F.get(part, 2))
-    month = F.when(iso | ~slash, F.get(part, 1)).otherwise(F.get(part, 0))
-    day = F.when(iso, F.get(part, 2)).when(slash, F.get(part, 1)).otherwise(F.get(part, 0))
-    real = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-    at = F.date_diff(real, F.lit("1800-01-01").cast("date"))
-    pair = permuted_pair(key, "date", F.floor(at / 773), at % 773, 189, 773)
-    new = F.date_add(F.lit("1800-01-01").cast("date"), (pair["l"] * 773 + pair["r"]).cast("int"))
-    wide = F.length(value) == 10
-    written = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(
-        slash, F.when(wide, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "M/d/yyyy"))).otherwise(
-        F.when(wide, F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "d.M.yyyy")))
-    return F.when(F.coalesce(at.between(0, 146_096), F.lit(False)), written).otherwise(value)
+    first = F.lit("1800-01-01").cast("date")
+
+    def real(part: Column) -> Column:
+        year = F.when(iso, F.get(part, 0)).otherwise(F.get(part, 2))
+        month = F.when(iso | ~slash, F.get(part, 1)).otherwise(F.get(part, 0))
+        day = F.when(iso, F.get(part, 2)).when(slash, F.get(part, 1)).otherwise(F.get(part, 0))
+        return F.date_diff(F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"), first)
+
+    def written(new: Column) -> Column:
+        wide = F.length(value) == 10
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(
+            slash, F.when(wide, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "M/d/yyyy"))).otherwise(
+            F.when(wide, F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "d.M.yyyy")))
+
+    def of(at: Column) -> Column:
+        pair = permuted_pair(key, "date", F.floor(at / 773), at % 773, 189, 773)
+        new = _let(pair, lambda p: F.date_add(first, (p["l"] * 773 + p["r"]).cast("int")))
+        return F.when(F.coalesce(at.between(0, 146_096), F.lit(False)), _let(new, written)).otherwise(value)
+
+    return _let(_let(F.split(value, "[-/.]"), real), of)
 
 
 def _national(key: str, value: Column) -> Column:
     """Three groups: 001 to 899 without 666, 01 to 99, 0001 to 9999."""
-    part = F.transform(F.split(value, "-"), lambda p: p.cast("int"))
-    area, group, serial = F.get(part, 0), F.get(part, 1), F.get(part, 2)
-    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    pair = permuted_pair(key, "national", area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, 898, 989_901)
-    new_area = pair["l"] + F.when(pair["l"] >= 665, 2).otherwise(1)
-    new = F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad(
-        (F.floor(pair["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((pair["r"] % 9999 + 1).cast("string"), 4, "0"))
-    return F.when(valid, new).otherwise(value)
+    def new(p: Column) -> Column:
+        return F.concat_ws("-", F.lpad((p["l"] + F.when(p["l"] >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad(
+            (F.floor(p["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((p["r"] % 9999 + 1).cast("string"), 4, "0"))
+
+    def of(part: Column) -> Column:
+        area, group, serial = F.get(part, 0), F.get(part, 1), F.get(part, 2)
+        valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        pair = permuted_pair(key, "national", area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, 898, 989_901)
+        return F.when(valid, _let(pair, new)).otherwise(value)
+
+    return _let(F.transform(F.split(value, "-"), lambda p: p.try_cast("int")), of)
 
 
 def _email(key: str, value: Column) -> Column:
