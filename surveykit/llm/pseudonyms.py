@@ -23,7 +23,7 @@ _LETTERS = {"email": ("[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:
 _DIGITS = {"ip": (r"[\d.]", r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
            "date": (r"[\d./-]", r"\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./-])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./-])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)"),
            "national": (r"[\d-]", r"\d{3}-\d{2}-\d{4}(?![\d-])"),
-           "phone": (r"[\w+(-]", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+(-])\d{3}-\d{3}-\d{4}(?![\d-])"),
+           "phone": (r"[\w+(-]", r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\.?\d)|(?<![\w+(-])\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)|(?<![\w+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\.?\d)|(?<![\w+(-])\d{3}-\d{3}-\d{4}(?![\d-])"),
            "card": (r"[\d.-]", r"\d(?:[ -]?\d){12,18}(?![\d-])")}
 PATTERNS = {k: f"(?<!{before}){pattern}" for k, (before, pattern) in (_LETTERS | _DIGITS).items()}
 

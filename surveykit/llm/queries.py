@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontamination, langid, near_duplicates, pseudonyms, reputation, sharding, token_counts
+from . import byte_bpe, chat, decontamination, langid, near_duplicates, near_vectors, pseudonyms, reputation, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +185,24 @@ def feistel_pseudonyms(spark, folder):
     done = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY)
     return done.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_replaced"),
                        F.array_sort(F.array_distinct(F.transform("pii_found", lambda p: p["kind"]))).alias("kinds"))
+
+
+_VECTOR_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+found as (select a, min(b) least from reach group by a),
+counted as (select a, count(*) n from links group by a)
+select e.vec_id, coalesce(n, 0) as n_links, least(e.vec_id, coalesce(f.least, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(f.least, e.vec_id)) as kept
+from embeddings e left join counted c on c.a = e.vec_id left join found f on f.a = e.vec_id
+"""
+
+
+@query("op8_pivot_permutations", _VECTOR_SQL)
+def pivot_permutations(spark, folder):
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
