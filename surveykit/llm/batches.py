@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.types import DataType, StructType
 
 
@@ -17,17 +19,20 @@ def process_cache(key: object, build: Callable[[], object]) -> object:
     return module.__dict__[key]
 
 
-def runs(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive texts with about ``most`` characters together; a longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        own = len(text or "")
-        if i > start and size + own > most:
-            yield start, i
-            start, size = i, 0
-        size += own
-    if start < len(texts):
-        yield start, len(texts)
+def parts(batch: pa.RecordBatch, at: int, most: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Consecutive slices of a batch with the texts of column ``at``, about ``most`` bytes of text in each.
+
+    A longer text is a slice of its own. What a task holds as Python objects so depends on the slice, not on the batch.
+    """
+    column = batch.column(at)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else [0]
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(offsets, int(offsets[start]) + most, "right")) - 1)
+        stop = min(stop, len(column))
+        part = batch.slice(start, stop - start)
+        yield part, part.column(at).to_pylist()
+        start = stop
 
 
 def extended(schema: StructType, *fields: tuple[str, str | DataType]) -> StructType:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .batches import extended, process_cache
+from .batches import extended, parts, process_cache
 
 _MOST = 1 << 18  # remembered pieces and pairs in a worker; forgetting them changes only the time
 
@@ -199,9 +199,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "t
 
         known, find, pieces = process_cache(key, lambda: (shared.value, regex.compile(pattern).findall, {}))
         encode_piece = known.encode_piece
-        for batch in batches:
+        for part, texts in (p for batch in batches for p in parts(batch, at, 1 << 20)):
             flat, offsets = [], [0]
-            for document in batch.column(at).to_pylist():
+            for document in texts:
                 for piece in find(document or ""):
                     got = pieces.get(piece)
                     if got is None:
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "t
                 offsets.append(len(flat))
             values = pa.array(np.array(flat, np.int32))
             column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
 
     return base.mapInArrow(run, schema)
 
@@ -231,14 +231,14 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", data: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.__getitem__
-        for batch in batches:
-            column = batch.column(at)
+        for part in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
+            column = part.column(at)
             values, offsets = _flat(column)
             there = column.is_valid().to_pylist()
             if len(values) and values.min() < 0:
                 raise ValueError("ids must not be negative")
             out = [b"".join(map(get, values[a:b].tolist())) if ok else None
                    for a, b, ok in zip(offsets[:-1], offsets[1:], there)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, data])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, data])
 
     return base.mapInArrow(run, schema)

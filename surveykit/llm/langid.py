@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import extended, process_cache, runs
+from .batches import extended, parts, process_cache
 
 UNDETERMINED = "und"
-_CHUNK = 400_000
+_CHUNK = 250_000
 
 
 @dataclass(frozen=True)
@@ -36,24 +36,23 @@ def _letters() -> np.ndarray:
 def _stretches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Lower-cased code points with blanks between words, and the text each belongs to; cut only at blanks."""
     letters = process_cache("letters", _letters)
-    for start, end in runs(texts, _CHUNK):
-        lowered = [" " + (t or "").lower() + " " for t in texts[start:end]]
-        codes = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
-        owner = np.repeat(np.arange(start, end), [len(t) for t in lowered])
-        codes = np.where(letters[codes], codes, np.uint32(32))
-        blank = codes == 32
-        keep = ~(blank & np.concatenate(([False], blank[:-1])) & np.concatenate(([False], owner[1:] == owner[:-1])))
-        codes, owner, blank = codes[keep], owner[keep], blank[keep]
-        at = 0
-        while at < len(codes):  # only one very long text needs more than one turn
-            stop = min(len(codes), at + 2 * _CHUNK)
-            if stop < len(codes):
-                gaps = np.flatnonzero(blank[at + 1:stop])
-                stop = at + 2 + int(gaps[-1]) if len(gaps) else stop
-            yield codes[at:stop], owner[at:stop]
-            if stop == len(codes):
-                break
-            at = stop - 1 if blank[stop - 1] else stop
+    lowered = [" " + (t or "").lower() + " " for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])
+    codes = np.where(letters[codes], codes, np.uint32(32))
+    blank = codes == 32
+    keep = ~(blank & np.concatenate(([False], blank[:-1])) & np.concatenate(([False], owner[1:] == owner[:-1])))
+    codes, owner, blank = codes[keep], owner[keep], blank[keep]
+    at = 0
+    while at < len(codes):  # only a very long text needs more than one turn
+        stop = min(len(codes), at + 2 * _CHUNK)
+        if stop < len(codes):
+            gaps = np.flatnonzero(blank[at + 1:stop])
+            stop = at + 2 + int(gaps[-1]) if len(gaps) else stop
+        yield codes[at:stop], owner[at:stop]
+        if stop == len(codes):
+            break
+        at = stop - 1 if blank[stop - 1] else stop
 
 
 def _grams(codes: np.ndarray, owner: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +89,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets:
     """
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for part, texts in (p for batch in batches for p in parts(batch, 0, _CHUNK)):
+            langs = part.column(1).to_pylist()
             names = sorted(set(langs))
             index = np.array([names.index(x) for x in langs], np.int64)
             for n in names:
@@ -137,8 +136,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned: LanguageModel = shared.value
         buckets = learned.grams.shape[1]
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
+        for part, texts in (p for batch in batches for p in parts(batch, at, _CHUNK)):
             total = np.tile(learned.prior, (len(texts), 1))
             seen = np.zeros(len(texts), np.int64)
             for codes, owner in _stretches(texts):
@@ -152,7 +150,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             sure = 1 / np.exp(total - top).sum(axis=1) if learned.languages else np.zeros(len(texts))
             names = [learned.languages[b] if k else UNDETERMINED for b, k in zip(best, known)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(np.where(known, sure, 0.0))],
-                [*batch.schema.names, "lang_pred", "score"])
+                [*part.columns, pa.array(names, pa.string()), pa.array(np.where(known, sure, 0.0))],
+                [*part.schema.names, "lang_pred", "score"])
 
     return base.mapInArrow(score, schema)

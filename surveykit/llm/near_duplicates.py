@@ -91,7 +91,7 @@ def _describe(near: Near):
                     total = np.concatenate(([np.uint64(0)], np.cumsum(mixed(values + np.uint64(salt)))))
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 keys = np.zeros((stop - start, near.bands), np.uint64)
-                for a, b in _slices(bounds, 150_000):
+                for a, b in _slices(bounds, 80_000):
                     own = superminhash(values[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a], near.bands * near.rows)
                     keys[a:b] = band_keys(own, near.bands, near.rows)
                 used = np.where(counts > 0, near.bands, 0)

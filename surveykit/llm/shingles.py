@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _RANDOM = np.random.default_rng(20240607)
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES[65:91] = _BYTES[97:123]
@@ -53,7 +53,7 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of pieces of about a megabyte that end in front of a blank, if there is one."""
+    """Bounds of pieces of about half a megabyte that end in front of a blank, if there is one."""
     start = 0
     while start < len(data):
         stop = min(len(data), start + _PIECE)
@@ -64,7 +64,7 @@ def _stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def sets(column: pa.StringArray, size: int, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def sets(column: pa.StringArray, size: int, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per run of texts: first and last row, the shingle hashes of each text (distinct, ascending), and their bounds.
 
     Runs hold about ``most`` bytes; a longer text is a run of its own.

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import extended, process_cache, runs
+from .batches import extended, parts, process_cache
 
 _BLANK = "▁"
 _BATCH = 1_000_000
@@ -88,15 +88,12 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, text: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = process_cache(key, lambda: Counter(shared.value, chunk, overlap))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            counts: list[int] = []
-            for start, end in runs(texts, _BATCH):
-                some = texts[start:end]
-                whole = [t for t in some if len(t) <= chunk + overlap]
-                sizes = iter(map(len, counter.encoder.encode(whole, num_threads=1)) if whole else ())
-                counts += [next(sizes) if len(t) <= chunk + overlap else len(counter.ids(t)) for t in some]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, "n_tokens"])
+        for part, found in (p for batch in batches for p in parts(batch, at, _BATCH)):
+            texts = [t or "" for t in found]
+            whole = [t for t in texts if len(t) <= chunk + overlap]
+            sizes = iter(map(len, counter.encoder.encode(whole, num_threads=1)) if whole else ())
+            counts = [next(sizes) if len(t) <= chunk + overlap else len(counter.ids(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], [*part.schema.names, "n_tokens"])
 
     counted = base.mapInArrow(run, schema)
     return counted.select(
