@@ -6,32 +6,24 @@ Spark action that returns, per group, a log-likelihood, a gradient and a small m
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import Scratch
+
 Evaluation = dict[object, tuple[float, np.ndarray, np.ndarray]]
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A copy that later steps read instead of recomputing, and that outlives its executors.
+    """A columnar copy in the session's shared folder, which later steps read instead of recomputing.
 
-    Uses the checkpoint folder of the session (``spark.checkpoint.dir``). Only a local session without one gets
-    a temporary folder; a cluster session without one is an error, because its workers share no local disk.
+    It outlives its executors and is removed when the session ends.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="surveykit-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    scratch = Scratch(df.sparkSession)
+    return scratch.leave(scratch.keep(df, "stored"))
 
 
 @dataclass

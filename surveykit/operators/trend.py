@@ -371,13 +371,14 @@ def sd_of_years(df: DataFrame, by: str = S.SPECIES, year: str = S.YEAR, weight:
 def trend_table(fits: DataFrame, sd_year: DataFrame, by: str = S.SPECIES, term: str = "scaleyear") -> DataFrame:
     """One row per species: coefficient, error, z, p, dispersion and yearly percent change.
 
-    The dispersion p-value of a simulation test is not computed and stays null.
+    ``converged`` is false for a fit that did not finish, ``dropped`` true for a year effect that the data cannot
+    give. The dispersion p-value of a simulation test is not computed and stays null.
     """
     rows = annual_change(null_safe_join(fits.where(F.col("term") == term), sd_year, [by]))
     return rows.select(
         F.col(by).alias("Group"), F.col("estimate").alias("Estimate"), F.col("se").alias("Std_Error"),
         F.col("z").alias("z_value"), F.col("p").alias("p_value"), F.col("phi").alias("Dispersion_ratio"),
-        F.lit(None).cast("double").alias("Dispersion_p_value"), "Annual_Per_Change",
+        F.lit(None).cast("double").alias("Dispersion_p_value"), "Annual_Per_Change", "converged", "dropped",
     )
 
 

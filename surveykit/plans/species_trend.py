@@ -110,22 +110,27 @@ def model_cells(obs: DataFrame, rules: TrendRules, covariates: Sequence[str] = (
     A zero adds nothing to a cell but its row count, and the number of visits in a cell is the same for all
     species of a route. So visits and detections are summed by cell on their own and joined afterwards.
     """
-    return _cells(_model_parts(obs, rules), covariates)
+    return complete_cells(_cells(_model_parts(obs, rules), covariates), covariates)
 
 
 def _cells(parts: _Parts, covariates: Sequence[str]) -> DataFrame:
+    """Cells of all rows of the kept routes; a missing covariate is a cell value like any other."""
     cell = list(dict.fromkeys([S.ROUTE, S.YEAR, "nstop", "scaleyear", *covariates]))
-    complete = [c for c in cell if c != S.ROUTE]
-    visits = parts.visits.na.drop(subset=complete).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    visits = parts.visits.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     y = F.col("RouteTotal").cast("double")
-    found = parts.totals.na.drop(subset=complete).groupBy(S.SPECIES, *cell).agg(
-        F.sum(y).alias("total"), F.sum(y * y).alias("square")
-    )
+    found = parts.totals.groupBy(S.SPECIES, *cell).agg(F.sum(y).alias("total"), F.sum(y * y).alias("square"))
     cells = null_safe_join(visits, parts.pairs, [S.ROUTE], "inner")
     out = null_safe_join(cells, found, [S.SPECIES, *cell])
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("total", "square")})
 
 
+def complete_cells(cells: DataFrame, covariates: Sequence[str]) -> DataFrame:
+    """The cells that one model is fitted to: without rows that lack one of its own covariates."""
+    key = list(dict.fromkeys([S.SPECIES, S.ROUTE, S.YEAR, "nstop", "scaleyear", *covariates]))
+    needed = [c for c in key if c not in (S.SPECIES, S.ROUTE)]
+    return cells.na.drop(subset=needed).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "total", "square")])
+
+
 @dataclass(frozen=True)
 class TrendModel:
     """How to model some species; ``species=None`` stands for all that no other model names."""
@@ -148,21 +153,27 @@ def fitted_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel
     Each model is fitted for all its species together. The column ``Link`` marks species with an identity
     link, whose percent change is back-transformed like the others although their scale is not logarithmic.
     """
+    for model in models:
+        if model.family not in ("poisson", "gaussian"):
+            raise ValueError(f"unknown family {model.family!r}")
+        if model.family == "gaussian" and tuple(model.covariates) not in ((), ("scaleyear",), TrendModel.covariates):
+            raise ValueError("a gaussian trend has no covariates but the year")
     named = [sp for m in models for sp in m.species or ()]
-    counts = [m for m in models if m.family != "gaussian"]
     parts = _model_parts(obs, rules)
     tables = []
-    if counts:
-        cells = durable(_cells(parts, list(dict.fromkeys(c for m in counts for c in m.covariates))))
+    # one table of cells serves all models; each leaves out only rows that lack a covariate of its own
+    cells = durable(_cells(parts, list(dict.fromkeys(c for m in models for c in m.covariates))))
     for model in models:
+        part = _members(cells, model, named)
+        # the year varies over all rows of the kept routes, also over those without a covariate
+        sd = sd_of_years(part, weight="n")
         if model.family == "gaussian":
             rows = _rows(parts).select(S.SPECIES, S.ROUTE, S.YEAR, "scaleyear", "nstop", "RouteTotal")
-            part = durable(_members(rows, model, named))
-            fits, sd, link = gaussian_fit(part), sd_of_years(part), "identity"
+            fits, link = gaussian_fit(durable(_members(rows, model, named))), "identity"
         else:
-            part = _members(cells, model, named)
-            fits = trend_fit(part, model.covariates, route_effect=model.route_effect, collapsed=True)
-            sd, link = sd_of_years(part, weight="n"), "log"
+            own = durable(complete_cells(part, model.covariates))
+            fits = trend_fit(own, model.covariates, route_effect=model.route_effect, collapsed=True)
+            link = "log"
         tables.append(trend_table(fits, sd).withColumn("Link", F.lit(link)))
     return stack(*tables)
 

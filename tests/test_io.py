@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -118,3 +120,22 @@ def test_trend_plan(spark):
     table = species_trends(raw(spark), rules, [TrendModel(), TrendModel(("B",), family="gaussian")]).cache()
     assert table.columns[0] == "Group" and {r.Group: r.Link for r in table.collect()} == {"A": "log", "B": "identity"}
     assert table.where("Estimate is null or Std_Error is null or p_value is null").count() == 0, table.collect()
+
+
+def test_models_do_not_change_each_other(spark):
+    """A covariate with records in some years only concerns the model that uses it."""
+    rules = TrendRules(("CA.XX",), 2016, 16.7167, "Sq", (), 3)
+    obs = raw(spark).where("not (CommonName <=> 'Sq' and survey_year < 2019)")
+    alone = {r.Group: r for r in species_trends(obs, rules, [TrendModel(("A",))]).collect()}
+    other = TrendModel(("B",), ("scaleyear", "protocol_code", "scalecovariate"))
+    both = {r.Group: r for r in species_trends(obs, rules, [TrendModel(("A",)), other]).collect()}
+    assert alone["A"].converged and not alone["A"].dropped
+    assert both["A"].Estimate == pytest.approx(alone["A"].Estimate, rel=1e-9)
+    assert both["A"].Annual_Per_Change == pytest.approx(alone["A"].Annual_Per_Change, rel=1e-9)
+    # the covariate model is fitted to later years, but its year is scaled by all rows of the kept routes
+    years = [r.survey_year for r in model_rows(clean(obs, rules), rules).where("CommonName = 'B'").collect()]
+    mean = sum(years) / len(years)
+    sd = (sum((y - mean) ** 2 for y in years) / (len(years) - 1)) ** 0.5
+    assert both["B"].Annual_Per_Change == pytest.approx((math.exp(both["B"].Estimate / sd) - 1) * 100, rel=1e-9)
+    with pytest.raises(ValueError):
+        species_trends(obs, rules, [TrendModel(family="nbinom1")])
