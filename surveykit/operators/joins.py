@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema as S
 from ..functions.nulls import n_distinct, sum_rm
 
-_SALTS = 64
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which a missing key matches a missing key.
@@ -111,13 +109,14 @@ def event_species_grid(events: DataFrame, species: DataFrame | Sequence[str], na
 
     A list of names is unfolded in place, without any join. A table of species is joined on a salt: the
     events carry one salt each, the species every salt. Spark broadcasts the species when their measured
-    size permits; otherwise the events are spread evenly over the salts.
+    size permits; otherwise the events are spread evenly over the salts, one for each shuffle partition.
     """
     if not isinstance(species, DataFrame):
         return events.withColumn(name, F.explode(F.lit(list(species))))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint")))
+    count = F.lit(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))).cast("bigint")
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
     return (
-        events.withColumn("__salt", F.pmod(F.xxhash64(*events.columns), F.lit(_SALTS).cast("bigint")))
+        events.withColumn("__salt", F.pmod(F.xxhash64(*events.columns), count))
         .join(species.withColumn("__salt", salts), "__salt")
         .drop("__salt")
     )

@@ -6,8 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
 from ..functions.scalars import Z975, digamma, lgamma, offset, ratio, trigamma
@@ -24,55 +23,61 @@ def normal_pvalue(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        for numerator in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + numerator * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + numerator / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
-
-
-def t_pvalue(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t."""
-    if not (df and df > 0) or t is None or math.isnan(t):
-        return math.nan
-    a, b, x = df / 2.0, 0.5, df / (df + t * t)
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+def _normal_tail(z: Column) -> Column:
+    """Both tails of the normal distribution: a series near the centre, a continued fraction outside."""
+    y = z * z / 2
+    inner = F.least(y, F.lit(1.5))
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(s: Column, n: Column) -> Column:
+        term = s["term"] * 2 * inner / (2 * n + 1)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
 
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), zero, add)["total"]
+    outer = F.greatest(y, F.lit(1.5))
+    fraction = F.aggregate(F.sequence(F.lit(200), F.lit(1), F.lit(-1)), F.lit(1.0), lambda f, k: 1 + k / (2 * outer * f))
+    density = F.exp(-y) / F.lit(math.sqrt(math.pi))
+    return F.when(y < 1.5, 1 - 2 * density * F.sqrt(inner) * series).otherwise(density / (F.sqrt(outer) * fraction))
 
-@F.pandas_udf(T.DoubleType())
-def _normal_udf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: normal_pvalue(v) if pd.notna(v) else None).astype("float64")
 
+def _t_tail(t: Column, df: Column) -> Column:
+    """Both tails of Student's t: the incomplete beta function as a continued fraction.
 
-@F.pandas_udf(T.DoubleType())
-def _t_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_pvalue(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
+    The fraction needs more terms the larger the degrees of freedom are, in proportion to their root.
+    """
+    upper, lower = t * t / (df + t * t), df / (df + t * t)
+    direct = lower < (df / 2 + 1) / (df / 2 + 2.5)
+    half = F.lit(0.5)
+    a, b, x = (F.when(direct, one).otherwise(two) for one, two in ((df / 2, half), (half, df / 2), (lower, upper)))
+    tiny = F.lit(1e-300)
+
+    def away(v: Column) -> Column:
+        return F.when(F.abs(v) > tiny, v).otherwise(tiny)
+
+    def add(s: Column, j: Column) -> Column:
+        m = F.floor(j / 2).cast("double")
+        even = m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))
+        numerator = x * F.when(j % 2 == 0, even).otherwise(odd)
+        d, c = 1 / away(1 + numerator * s["d"]), away(1 + numerator / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    first = 1 / away(1 - (a + b) * x / (a + 1))
+    zero = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    terms = F.sequence(F.lit(2).cast("bigint"), F.ceil(F.sqrt(df) * 6) + 200)
+    front = F.exp(lgamma(df / 2 + 0.5) - lgamma(df / 2) - F.lit(math.lgamma(0.5)) + df / 2 * F.log1p(-upper) + F.log(upper) / 2)
+    part = front * F.aggregate(terms, zero, add)["h"] / a
+    return F.when(upper <= 0, 1.0).when(lower <= 0, 0.0).when(direct, part).otherwise(1 - part)
 
 
 def pvalue(stat: str | Column, df: str | Column | None = None) -> Column:
-    """Two-sided p-value, normal or Student's t. For result tables of a few rows, not for raw data."""
-    return _normal_udf(stat) if df is None else _t_udf(stat, df)
+    """Two-sided p-value, normal or Student's t; null without a statistic or without degrees of freedom."""
+    stat = F.col(stat) if isinstance(stat, str) else stat
+    known = stat.isNotNull() & ~F.isnan(stat)
+    if df is None:
+        return F.when(known, _normal_tail(stat))
+    df = (F.col(df) if isinstance(df, str) else df).cast("double")
+    return F.when(known & (df > 0), _t_tail(stat, df))
 
 
 def with_t_pvalue(df: DataFrame, t: str = "t", dof: str = "df", name: str = "p") -> DataFrame:

@@ -9,10 +9,10 @@ from ..operators import draws as D, encode as N, nmix as M, occupancy as O, plot
 from ..operators.joins import event_species_grid, null_safe_join
 from ..operators.newton import durable
 from ..operators.summaries import correlation_test, route_totals
-from ..plans.species_trend import TrendModel, TrendRules, fitted_trends, model_cells, model_rows
+from ..plans.species_trend import TrendModel, TrendRules, fitted_trends, model_cells
 from .filling import TOTALS_COLUMNS
 from .registry import query, rounded
-from .summarising import SPECIES_YEAR, focal
+from .summarising import FOCAL_SQL, SPECIES_YEAR, correlation_sql, focal
 from .views import (
     COUNTS_SQL,
     DRAWS_SQL,
@@ -92,10 +92,6 @@ def index_trend(spark, sf):
     return rounded(out.withColumn("n_zero", F.col("n_zero").cast("int")), "percent_per_year")
 
 
-def trend_rows(spark, sf):
-    return model_rows(observations(spark, sf, *TOTALS_COLUMNS), RULES)
-
-
 def trend_cells(spark, sf, covariates):
     return durable(model_cells(observations(spark, sf, *TOTALS_COLUMNS), RULES, covariates))
 
@@ -114,7 +110,8 @@ def trend_fit_fixed(spark, sf):
 
 @query("trend_glm")
 def trend_glm(spark, sf):
-    return T.trend_glm(trend_rows(spark, sf).where(F.col("CommonName") == "ECONOMY"), ["scaleyear", "protocol_code"])
+    covariates = ["scaleyear", "protocol_code"]
+    return T.trend_fit(trend_cells(spark, sf, covariates), covariates, route_effect="none", collapsed=True)
 
 
 @query("trend_table")
@@ -127,9 +124,19 @@ def trend_table(spark, sf):
     return fitted_trends(observations(spark, sf, *TOTALS_COLUMNS), RULES, models)
 
 
-@query("correlation_pvalue")
+# for whole degrees of freedom the tail is a finite sum of powers
+_T_TAIL = (
+    ", round(CASE WHEN n <= 2 THEN NULL WHEN n % 2 = 0 THEN 1 - abs(r) * coalesce(list_sum(list_transform(range(0, (n - 2) //"
+    " 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) * pow(1 - r * r, k))), 0) / sqrt(pi()) ELSE 1 - 2 / pi() *"
+    " (asin(abs(r)) + abs(r) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: sqrt(pi()) / 2 *"
+    " exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(1 - r * r, k + 0.5))), 0)) END, 6) AS p"
+)
+
+
+@query("correlation_pvalue", correlation_sql("totals", "total_a", "total_b", FOCAL_SQL, more=_T_TAIL))
 def correlation_pvalue(spark, sf):
-    return T.with_t_pvalue(correlation_test(focal(spark, sf), "total_a", "total_b"))
+    out = T.with_t_pvalue(correlation_test(focal(spark, sf), "total_a", "total_b"))
+    return rounded(out, "r", "t", "conf_low", "conf_high", "p")
 
 
 # ---- repeated counts -------------------------------------------------------------------------------------

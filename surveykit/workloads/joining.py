@@ -51,12 +51,14 @@ def attach_species(spark, sf):
 
 @query("null_safe_join", on_obs(
     "SELECT e.RouteIdentifier, e.CommonName, n FROM (SELECT DISTINCT RouteIdentifier, CommonName FROM obs) e LEFT JOIN"
-    " (SELECT RouteIdentifier, CommonName, count(*) AS n FROM obs WHERE ObservationCount > 45 GROUP BY ALL) s ON"
+    " (SELECT RouteIdentifier, CommonName, count(*) AS n FROM obs WHERE ObservationCount IS NOT NULL GROUP BY ALL) s ON"
     " e.RouteIdentifier IS NOT DISTINCT FROM s.RouteIdentifier AND e.CommonName IS NOT DISTINCT FROM s.CommonName"
 ))
 def null_safe_join(spark, sf):
     obs = observations(spark, sf, "RouteIdentifier", "CommonName", "ObservationCount")
-    counts = obs.where(F.col("ObservationCount") > 45).groupBy("RouteIdentifier", "CommonName").agg(F.count(F.lit(1)).alias("n"))
+    counts = obs.where(F.col("ObservationCount").isNotNull()).groupBy("RouteIdentifier", "CommonName").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     return J.null_safe_join(events_frame(obs, ["RouteIdentifier", "CommonName"]), counts, ["RouteIdentifier", "CommonName"])
 
 
@@ -138,12 +140,12 @@ def site_join(spark, sf):
 
 @query("absent_points", on_obs(
     "SELECT \"pointID\", survey FROM stops WHERE \"pointID\" NOT IN (SELECT SurveyAreaIdentifier FROM obs WHERE"
-    " CommonName = 'ECONOMY' AND ObservationCount > 45)",
+    " CommonName = 'ECONOMY' AND ObservationCount > 0)",
     STOPS_SQL,
 ))
 def absent_points(spark, sf):
     obs = observations(spark, sf, "SurveyAreaIdentifier", "CommonName", "ObservationCount")
-    present = obs.where((F.col("CommonName") == "ECONOMY") & (F.col("ObservationCount") > 45))
+    present = obs.where((F.col("CommonName") == "ECONOMY") & (F.col("ObservationCount") > 0))
     return J.absent_points(stops(spark, sf), present.withColumnRenamed("SurveyAreaIdentifier", "pointID"))
 
 
@@ -186,14 +188,16 @@ def visit_matrix(spark, sf):
     return G.visit_matrix(occurrence(spark, sf), ["M", "taxa_code"])
 
 
+_BINS = {f"ObservationCount{k}": f"c{k}" for k in range(2, 10)}
+
+
 @query("to_long", on_obs(
-    "SELECT event_id, visit, bin, n FROM (UNPIVOT (SELECT event_id, visit, ObservationCount2 AS c2, ObservationCount3"
-    " AS c3 FROM obs) ON c2, c3 INTO NAME bin VALUE n) WHERE n IS NOT NULL"
+    "SELECT event_id, visit, bin, n FROM (SELECT event_id, visit, " + ", ".join(f"{c} AS {b}" for c, b in _BINS.items())
+    + " FROM obs) UNPIVOT INCLUDE NULLS (n FOR bin IN (" + ", ".join(_BINS.values()) + "))"
 ))
 def to_long(spark, sf):
-    obs = observations(spark, sf, "event_id", "visit", "ObservationCount2", "ObservationCount3")
-    obs = obs.withColumnsRenamed({"ObservationCount2": "c2", "ObservationCount3": "c3"})
-    return G.to_long(obs, ["event_id", "visit"], ["c2", "c3"], "bin", "n").where(F.col("n").isNotNull())
+    obs = observations(spark, sf, "event_id", "visit", *_BINS).withColumnsRenamed(_BINS)
+    return G.to_long(obs, ["event_id", "visit"], list(_BINS.values()), "bin", "n")
 
 
 @query("intervals_wide", on_obs(
@@ -222,13 +226,13 @@ def site_year_long(spark, sf):
 @query("count_history", on_obs(
     "SELECT RouteIdentifier, survey_year, CommonName, "
     + " || ',' || ".join(
-        f"coalesce(CAST(sum(CASE WHEN visit = {k} THEN ObservationCount END) AS VARCHAR), 'NA')" for k in range(1, 5)
+        f"coalesce(CAST(sum(CASE WHEN visit = {k} THEN ObservationCount END) AS VARCHAR), 'NA')" for k in range(1, 8)
     )
     + " AS history FROM obs GROUP BY RouteIdentifier, survey_year, CommonName"
 ))
 def count_history(spark, sf):
     keys = ["RouteIdentifier", "survey_year", "CommonName"]
     obs = observations(spark, sf, *keys, "visit", "ObservationCount")
-    out = G.count_history(obs, keys, (1, 2, 3, 4), count="ObservationCount")
+    out = G.count_history(obs, keys, range(1, 8), count="ObservationCount")
     text = F.transform("history", lambda v: F.coalesce(v.cast("string"), F.lit("NA")))
     return out.select(*keys, F.array_join(text, ",").alias("history"))

@@ -200,29 +200,29 @@ def mean_abundance(spark, sf):
     return rounded(E.mean_abundance(sites, ["CommonName", "survey_year"]), "mean", "se")
 
 
-def _correlation_sql(source: str, x: str, y: str, *ctes: str) -> str:
+def correlation_sql(source: str, x: str, y: str, *ctes: str, more: str = "") -> str:
     return on_obs(
         "SELECT n, round(r, 6) AS r, round(CASE WHEN n > 2 THEN r * sqrt(n - 2) / sqrt(1 - r * r) END, 6) AS t, n - 2 AS df,"
         f" round(CASE WHEN n > 3 THEN tanh(atanh(r) - {Z975} / sqrt(n - 3)) END, 6) AS conf_low,"
-        f" round(CASE WHEN n > 3 THEN tanh(atanh(r) + {Z975} / sqrt(n - 3)) END, 6) AS conf_high FROM (SELECT count(*) AS n,"
+        f" round(CASE WHEN n > 3 THEN tanh(atanh(r) + {Z975} / sqrt(n - 3)) END, 6) AS conf_high{more} FROM (SELECT count(*) AS n,"
         f" corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) AS r FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)",
         *ctes,
     )
 
 
-@query("correlation_test", _correlation_sql("totals", "total_a", "total_b", FOCAL_SQL))
+@query("correlation_test", correlation_sql("totals", "total_a", "total_b", FOCAL_SQL))
 def correlation_test(spark, sf):
     return rounded(E.correlation_test(focal(spark, sf), "total_a", "total_b"), "r", "t", "conf_low", "conf_high")
 
 
-@query("record_correlation", _correlation_sql("obs", "ObservationCount", "TimeObservationsStarted"))
+@query("record_correlation", correlation_sql("obs", "ObservationCount", "TimeObservationsStarted"))
 def record_correlation(spark, sf):
     obs = observations(spark, sf, "ObservationCount", "TimeObservationsStarted")
     out = E.correlation_test(obs, "ObservationCount", "TimeObservationsStarted")
     return rounded(out, "r", "t", "conf_low", "conf_high")
 
 
-@query("lagged_correlation", _correlation_sql(
+@query("lagged_correlation", correlation_sql(
     "(SELECT total_b, lag(total_a) OVER (ORDER BY survey_year) AS x_lag FROM totals)", "x_lag", "total_b", FOCAL_SQL
 ))
 def lagged_correlation(spark, sf):

@@ -204,17 +204,18 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPLICATES_SQL = (
     "replicates AS (SELECT CAST(SurveyAreaIdentifier % 791 + 1 AS INT) AS site, CAST(survey_year - 1994 AS INT) AS year_idx, "
-    + ", ".join(f"CAST(max(CASE WHEN visit = {k} THEN ObservationCount END) AS DOUBLE) AS r{k}" for k in range(1, 5))
+    + ", ".join(f"CAST(max(CASE WHEN (visit - 1) % 4 = {k - 1} THEN ObservationCount END) AS DOUBLE) AS r{k}" for k in range(1, 5))
     + " FROM obs GROUP BY 1, 2)"
 )
 
 
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest count per site, year and replicate, replicates side by side."""
+    """Largest count per site, year and replicate, replicates side by side; visit 5 is replicate 1 again."""
     obs = observations(spark, sf_dir, "SurveyAreaIdentifier", "survey_year", "visit", "ObservationCount")
 
     def rep(k: int) -> Column:
-        return F.max(F.when(F.col("visit") == k, F.col("ObservationCount"))).cast("double").alias(f"r{k}")
+        mine = (F.col("visit") - 1) % 4 == k - 1
+        return F.max(F.when(mine, F.col("ObservationCount"))).cast("double").alias(f"r{k}")
 
     return obs.groupBy(
         (F.col("SurveyAreaIdentifier") % 791 + 1).cast("int").alias("site"),

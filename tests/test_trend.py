@@ -157,13 +157,19 @@ def test_index_trend_counts_zeros(spark):
 
 def test_pvalues(spark):
     # two-sided table values of Student's t and the normal distribution
-    for t, df, p in ((12.706, 1, 0.05), (2.571, 5, 0.05), (2.228, 10, 0.05), (1.984, 100, 0.05), (4.032, 5, 0.01)):
-        assert T.t_pvalue(t, df) == pytest.approx(p, rel=2e-3)
-    assert T.t_pvalue(1.96, 1e7) == pytest.approx(T.normal_pvalue(1.96), rel=1e-4)
+    table = [(12.706, 1.0, 0.05), (2.571, 5.0, 0.05), (2.228, 10.0, 0.05), (1.984, 100.0, 0.05), (4.032, 5.0, 0.01), (0.0, 4.0, 1.0)]
+    rows = spark.createDataFrame(table, "t double, d double, want double")
+    for r in rows.select("want", T.pvalue("t", "d").alias("p")).collect():
+        assert r.p == pytest.approx(r.want, rel=2e-3)
+    zs = [0.0, 0.01, 0.5, 1.7, 1.74, 1.96, 3.0, 6.0, -6.0, 30.0, 60.0]
+    large = spark.createDataFrame([(z, 1e7) for z in zs], "z double, d double")
+    for r in large.select("z", T.pvalue("z").alias("p"), T.pvalue("z", "d").alias("t")).collect():
+        assert r.p == pytest.approx(T.normal_pvalue(r.z), rel=1e-10, abs=1e-300)
+        assert abs(r.z) > 6 or r.t == pytest.approx(r.p, rel=1e-3)
     assert T.normal_pvalue(1.959963984540054) == pytest.approx(0.05)
-    df = spark.createDataFrame([(2.571, 5.0), (None, 5.0)], "t double, d double")
+    df = spark.createDataFrame([(2.571, 5.0), (None, 5.0), (2.0, 0.0)], "t double, d double")
     out = df.select(T.pvalue("t", "d").alias("a"), T.pvalue("t").alias("b")).collect()
-    assert out[0].a == pytest.approx(0.05, rel=2e-3) and out[1].a is None and out[0].b == pytest.approx(0.01014, rel=1e-2)
+    assert out[0].a == pytest.approx(0.05, rel=2e-3) and out[1].a is None and out[2].a is None and out[0].b == pytest.approx(0.01014, rel=1e-2)
 
 
 def test_gamma_functions(spark):
