@@ -160,3 +160,9 @@ def trigamma(x: Column) -> Column:
     for term in low:
         out = out + F.lit(1.0) / (term * term)
     return out
+
+
+def hashed(*keys: str, seed: int = 1) -> Column:
+    """A number below 2^60 from the MD5 of the keys as text and the seed; any engine computes the same."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")

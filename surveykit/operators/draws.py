@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import plogis
+from ..functions.scalars import hashed, plogis
 from .joins import null_safe_join
 from .order_stats import frequencies, quantiles
 
@@ -31,7 +31,7 @@ def summarise_draws(draws: DataFrame, by: Sequence[str] = ("param", "idx"), valu
 
 def thin_draws(draws: DataFrame, n: int, seed: int = 1, draw: str = "draw") -> DataFrame:
     """All rows of ``n`` randomly chosen draws; the choice depends only on draw and seed."""
-    picked = draws.select(draw).distinct().orderBy(F.xxhash64(draw, F.lit(seed)), draw).limit(n)
+    picked = draws.select(draw).distinct().orderBy(hashed(draw, seed=seed), draw).limit(n)
     return draws.join(picked, draw, "left_semi")
 
 

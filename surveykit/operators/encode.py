@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import hashed, ratio
 from .joins import null_safe_join
 from .order_stats import frequencies, quantiles, value_ranks
 
@@ -71,32 +71,24 @@ def impute_by_rep(df: DataFrame, col: str, base: float = 39.0, step: float = 5.0
 def impute_empirical(df: DataFrame, col: str, keys: Sequence[str], seed: int = 1) -> DataFrame:
     """Missing values are drawn from the observed ones, with replacement and in proportion to frequency.
 
-    The draw is a hash of the row's ``keys``, so it does not change when the data are repartitioned. Drawn
-    positions and the observed values' position ranges meet on equal slices of the positions; a frequent
-    value lies in many slices, and the draws spread evenly over them. Without any observed value the missing
-    ones stay missing.
+    The draw is the MD5 of the row's ``keys`` and the seed, so it does not change when the data are repartitioned. Drawn
+    positions and the observed values' position ranges meet on slices of 256 positions; a frequent value lies in
+    many slices, and the draws spread evenly over them. Without any observed value the missing ones stay missing.
     """
     observed = df.where(F.col(col).isNotNull())
     ranks = value_ranks(frequencies(observed.select(col), [], col), [], col)
-    bound = observed.agg(
-        F.struct(
-            F.nullif(F.count(F.lit(1)), F.lit(0).cast("bigint")).alias("n"),
-            F.least(F.lit(1_000_000), F.greatest(F.lit(4096), F.count_distinct(col))).cast("double").alias("g"),
-        )
-    )
+    bound = observed.agg(F.nullif(F.count(F.lit(1)), F.lit(0).cast("bigint")))
 
     def slice_of(position):
-        return F.floor(position * F.col("__s.g") / F.col("__s.n"))
+        return F.shiftright(position, 8)
 
     ranges = (
-        ranks.withColumn("__s", bound.scalar())
-        .withColumn("__end", F.col("below") + F.col("n"))
+        ranks.withColumn("__end", F.col("below") + F.col("n"))
         .withColumn("__slice", F.explode(F.sequence(slice_of(F.col("below")), slice_of(F.col("__end") - 1))))
         .select(F.col(col).alias("__drawn"), "below", "__end", "__slice")
     )
-    missing = df.where(F.col(col).isNull()).withColumn("__s", bound.scalar())
-    draw = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.col("__s.n"))
-    drawn = missing.withColumn("__u", draw).withColumn("__slice", slice_of(F.col("__u")))
+    missing = df.where(F.col(col).isNull()).withColumn("__u", hashed(*keys, seed=seed) % bound.scalar())
+    drawn = missing.withColumn("__slice", slice_of(F.col("__u")))
     filled = drawn.join(ranges, "__slice", "left").where(
         F.col("below").isNull() | ((F.col("__u") >= F.col("below")) & (F.col("__u") < F.col("__end")))
     )

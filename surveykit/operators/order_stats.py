@@ -1,8 +1,8 @@
 """Exact ranks and quantiles of large groups without putting a group into one task.
 
-Values are first counted per (group, value). Groups with many different values are then cut into
-buckets of about equal size; the cut points are the values with the smallest hashes, so they are a random
-sample and at the same time the same on every recomputation. Ranks are the bucket's offset plus the rank
+Values are first counted per (group, value). Every group is then cut into buckets at values chosen by their hash, one
+in 4096, so the cut points are a random sample and at the same time the same on every recomputation; a group keeps at
+most a few per shuffle partition, as more would not spread the work further. Ranks are the bucket's offset plus the rank
 inside the bucket. Nothing is approximate: the buckets only spread the sorting.
 """
 
@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import keep_after, null_safe_join
 
-_CUTS = 511
-_LARGE = 65_536
-_STEPS = (256, 128, 64, 32, 16, 8, 4, 2, 1)
+_ONE_IN = 4096
+_PER_PARTITION = 4
 
 
 def frequencies(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -26,18 +25,17 @@ def frequencies(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def _bucketed(freq: DataFrame, by: list[str], value: str) -> DataFrame:
     # Every use of ``freq`` reads all its columns, so that Spark shuffles it once and reuses the exchange.
-    v = F.col(value)
+    v, mark = F.col(value), F.xxhash64(value, "n")
+    most = _PER_PARTITION * int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picks = freq.where(F.pmod(mark, F.lit(_ONE_IN)) == 0)
     if not by:
-        picks = freq.orderBy(F.xxhash64(v, "n"), v).limit(_CUTS)
-        cuts = picks.agg(F.sort_array(F.collect_list(v)).alias("c")).scalar()
+        cuts = picks.orderBy(mark, v).limit(most).agg(F.sort_array(F.collect_list(v)).alias("c")).scalar()
         out = freq.withColumn("__cuts", cuts)
     else:
-        large = freq.groupBy(*by).agg(F.count(F.lit(1)).alias("__d")).where(F.col("__d") > _LARGE).drop("__d")
-        first = Window.partitionBy(*by).orderBy(F.xxhash64(v, "n"), v)
+        first = Window.partitionBy(*by).orderBy(mark, v)
         cuts = (
-            null_safe_join(freq, large, by, "left_semi")
-            .withColumn("__r", F.row_number().over(first))
-            .where(F.col("__r") <= _CUTS)
+            picks.withColumn("__r", F.row_number().over(first))
+            .where(F.col("__r") <= most)
             .groupBy(*by)
             .agg(F.sort_array(F.collect_list(v)).alias("__cuts"))
         )
@@ -47,7 +45,8 @@ def _bucketed(freq: DataFrame, by: list[str], value: str) -> DataFrame:
         return F.when(F.get(F.col("__cuts"), found + step - 1) <= v, found + step).otherwise(found)
 
     # binary search for the number of cut points at or below the value
-    below = F.aggregate(F.lit(list(_STEPS)), F.lit(0), halve)
+    steps = [1 << k for k in reversed(range(most.bit_length()))]
+    below = F.aggregate(F.lit(steps), F.lit(0), halve)
     return out.withColumn("__b", F.when(F.col("__cuts").isNull(), 0).otherwise(below)).drop("__cuts")
 
 

@@ -94,7 +94,15 @@ def impute_by_rep(spark, sf):
     return N.impute_by_rep(cells(spark, sf), "y")
 
 
-@query("impute_empirical")
+@query("impute_empirical", on_obs(
+    "SELECT site, year_idx, rep, y FROM cells WHERE y IS NOT NULL UNION ALL SELECT site, year_idx, rep, known.y FROM drawn"
+    " LEFT JOIN known ON u >= below AND u < below + n",
+    REPLICATES_SQL, _CELLS,
+    "known AS (SELECT y, count(*) AS n, sum(count(*)) OVER (ORDER BY y) - count(*) AS below FROM cells WHERE y IS NOT NULL"
+    " GROUP BY y)",
+    "drawn AS (SELECT site, year_idx, rep, CAST('0x' || substr(md5(concat_ws('|', site, year_idx, rep, 7)), 1, 15) AS BIGINT)"
+    " % (SELECT count(y) FROM cells) AS u FROM cells WHERE y IS NULL)"
+))
 def impute_empirical(spark, sf):
     return N.impute_empirical(cells(spark, sf), "y", ["site", "year_idx", "rep"], seed=7)
 

@@ -405,7 +405,10 @@ def response_curves(spark, sf):
     return rounded(P.ribbons(curves, ["i"]), "mean", "lower", "upper")
 
 
-@query("thin_draws")
+@query("thin_draws", (
+    f"WITH {DRAWS_SQL} SELECT param, idx, draw, value FROM draws WHERE draw IN (SELECT draw FROM (SELECT DISTINCT draw FROM draws)"
+    " ORDER BY CAST('0x' || substr(md5(concat_ws('|', draw, 3)), 1, 15) AS BIGINT), draw LIMIT 1500)"
+))
 def thin_draws(spark, sf):
     return D.thin_draws(draws(spark, sf), 1500, seed=3)
 

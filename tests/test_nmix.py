@@ -148,6 +148,13 @@ def test_occupancy_likelihood_peaks_at_the_closed_form(spark):
     assert none == pytest.approx(math.log(0.5 * 0.36 + 0.5))
 
 
+def test_candidate_models():
+    models = A.candidate_models(("a", "b"), intercept=False)
+    assert len(models) == 10 and models[A.CONSTANT] == M.Formula()
+    assert models["both: a + b"] == M.Formula(("a", "b"), ("a", "b"), False, False)
+    assert models["detection: b"] == M.Formula(p=("b",), p_intercept=False)
+
+
 def test_abundance_plan(spark):
     stops = spark.createDataFrame([(f"p{i:03d}", "y" if i % 10 else "n") for i in range(200)], "pointID string, survey string")
     stations = spark.createDataFrame(
@@ -167,7 +174,7 @@ def test_abundance_plan(spark):
     h = A.histories(counts, stops, stations)
     assert h.count() == 180 * 2
     assert h.where(F.exists("history", lambda v: v.isNull())).count() == 0
-    coef, selection = A.select_models(h, {"m0": A.CANDIDATES["m0"], "m14": M.Formula(p=("jday",))}, k=60)
+    coef, selection = A.select_models(h, {n: A.candidate_models()[n] for n in (A.CONSTANT, "detection: jday")}, k=60)
     assert selection.count() == 4
     est = {r.spcd: r for r in A.abundance(h, coef, k=60).collect()}
     assert est["x"]["mean"] == pytest.approx(2.0, rel=0.4) and est["y"]["mean"] == pytest.approx(0.7, rel=0.5)

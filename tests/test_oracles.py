@@ -23,10 +23,5 @@ def test_query_equals_sql(spark, con, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["impute_empirical", "thin_draws"])
-def test_query_without_sql_has_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
-
-
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)

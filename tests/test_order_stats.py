@@ -15,8 +15,8 @@ PROBS = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.975, "q4": 1.0}
 @pytest.fixture(params=["whole", "cut"])
 def buckets(request, monkeypatch):
     if request.param == "cut":
-        monkeypatch.setattr(order_stats, "_LARGE", 20)
-        monkeypatch.setattr(order_stats, "_CUTS", 7)
+        monkeypatch.setattr(order_stats, "_ONE_IN", 5)
+        monkeypatch.setattr(order_stats, "_PER_PARTITION", 2)
     return request.param
 
 
