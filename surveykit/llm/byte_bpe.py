@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .batches import extended, parts, process_cache
@@ -177,11 +177,6 @@ def read_ranks(path: str) -> Vocabulary:
     return Vocabulary([t for _, t in ranked])
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False), offsets
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with the column ``ids`` (array of int): each match of ``pattern`` encoded on its own, no special tokens.
 
@@ -222,23 +217,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "t
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", data: str = "bytes") -> DataFrame:
     """The rows with the column ``data`` (binary), the bytes that ``ids`` stand for; null stays null.
 
-    A column that is already named ``data`` is replaced. An id outside the vocabulary is an error.
+    A column that is already named ``data`` is replaced. An id outside the vocabulary is an error. The tokens travel
+    with the plan as a literal, whose size does not depend on the data, and built-in functions put them together.
     """
     kept = [c for c in docs.columns if c != data]
-    base = docs.select(*kept)
-    at, schema = kept.index(ids), extended(base.schema, (data, "binary"))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.tokens)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
-        for part in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
-            column = part.column(at)
-            values, offsets = _flat(column)
-            there = column.is_valid().to_pylist()
-            if len(values) and values.min() < 0:
-                raise ValueError("ids must not be negative")
-            out = [b"".join(map(get, values[a:b].tolist())) if ok else None
-                   for a, b, ok in zip(offsets[:-1], offsets[1:], there)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, data])
-
-    return base.mapInArrow(run, schema)
+    tokens = F.split(F.lit(",".join(t.hex() for t in vocabulary.tokens)), ",")
+    unknown = F.raise_error(F.lit("an id outside the vocabulary"))
+    found = F.transform(F.col(ids), lambda i: F.coalesce(F.get(tokens, i), unknown))
+    return docs.select(*kept, F.unhex(F.array_join(found, "")).alias(data))

@@ -34,6 +34,12 @@ def test_bpe_equals_library_and_round_trips(spark, bpe):
         assert list(row["ids"]) == library.encode_ordinary(text)
         assert bytes(row["bytes"]) == text.encode()
     assert byte_bpe.encode(docs.limit(0), vocabulary, pattern).count() == 0
+    ids = spark.createDataFrame([([],), (None,), ([0, 1],)], "ids array<int>")
+    assert [r["bytes"] for r in byte_bpe.decode(ids, vocabulary).collect()] == [
+        b"", None, vocabulary.tokens[0] + vocabulary.tokens[1]]
+    for wrong in (-1, len(vocabulary.tokens), None):
+        with pytest.raises(Exception, match="outside the vocabulary"):
+            byte_bpe.decode(spark.createDataFrame([([0, wrong],)], "ids array<int>"), vocabulary).collect()
 
 
 def test_prefix_table_holds_every_prefix(bpe):
