@@ -3,7 +3,9 @@
 Some vectors serve as pivots, and every vector is described by its nearest pivots in order. Inverted lists are kept for
 every two pivots among the first few of a description; vectors that meet in a list are candidates if they share
 enough pivots, and candidates are verified by their cosine in double precision. The number of pivots grows with the
-square root of the number of vectors, so lists keep their length. Equal vectors are one class with a count.
+square root of the number of vectors, so lists keep their length. Pivots are kept apart: a dense group of near vectors
+has one of its own and is described by the same others, instead of by many almost equally close ones in any order. Equal
+vectors are one class with a count.
 """
 
 from __future__ import annotations
@@ -23,12 +25,17 @@ from .components import components
 
 @dataclass(frozen=True)
 class PivotIndex:
-    """``described`` nearest pivots describe a vector, pairs of the first ``listed`` are its lists, ``shared`` must agree."""
+    """``described`` nearest pivots describe a vector, pairs of the first ``listed`` are its lists, ``shared`` must agree.
+
+    No two pivots have a cosine above ``apart``; ``tried`` vectors are looked at for each pivot wanted.
+    """
 
     least_pivots: int = 64
     described: int = 10
     listed: int = 6
     shared: int = 5
+    apart: float = 0.9
+    tried: int = 8
 
 
 def usable(vector: Column) -> Column:
@@ -43,13 +50,27 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def choose_pivots(vectors: DataFrame, index: PivotIndex) -> dict[int, np.ndarray]:
-    """Unit vectors by dimension: the ones with the smallest hash, ``max(least_pivots, sqrt(rows))`` in all."""
+    """Unit vectors by dimension, in the order of their hash and apart: ``max(least_pivots, sqrt(rows))`` at most in all.
+
+    Where fewer are apart there are fewer, so that lists are longer, but nothing is lost.
+    """
     count = max(index.least_pivots, math.isqrt(vectors.count()))
-    rows = vectors.select("unit", F.xxhash64("unit").alias("h")).orderBy("h", "unit").limit(count).collect()
-    out: dict[int, list[list[float]]] = {}
-    for r in rows:
-        out.setdefault(len(r["unit"]), []).append(r["unit"])
-    return {n: np.array(v) for n, v in out.items()}
+    rows = vectors.select("unit", F.xxhash64("unit").alias("h")).orderBy("h", "unit").limit(count * index.tried).select("unit").toArrow()
+    out: dict[int, np.ndarray] = {}
+    sizes: dict[int, int] = {}
+    for unit in rows.column("unit"):
+        own = unit.values.to_numpy(zero_copy_only=False)
+        n = sizes.get(len(own), 0)
+        taken = out.setdefault(len(own), np.empty((0, len(own))))
+        if n and (taken[:n] @ own).max() > index.apart:
+            continue
+        if n == len(taken):
+            out[len(own)] = taken = np.concatenate([taken, np.empty((max(n, 64), len(own)))])
+        taken[n] = own
+        sizes[len(own)] = n + 1
+        if sum(sizes.values()) == count:
+            break
+    return {d: out[d][:n] for d, n in sizes.items()}
 
 
 def described(vectors: DataFrame, pivots: dict[int, np.ndarray], index: PivotIndex) -> DataFrame:

@@ -128,6 +128,19 @@ def test_vectors_equal_brute_force(spark):
     assert nv.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_of_a_dense_group_are_found(spark):
+    rng = np.random.default_rng(6)
+    center = rng.normal(size=64)
+    group = center / np.linalg.norm(center) + rng.normal(size=(2400, 64)) * np.sqrt(0.015 / 0.985 / 64)
+    vectors = np.concatenate([group, rng.normal(size=(17_600, 64))])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit[:2400] @ unit.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in nv.near_vectors(df).collect()}
+    assert len(found) == 20_000 and sum(found[i] for i in range(2400)) >= 0.999 * links.sum()
+    assert all(found[i] <= links[i] for i in range(2400))
+
+
 def test_vector_rows_without_id_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (6, [1.0, 0.01], 1)],
                                "vec_id long, embedding array<float>, label int")
