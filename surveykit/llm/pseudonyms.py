@@ -2,14 +2,15 @@
 
 Found values are checked (card numbers by their check digit, account numbers by their remainder, dates by the calendar,
 addresses by their ranges) and then permuted by a keyed Feistel network within their format: a valid card number becomes
-another valid card number of the same length, a date another date in the same notation. The permutation depends on key
+another valid card number of the same length, a date another date in the same notation. Where numbers stand next to each
+other, the card numbers among them are found by their check digits. The permutation depends on key
 and kind alone, so equal values stay equal in all documents, and different values stay different. What fails its check
 stays as it is. Everything is done by built-in functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,14 +25,18 @@ _DIGITS = {"ip": (r"[\d.]", r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
            "date": (r"[\d./-]", r"\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./-])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./-])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)"),
            "national": (r"[\d-]", r"\d{3}-\d{2}-\d{4}(?![\d-])"),
            "phone": (r"[\w+(-]", r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\.?\d)|(?<![\w+(-])\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)|(?<![\w+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\.?\d)|(?<![\w+(-])\d{3}-\d{3}-\d{4}(?![\d-])"),
-           "card": (r"[\d.-]", r"\d(?:[ -]?\d){12,18}(?![\d-])")}
+           "card": (r"[\d.-]", "")}
 PATTERNS = {k: f"(?<!{before}){pattern}" for k, (before, pattern) in (_LETTERS | _DIGITS).items()}
 
 
-def _either(kinds: dict[str, tuple[str, str]]) -> str:
+def _either(kinds: Iterable[str]) -> str:
     return "|".join(PATTERNS[k] for k in kinds)
 
 
+# all blocks of digits in a row, up to what begins another kind; which of them are a card number is decided by _cards
+_BLOCK = rf"(?!{_either(k for k in PATTERNS if k != 'card')})\d++"
+PATTERNS["card"] += rf"(?=(?:\d[ -]?){{13}}){_BLOCK}(?:[ -]{_BLOCK})*+"
+
 # at most places in a text two short looks show that nothing begins there: no digit or sign, and no start of a word
 _ANY = f"(?=[0-9+(])(?:{_either(_DIGITS)})|(?<![A-Za-z0-9])(?=[A-Za-z0-9._%+-])(?:{_either(_LETTERS)})"
 
@@ -117,17 +122,100 @@ def check_digit(digits: Column) -> Column:
 
 
 def _card(key: str, value: Column) -> Column:
-    """The first digit stays."""
+    """Of a valid card number; the first digit stays."""
     def of(digits: Column) -> Column:
         body = F.substring(digits, F.lit(1), F.length(digits) - 1)
         new = F.concat(F.substring(body, F.lit(1), F.lit(1)), permuted_text(
             key, "card", F.substring(body, F.lit(2), F.length(body))))
-        valid = check_digit(body) == F.substring(digits, F.length(digits), F.lit(1))
-        return F.when(valid, _let(new, lambda n: _laid_out(value, F.concat(n, check_digit(n)), "^[0-9]$"))).otherwise(value)
+        return _let(new, lambda n: _laid_out(value, F.concat(n, check_digit(n)), "^[0-9]$"))
 
     return _let(_digits(value), of)
 
 
+_SPANS = "array<struct<first:int,last:int>>"
+
+
+def _card_spans(blocks: Column) -> Column:
+    """First and last block (from 0) of each card number: 13 to 19 digits in whole blocks that pass the check digit.
+
+    Unbroken numbers and the usual layouts go first, then any other run of the blocks that are left, the longest first.
+    """
+    def valid(i: Column, j: Column) -> Column:
+        def of(digits: Column) -> Column:
+            size = F.length(digits)
+            return F.when(size.between(13, 19), check_digit(F.substring(digits, F.lit(1), size - 1)) == F.substring(
+                digits, size, F.lit(1))).otherwise(F.lit(False))
+
+        return _let(F.array_join(F.slice(blocks, i + 1, j - i + 1), ""), of)
+
+    def laid(i: Column, *sizes: int) -> Column:
+        fits = F.lit(True)
+        for k, n in enumerate(sizes):
+            fits = fits & F.coalesce(F.length(F.get(blocks, i + k)) == n, F.lit(False))
+        j = i + (len(sizes) - 1)
+        return F.when(fits, F.when(valid(i, j), j))
+
+    def usual(i: Column) -> Column:
+        return F.coalesce(F.when(F.length(F.get(blocks, i)) >= 13, F.when(valid(i, i), i)), laid(i, 4, 4, 4, 4),
+                          laid(i, 4, 4, 4, 4, 3), laid(i, 4, 6, 5), laid(i, 4, 6, 4))
+
+    def state(spans: Column, free: Column, seen: Column) -> Column:
+        return F.struct(spans.cast(_SPANS).alias("spans"), free.cast("int").alias("free"), seen.cast("int").alias("seen"))
+
+    def take(s: Column, i: Column, last: Column, seen: Column) -> Column:
+        return _let(last, lambda j: F.when(j.isNull(), s).otherwise(state(
+            F.concat(s["spans"], F.array(F.struct(i.cast("int").alias("first"), j.cast("int").alias("last")))), j + 1, seen)))
+
+    places = F.sequence(F.lit(0), F.size(blocks) - 1)
+    none = state(F.array(), F.lit(0), F.lit(0))
+
+    def rest(known: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            following = F.get(known, s["seen"])
+            limit = F.least(F.coalesce(following["first"], F.size(blocks)) - 1, i + 18)
+            longest = F.get(F.filter(F.sequence(limit, i, F.lit(-1)), lambda j: valid(i, j)), 0)
+            return F.when(i < s["free"], s).when(F.coalesce(i == following["first"], F.lit(False)), take(
+                s, i, following["last"], s["seen"] + 1)).otherwise(take(s, i, longest, s["seen"]))
+
+        return F.aggregate(places, none, step, lambda s: s["spans"])
+
+    return _let(F.aggregate(places, none, lambda s, i: F.when(i < s["free"], s).otherwise(
+        take(s, i, usual(i), F.lit(0))), lambda s: s["spans"]), rest)
+
+
+_PARTS = "array<struct<old:string,new:string>>"
+
+
+def _cards(key: str, value: Column) -> Column:
+    """``struct(new, parts)`` of a row of digit blocks: the row with its card numbers replaced, and each of them."""
+    def of(tokens: Column) -> Column:
+        def text(first: Column, last: Column) -> Column:
+            return F.array_join(F.slice(tokens, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+
+        def put(spans: Column) -> Column:
+            def made(span: Column, k: Column) -> Column:
+                gap = F.when(k > 0, F.get(spans, k - 1)["last"] + 1).otherwise(0)
+                # the blank before a card number is no part of it
+                whole = text(span["first"], span["last"])
+                return F.struct(text(gap, span["first"] - 1).alias("gap"), F.regexp_extract(whole, "^([ -]?)", 1).alias("blank"),
+                                F.regexp_replace(whole, "^[ -]", "").alias("old"))
+
+            def done(cards: Column) -> Column:
+                end = text(F.coalesce(F.element_at(spans, -1)["last"] + 1, F.lit(0)), F.size(tokens) - 1)
+                new = F.concat(F.array_join(F.transform(cards, lambda c: F.concat(c["gap"], c["blank"], c["new"])), ""), end)
+                return F.struct(new.alias("new"), F.transform(cards, lambda c: F.struct(
+                    c["old"].alias("old"), c["new"].alias("new"))).cast(_PARTS).alias("parts"))
+
+            cards = F.transform(F.transform(spans, made), lambda c: F.struct(
+                c["gap"].alias("gap"), c["blank"].alias("blank"), c["old"].alias("old"), _card(key, c["old"]).alias("new")))
+            return F.when(F.size(spans) > 0, _let(cards, done)).otherwise(F.struct(
+                value.alias("new"), F.array().cast(_PARTS).alias("parts")))
+
+        return _let(_let(F.transform(tokens, _digits), _card_spans), put)
+
+    return _let(F.regexp_extract_all(value, F.lit("([ -]?[0-9]+)"), 1), of)
+
+
 def _remainder(account: Column) -> Column:
     """Of an account number (without blanks) by 97, its first four characters moved behind the rest."""
     def of(plain: Column) -> Column:
@@ -220,20 +308,24 @@ def _secret(key: str, value: Column) -> Column:
 
 
 _MAKERS: dict[str, Callable[[str, Column], Column]] = {
-    "email": _email, "ip": _ip, "date": _date, "national": _national, "phone": _phone, "card": _card, "account": _account,
+    "email": _email, "ip": _ip, "date": _date, "national": _national, "phone": _phone, "card": _cards, "account": _account,
     "secret": _secret,
 }
 
 
 def pseudonym(key: str, value: Column) -> Column:
-    """``struct(kind, new)`` of one found value; ``new`` equals the value if that is not valid."""
+    """``struct(kind, new, parts)`` of one found value; ``new`` equals the value, and no part differs, if that is not valid."""
     # evaluated for the first fitting kind only
     out = None
     for kind, make in _MAKERS.items():
-        fits = value.rlike(rf"^(?:{PATTERNS[kind]})$")
-        made = F.struct(F.lit(kind).alias("kind"), make(key, value).alias("new"))
+        if kind == "card":
+            fits, of = value.rlike(r"^[0-9][0-9 -]*$"), make(key, value)
+        else:
+            fits, of = value.rlike(rf"^(?:{PATTERNS[kind]})$"), _let(make(key, value), lambda new: F.struct(
+                new.alias("new"), F.array(F.struct(value.alias("old"), new.alias("new"))).cast(_PARTS).alias("parts")))
+        made = _let(of, lambda o: F.struct(F.lit(kind).alias("kind"), o["new"].alias("new"), o["parts"].alias("parts")))
         out = F.when(fits, made) if out is None else out.when(fits, made)
-    return out.otherwise(F.struct(F.lit("none").alias("kind"), value.alias("new")))
+    return out.otherwise(F.struct(F.lit("none").alias("kind"), value.alias("new"), F.array().cast(_PARTS).alias("parts")))
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str = "pii_found") -> DataFrame:
@@ -248,10 +340,11 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str = "p
     seen = docs.select(*kept, hits.alias("__hits"))
     made = F.transform("__hits", lambda h: F.struct(h.alias("old"), pseudonym(key, h).alias("p")))
     known = seen.select(*kept, F.when(F.size("__hits") > 0, made).otherwise(F.array().cast(
-        "array<struct<old:string,p:struct<kind:string,new:string>>>")).alias("__made"))
+        f"array<struct<old:string,p:struct<kind:string,new:string,parts:{_PARTS}>>>")).alias("__made"))
     gaps = F.split(F.col(text), f"(?:{_ANY})", -1)
     rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__made", i)["p"]["new"], F.lit("")))), "")
-    changed = F.filter("__made", lambda m: m["old"] != m["p"]["new"])
+    parts = F.flatten(F.transform("__made", lambda m: F.transform(m["p"]["parts"], lambda x: F.struct(
+        m["p"]["kind"].alias("kind"), x["old"].alias("old"), x["new"].alias("new")))))
+    changed = F.filter(parts, lambda x: x["old"] != x["new"])
     columns = [F.when(F.size("__made") > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in kept]
-    return known.select(*columns, F.transform(changed, lambda m: F.struct(
-        m["p"]["kind"].alias("kind"), m["old"].alias("old"), m["p"]["new"].alias("new"))).alias(found))
+    return known.select(*columns, changed.alias(found))

@@ -146,6 +146,27 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert ps.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def test_cards_next_to_other_numbers(spark):
+    card, other, spaced = "4111111111111111", "5500005555555559", "4111 1111 1111 1111"
+    texts = [f"{card} 123", f"{spaced} 12/27", f"2 {card}", f"{other} 7", f"{card} 192.168.1.10", f"{card} {other}", f"1234 {spaced} 99",
+             f"{card} 123-45-6789", f"{card} 2024-02-29", f"{card} 12jo@mail.com", f"{card}-", "3782 822463 10005 1234",
+             "41 11111111 111111 123", "4111111111111112 77", f"{card}-10.1.2.3", "12 " * 20_000 + card, card]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = {r["id"]: r for r in ps.pseudonymised(df, "k").collect()}
+    out = {i: r["text"] for i, r in rows.items()}
+    new, new_other = out[16], out[3].split()[0]
+    wide = " ".join(new[k:k + 4] for k in range(0, 16, 4))
+    assert luhn(new) and luhn(new_other) and new != card and new_other != other
+    assert (out[0], out[1], out[2], out[3]) == (f"{new} 123", f"{wide} 12/27", f"2 {new}", f"{new_other} 7")
+    assert (out[5], out[6], out[10]) == (f"{new} {new_other}", f"1234 {wide} 99", f"{new}-")
+    for i, old, kind in ((4, "192.168.1.10", "ip"), (7, "123-45-6789", "national"), (8, "2024-02-29", "date"), (9, "12jo@mail.com", "email"),
+                         (14, "10.1.2.3", "ip")):
+        assert out[i].startswith(new) and old not in out[i] and [(p["kind"], p["old"]) for p in rows[i]["pii_found"]] == [("card", card), (kind, old)]
+    assert [(p["old"], p["new"]) for p in rows[5]["pii_found"]] == [(card, new), (other, new_other)]
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5} 1234", out[11]) and luhn(out[11][:-5].replace(" ", "")) and out[11] != texts[11]
+    assert out[12].replace(" ", "") == new + "123" and out[13] == texts[13] and out[15].endswith(new)
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(189 * 773).select(ps.permuted_pair("k", "d", F.floor(F.col("id") / 773), F.col("id") % 773, 189, 773).alias("p"))
     assert pairs.select("p.l", "p.r").distinct().count() == 189 * 773
