@@ -211,6 +211,16 @@ def _finished(members: DataFrame, labels: DataFrame, full: DataFrame, percent: i
                       ).select("node", F.coalesce("whole", "component").alias("component"))
 
 
+def _own_links(described: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
+    """Links ``a, b`` between the classes of ids with several different texts; an empty text counts as the id itself."""
+    text = F.struct(*same)
+    several = described.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where(
+        "lo <> hi").select("doc_id")
+    own = described.select("doc_id", *same).join(several, "doc_id", "left_semi").join(classes.select(*same, "rep"), same, "left").select(
+        "doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    return own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near(), doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
 
@@ -238,13 +248,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc: str = "doc_id", t
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     full = scratch.keep(source.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
         _full_sets(near), "id long, shingles array<long>"), "sets")
-    links = scratch.keep(_linked(pairs, full, near.percent), "links")
+    links = scratch.keep(_linked(pairs, full, near.percent).unionByName(_own_links(described, classes, same)), "links")
     labels = components(links, scratch)
     labels = _finished(members, labels, full, near.percent, scratch)
 
-    joined = described.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").join(
-        labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    whole = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    joined = described.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").withColumn(
+        "rep", F.coalesce("rep", "doc_id")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    whole = F.coalesce("component", "rep")
     result = scratch.leave(scratch.keep(joined.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), whole).alias("component_id")), "result"))
     scratch.close()

@@ -77,6 +77,14 @@ def test_rows_without_id_repeated_rows_and_empty_tables(spark):
     assert nd.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_in_one_group(spark):
+    first, second, third, fourth = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    rows = [(5, first), (5, second), (3, second), (4, third), (2, fourth), (7, third), (7, fourth), (6, ""), (6, first), (8, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in nd.near_duplicates(docs).collect())
+    assert out == sorted((i, c, i == c) for i, c in [(5, 3), (5, 3), (3, 3), (4, 2), (2, 2), (7, 2), (7, 2), (6, 3), (6, 3), (8, 8), (8, 8)])
+
+
 def test_shingle_sets_of_words_across_pieces():
     texts = ["a b a b a", None, "", "one", "x " * 700_000, "y" * 3_000_000 + " z"]
     got = {}
