@@ -26,6 +26,12 @@ _STOPS = "count(DISTINCT SurveyAreaIdentifier)"
 YEARS = tuple(range(1995, 2002))
 
 
+def survey_years(obs):
+    """``YEARS``, which the SQL names, and any other year of the table, in ascending order."""
+    found = obs.select("survey_year").where(F.col("survey_year").isNotNull()).distinct().collect()
+    return tuple(sorted({*YEARS, *(int(r["survey_year"]) for r in found)}))
+
+
 @query("attach_effort", on_obs(
     "SELECT event_id, visit, RouteIdentifier, survey_year, nstops FROM obs JOIN (SELECT RouteIdentifier, survey_year,"
     f" {_STOPS} AS nstops FROM obs GROUP BY ALL) USING (RouteIdentifier, survey_year)"
@@ -176,7 +182,7 @@ def stack(spark, sf):
 ))
 def wide_by_year(spark, sf):
     obs = observations(spark, sf, "RouteIdentifier", "survey_year", "SurveyAreaIdentifier")
-    return G.wide_by_year(E.stops_per_route_year(obs), ["RouteIdentifier"], "nstops", YEARS, prefix="y")
+    return G.wide_by_year(E.stops_per_route_year(obs), ["RouteIdentifier"], "nstops", survey_years(obs), prefix="y")
 
 
 @query("visit_matrix", (

@@ -8,7 +8,7 @@ from ..operators import plotdata as P
 from ..operators.occupancy import occupancy_detection
 from ..operators.summaries import route_totals
 from ..plans.quality import quality_tables
-from .joining import YEARS
+from .joining import YEARS, survey_years
 from .registry import query, rounded
 from .summarising import SPECIES_YEAR
 from .views import OCCURRENCE_SQL, VISITS_SQL, observations, occurrence, on_obs
@@ -60,4 +60,5 @@ def detection_labelled(spark, sf):
 ))
 def prop_stops_wide(spark, sf):
     obs = observations(spark, sf, "RouteIdentifier", "SurveyAreaIdentifier", "CommonName", "survey_year")
-    return rounded(quality_tables(obs, YEARS)["prop_stops_detected"], *[str(y) for y in YEARS])
+    years = survey_years(obs)
+    return rounded(quality_tables(obs, years)["prop_stops_detected"], *[str(y) for y in years])
