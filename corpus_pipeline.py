@@ -29,13 +29,35 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group (five words, similarity 0.8).
+    """Keeps the document with the smallest id of each group (five words, similarity 0.8), by its own text.
 
-    Of rows that share an id one stays; rows without an id are in no group and stay.
+    Of rows that agree in id and text one stays, the first in the order of the other columns. Rows that share an id, or have
+    none, but differ in text are documents of their own; a missing id counts as the largest, then the text's digest decides.
     """
-    kept = near_duplicates.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    scratch = Scratch(spark)
+    wide = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    often = wide.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
+    plain = wide.where("__id is not null").join(often, "__id", "left_anti").withColumn("__node", F.col("__id"))
+    shared = wide.join(often, "__id", "left_semi").unionByName(wide.where("__id is null"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = shared.groupBy("doc_id", "__id", "text").agg(F.min(F.struct(F.lit(0).alias("__none"), *others)).alias("__row"))
+    # numbers outside the range of ids
+    least, most = wide.agg(F.min("__id"), F.max("__id")).first()
+    number = F.monotonically_increasing_id()
+    free = F.lit(min(least or 0, 0) - 1) - number if (least or 0) >= -(1 << 62) else F.lit(most + 1) + number
+    one = scratch.leave(scratch.keep(one.select("doc_id", "__id", "text", *[F.col(f"__row.{c}").alias(c) for c in others]).withColumn(
+        "__node", free.cast("long")), "shared"))
+    scratch.close()
+    texts = plain.select("__node", "text").unionByName(one.select("__node", "text"))
+    found = near_duplicates.near_duplicates(texts, doc="__node").select(F.col("doc_id").alias("__node"), "component_id", "kept")
+    if one.isEmpty():
+        return plain.join(found.where("kept").select("__node"), "__node", "left_semi").select(*docs.columns)
+    known = found.join(one.select("__node", F.lit(True).alias("own"), "__id", F.sha2("text", 256).alias("digest")), "__node", "left")
+    place = F.struct((F.col("own").isNotNull() & F.col("__id").isNull()).alias("last"), F.coalesce(
+        "__id", F.when(F.col("own").isNull(), F.col("__node"))).alias("id"), "digest", "__node")
+    kept = known.groupBy("component_id").agg(F.min(place).alias("first")).select("first.__node")
+    return plain.join(kept, "__node", "left_semi").select(*docs.columns).unionByName(
+        one.join(kept, "__node", "left_semi").select(*docs.columns))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -34,3 +34,14 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark):
         for _, stage in cp.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), stage(spark, docs, FOLDER).schema)
         assert sorted(r["doc_id"] or -1 for r in docs.collect()) == ([-1, 2] if given else [])
+
+
+def test_near_dedup_by_text_where_ids_repeat_or_miss(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c, d = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, c), (None, c), (None, d), (9, d), (None, ""), (3, None), (7, c), (7, "y z"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", 1) for n, (i, t) in enumerate(rows)], kind)
+    out = {(r["doc_id"], r["text"], r["source"]) for r in cp.near_dedup(spark, docs.repartition(5), FOLDER).collect()}
+    assert out == {(1, a, "s0"), (2, b, "s2"), (9, d, "s7"), (None, "", "s8"), (3, None, "s9"), (7, c, "s10"), (7, "y z", "s11"), (7, None, "s12")}
+    plain = cp.near_dedup(spark, docs.where("doc_id in (1, 9, 3)"), FOLDER)
+    assert plain.columns == docs.columns and plain.count() == 3
