@@ -229,6 +229,21 @@ def site_year_long(spark, sf):
     return G.site_year_long(replicates(spark, sf), "site", "year_idx", "r1")
 
 
+_REPS = ["r1", "r2", "r3", "r4"]
+
+
+@query("site_year_totals", on_obs(
+    "SELECT site, year_idx, CASE WHEN coalesce(" + ", ".join(_REPS) + ") IS NOT NULL THEN "
+    + " + ".join(f"coalesce({r}, 0)" for r in _REPS) + " END AS v FROM replicates",
+    REPLICATES_SQL,
+))
+def site_year_totals(spark, sf):
+    """Like ``site_year_long``, but over all replicates; missing where none was counted."""
+    total = sum((F.coalesce(r, F.lit(0.0)) for r in _REPS), F.lit(0.0))
+    rows = replicates(spark, sf).withColumn("total", F.when(F.coalesce(*_REPS).isNotNull(), total))
+    return G.site_year_long(rows, "site", "year_idx", "total")
+
+
 @query("count_history", on_obs(
     "SELECT RouteIdentifier, survey_year, CommonName, "
     + " || ',' || ".join(
