@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontamination, langid, near_duplicates, near_vectors, pseudonyms, reputation, sharding, token_counts
+from . import (byte_bpe, chat, class_ngrams, conversation_repair, decontamination, langid, lexical, near_duplicates, near_vectors, pseudonyms, reputation,
+               sharding, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +207,117 @@ from embeddings e left join counted c on c.a = e.vec_id left join found f on f.a
 @query("op8_pivot_permutations", _VECTOR_SQL)
 def pivot_permutations(spark, folder):
     return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+_RANKED_SQL = r"""
+with held as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') words from documents where text is not null),
+sizes as (select row_number() over () doc, doc_id, words, len(words)::bigint n from held where len(words) > 0),
+total as (select count(*)::bigint nd, sum(n)::bigint nl from sizes),
+postings as (select doc, term, count(*)::bigint tf from (select doc, unnest(words) term from sizes) group by 1, 2),
+asked as (
+  select item, item_id, term, count(*)::bigint times from (
+    select row_number() over () item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark) group by 1, 2, 3),
+weighted as (select term, floor(1000 * ln((2 * any_value(nd) + 2)::double / (2 * count(*) + 1)))::bigint w from postings, total group by term),
+scored as (
+  select item, item_id, doc, any_value(doc_id) doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // nl))))::bigint score
+  from asked join weighted using (term) join postings using (term) join sizes using (doc), total group by 1, 2, 3),
+placed as (select *, row_number() over (partition by item order by score desc, doc_id) rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from placed where rank <= 20
+"""
+
+
+@query("op11_dual_tree_search", _RANKED_SQL)
+def dual_tree_search(spark, folder):
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_brown_classes")
+def brown_classes(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return class_ngrams.score_texts(marked, marked.where("not held_out"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a part of their rows dropped, emptied, cut, repeated or given to the user, by a checksum of their keys."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind, blank = F.crc32(key) % 20, F.lit(" ")
+    text = F.coalesce("text", blank)
+    said = rows.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("times"))
+    return said.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "copy")
+
+
+_REPAIR_SQL = r"""
+with recursive
+crc_table as (select list(c order by n) t from (select n, list_reduce(list_prepend(n::ubigint, list_transform(range(8), lambda x: x::ubigint)),
+  lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) c from range(256) r(n))),
+source as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+summed as (select s.*, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint,
+  list_transform(string_split(key, ''), lambda x: ord(x)::ubigint)), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint]))) % 20 as kind
+  from source s, crc_table),
+rows0 as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+  case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, copy
+  from summed, range(2) c(copy) where kind <> 0 and (copy = 0 or kind = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) nr,
+  row_number() over (partition by conv_id, role, text order by turn nulls first, copy) seen from rows0),
+faulty as (select *, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else '-' end as initial,
+  case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when seen > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else 'fine' end as fault from placed),
+figures as (
+  select conv_id, max(nr) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (last is not null and last || initial not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(initial) over (partition by conv_id order by nr) last from faulty) group by conv_id),
+inserts(state, before, letters, said) as (values
+  ('', '', '', []::varchar[]), ('', 'u', 'I', ['user:']), ('', 'a', 'II', ['user:', 'assistant:']),
+  ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']),
+  ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('a', 'a', '', []), ('a', 'u', 'I', ['user:'])),
+edits as (
+  select conv_id, nr, before, 'D' as letter, before as behind, 3 as cost, []::varchar[] as kept from faulty, (select distinct before from inserts)
+  union all
+  select conv_id, nr, before, 'K', initial, (fault = 'truncated')::int, [role || ':' || text] from faulty, (select distinct before from inserts)
+  where fault in ('fine', 'truncated') and (initial = 's' and before = '' or initial = 'u' and before in ('', 's', 'a') or initial = 'a' and before = 'u')
+  union all
+  select conv_id, nr, before, 'R', case when before = 'u' then 'a' else 'u' end, 2 + (fault = 'truncated')::int,
+    [case when before = 'u' then 'assistant:' else 'user:' end || text] from faulty, (select distinct before from inserts)
+  where fault in ('fine', 'truncated') and initial <> case when before = 'u' then 'a' else 'u' end),
+steps(conv_id, pos, best) as (
+  select conv_id, 0::bigint, [{'state': '', 'cost': 0, 'audit': '', 'said': []::varchar[]}] from figures
+  union all
+  select conv_id, nr, list({'state': behind, 'cost': (least_way).cost, 'audit': (least_way).audit, 'said': (least_way).said}) from (
+    select s.conv_id, e.nr, e.behind, min({'cost': (b.way).cost + 2 * length(i.letters)::int + e.cost, 'audit': (b.way).audit || i.letters || e.letter,
+      'said': (b.way).said || i.said || e.kept}) least_way
+    from steps s, lateral (select unnest(s.best) way) b, inserts i, edits e
+    where i.state = (b.way).state and e.before = i.before and e.conv_id is not distinct from s.conv_id and e.nr = s.pos + 1
+    group by 1, 2, 3) group by 1, 2),
+finals as (
+  select s.conv_id, min({'cost': (b.way).cost + 2 * length(c.letters)::int, 'audit': (b.way).audit || c.letters, 'said': (b.way).said || c.said}) way
+  from steps s join figures f on f.conv_id is not distinct from s.conv_id and f.n = s.pos, lateral (select unnest(s.best) way) b,
+    (values ('', '', []::varchar[]), ('s', 'II', ['user:', 'assistant:']), ('u', 'I', ['assistant:']), ('a', '', [])) c(state, letters, said)
+  where c.state = (b.way).state group by 1)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce((way).cost, 0)::bigint as cost,
+  coalesce((way).audit, '') as audit, sha256(coalesce(array_to_string((way).said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join figures f on f.conv_id is not distinct from o.conv_id
+  left join finals w on w.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op12_prefix_doubling_repair", _REPAIR_SQL)
+def prefix_doubling_repair(spark, folder):
+    rows = table(spark, folder, "conversations")
+    done = conversation_repair.repair(damaged(rows)).summary.withColumnRenamed("conv_id", "own")
+    every = rows.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(done, every["conv_id"].eqNullSafe(done["own"]), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
