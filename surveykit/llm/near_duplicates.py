@@ -197,7 +197,7 @@ def _finished(members: DataFrame, labels: DataFrame, full: DataFrame, percent: i
     dealt = rows.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn(
         "with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "area", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "component",
-        "keys", "shingles")
+        "keys", "shingles").repartition("area", "i", "j")  # else all cells of an area would be in the task of their join
     extra = scratch.keep(dealt.groupBy("area", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "links")
     if extra.isEmpty():
         return labels

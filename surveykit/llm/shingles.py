@@ -6,18 +6,19 @@ A word is a run of bytes other than blanks (0x20, 0x09 to 0x0D), with A to Z low
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _PIECE = 1 << 19
-_RANDOM = np.random.default_rng(20240607)
-_BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES[65:91] = _BYTES[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,29 +28,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE)
-    out[:1] = 1
-    return np.cumprod(out)
-
-
 def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word; no word goes over a place in ``breaks``."""
     blank = _BLANK[data]
     begins = np.concatenate(([True], blank[:-1]))
     begins[breaks[breaks < len(data)]] = True
     starts = np.flatnonzero(begins & ~blank)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    word = np.cumsum(begins & ~blank) - 1
-    inside = np.flatnonzero(~blank)
-    word = word[inside]
-    at = inside - starts[word]
-    values = _BYTES[data[inside]] * _powers(int(at.max()) + 1)[at]
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    sums = np.add.reduceat(values, first)
-    lengths = np.diff(np.concatenate((first, [len(word)]))).astype(np.uint64)
-    return mixed(sums + lengths * np.uint64(0xD6E8FEB86659FD93)), starts
+    ends = np.flatnonzero(~blank & np.concatenate((blank[1:] | begins[1:], [True]))) + 1
+    return _hashed(_LOWER[data], starts, ends - starts), starts
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes: block by block of eight, each mixed into the state; long ones by BLAKE2."""
+    state = mixed(lengths.astype(np.uint64) * _BASE + np.uint64(1))
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    some = np.flatnonzero(lengths <= _LONG)
+    for at in range(0, _LONG, 8):
+        some = some[lengths[some] > at]
+        if not len(some):
+            break
+        block = np.ascontiguousarray(blocks[starts[some] + at]).view("<u8").reshape(-1)
+        short = np.uint64(8) * (np.uint64(8) - np.minimum(lengths[some] - at, 8).astype(np.uint64))
+        block = block & (np.uint64(0xFFFFFFFFFFFFFFFF) >> short)
+        state[some] = mixed((state[some] ^ block) * _BASE + np.uint64(at + 2))
+    for i in np.flatnonzero(lengths > _LONG):
+        word = data[starts[i]:starts[i] + lengths[i]].tobytes()
+        state[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return state
 
 
 def _stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
