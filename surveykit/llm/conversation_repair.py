@@ -15,6 +15,7 @@ its steps at once.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ from ..storage import Scratch
 _FAR = 1 << 40
 _START, _SYSTEM, _USER, _ASSISTANT = range(4)  # states, by the last turn
 _INITIALS = "sua"
+_LEGAL = {(0, 1), (1, 2), (2, 1)}
 _LETTERS = "DIKR"
 _NEXT = np.array([_USER, _USER, _ASSISTANT, _USER])  # the state behind an inserted turn
 _CLOSE = ["", "II", "I", ""]  # what ends a conversation in each state
@@ -201,29 +203,37 @@ def _summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def illegal(initials: np.ndarray) -> int:
     """Neighbours whose initials are not su, ua or au."""
-    pair = initials[:-1] * 4 + initials[1:]
-    return int((~np.isin(pair, [0 * 4 + 1, 1 * 4 + 2, 2 * 4 + 1])).sum())
+    return sum(pair not in _LEGAL for pair in itertools.pairwise(initials.tolist()))
 
 
-def _chained(table: pa.Table) -> pa.Table:
+def _by_conversation(work, names: list[str], kinds: list[pa.DataType]):
+    """``work`` on the rows of each conversation (key first), which come one after another and in order."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches)
+        ready: list[tuple] = []
+        for _, own in itertools.groupby(rows, lambda r: r[0]):
+            ready += work(list(own))
+            if len(ready) >= 4000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready), kinds)], names)
+                ready = []
+        if ready:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready), kinds)], names)
+    return run
+
+
+def _chained(rows: list[tuple]) -> list[tuple]:
     """The cost still to come behind each segment of one conversation, and the conversation's figures (at its first segment)."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["seg"]))
     end, ends = _END, []
     for r in reversed(rows):
         ends.append(end.tolist())
-        end = np.minimum((np.array(r["matrix"]).reshape(4, 4) + end[None, :]).min(axis=1), _FAR)
-    counts = np.sum([r["counts"] for r in rows], axis=0)
-    edges = np.array([r["edge"] for r in rows])
-    counts[3] += sum(illegal(np.array([a, b])) for a, b in zip(edges[:-1, 1], edges[1:, 0]))
-    turns = [r["turn_edge"] for r in rows if r["turn_edge"]]
-    distinct = sum(r["n_turns"] for r in rows) - sum(a[1] == b[0] for a, b in zip(turns[:-1], turns[1:]))
+        end = np.minimum((np.array(r[4]).reshape(4, 4) + end[None, :]).min(axis=1), _FAR)
+    counts = [sum(c) for c in zip(*(r[5] for r in rows))]
+    counts[3] += sum((a[6][1], b[6][0]) not in _LEGAL for a, b in itertools.pairwise(rows))
+    turns = [r[7] for r in rows if r[7]]
+    distinct = sum(r[8] for r in rows) - sum(a[1] == b[0] for a, b in itertools.pairwise(turns))
     gaps = turns[-1][1] - turns[0][0] + 1 - distinct if turns else 0
-    figures = [gaps, *counts.tolist(), int(end[_START])]
-    return pa.table({"conv_key": [r["conv_key"] for r in rows], "conv_id": pa.array([r["conv_id"] for r in rows], pa.int64()),
-                     "part": pa.array([r["part"] for r in rows], pa.int32()), "seg": [r["seg"] for r in rows], "ends": ends[::-1],
-                     "at": list(range(len(rows))), "figures": [figures] + [None] * (len(rows) - 1)},
-                    schema=pa.schema([("conv_key", pa.string()), ("conv_id", pa.int64()), ("part", pa.int32()), ("seg", pa.int64()),
-                                      ("ends", pa.list_(pa.int64())), ("at", pa.int64()), ("figures", pa.list_(pa.int64()))]))
+    figures = [gaps, *counts, int(end[_START])]
+    return [(*r[:4], e, i, None if i else figures) for i, (r, e) in enumerate(zip(rows, reversed(ends)))]
 
 
 def _read(initials: bytes, faults: bytes, ends: list[int]) -> tuple[np.ndarray, Ranked]:
@@ -242,13 +252,13 @@ def _exits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["conv_key", "part", "seg", "exits"])
 
 
-def _entered(table: pa.Table) -> pa.Table:
+def _entered(rows: list[tuple]) -> list[tuple]:
     """The state before each segment of one conversation."""
-    rows, state, out = sorted(table.to_pylist(), key=lambda r: (r["part"], r["seg"])), _START, []
-    for r in rows:
-        out.append(state)
-        state = r["exits"][state]
-    return pa.table({"part": pa.array([r["part"] for r in rows], pa.int32()), "seg": [r["seg"] for r in rows], "entry": pa.array(out, pa.int32())})
+    state, out = _START, []
+    for key, part, seg, exits in rows:
+        out.append((key, part, seg, state))
+        state = exits[state]
+    return out
 
 
 def _repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,15 +377,18 @@ def repair(rows: DataFrame, how: Segments = Segments(), conv: str = "conv_id", t
         summaries = segments.drop("roles", "texts").mapInArrow(
             _summaries, "conv_key string, conv_id long, part int, seg long, matrix array<long>, counts array<long>, edge array<int>, "
             "turn_edge array<long>, n_turns long")
-        chain = scratch.keep(summaries.groupBy("conv_key").applyInArrow(
-            _chained, "conv_key string, conv_id long, part int, seg long, ends array<long>, at long, figures array<long>"), "chain")
-        place = ["conv_key", "part", "seg"]
+        place, key = ["conv_key", "part", "seg"], [pa.string(), pa.int64(), pa.int32(), pa.int64()]
+        chained = _by_conversation(_chained, ["conv_key", "conv_id", "part", "seg", "ends", "at", "figures"],
+                                   [*key, pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())])
+        chain = scratch.keep(summaries.repartition("conv_key").sortWithinPartitions(*place).mapInArrow(
+            chained, "conv_key string, conv_id long, part int, seg long, ends array<long>, at long, figures array<long>"), "chain")
         # a conversation of one segment is entered at its start; of others, the states behind each segment are chained
         several = chain.where("at > 0").select("conv_key").distinct()
         open_ends = chain.join(several, "conv_key", "left_semi").select(*place, "ends")
         exits = segments.select(*place, "initials", "faults").join(open_ends, place).select(*place, "initials", "faults", "ends").mapInArrow(
             _exits, "conv_key string, part int, seg long, exits array<int>")
-        entries = exits.groupBy("conv_key").applyInArrow(_entered, "part int, seg long, entry int")
+        entered = _by_conversation(_entered, [*place, "entry"], [pa.string(), pa.int32(), pa.int64(), pa.int32()])
+        entries = exits.repartition("conv_key").sortWithinPartitions(*place).mapInArrow(entered, "conv_key string, part int, seg long, entry int").drop("conv_key")
         last = chain.groupBy("conv_key").agg(F.max("at").alias("end"))
         known = scratch.keep(chain.join(last, "conv_key").join(entries, ["part", "seg"], "left").select(
             *place, "ends", F.coalesce("entry", F.lit(_START)).alias("entry"), (F.col("at") == F.col("end")).alias("last")), "known")
