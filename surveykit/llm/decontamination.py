@@ -80,7 +80,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("do
         F.col("codes"), masks, lambda seed: F.lit(True))).alias("s"))
     whole = (F.col("s.mask") < len(MASKS)) & (F.col("n") >= EQUAL) | (F.col("s.mask") >= len(MASKS)) & (
         F.col("n") == F.get(least, F.col("s.mask")))
-    seeds = found.where(whole).select("item_id", F.col("s.seed").alias("seed"), F.col("s.around").alias("item_around"))
+    # runs of one word give the same stretch again and again: each is compared once, with its number on either side
+    seeds = found.where(whole).groupBy("item_id", F.col("s.seed").alias("seed"), F.col("s.around").alias("item_around")).agg(
+        F.count("*").alias("item_times"))
     table = _bit_table(seeds)
 
     def wanted(seed: Column) -> Column:
@@ -90,15 +92,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("do
 
     coded = docs.select(*keys, word_codes(F.col(text)).alias("codes"))
     hits = coded.select(*keys, F.explode(_hits(F.col("codes"), masks, wanted)).alias("s")).select(
-        *keys, F.col("s.seed").alias("seed"), F.col("s.mask").alias("mask"), F.col("s.at").alias("at"), F.col("s.around").alias("around"))
+        *keys, F.col("s.seed").alias("seed"), F.col("s.mask").alias("mask"), F.col("s.at").alias("at"), F.col("s.around").alias("around")).groupBy(
+        *keys, "seed", "mask", "around").agg(F.min("at").alias("at"), F.count("*").alias("times"))
     met = hits.join(seeds, "seed")
     same = F.zip_with("around", "item_around", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
     counts = F.transform(F.sequence(F.lit(1), F.lit(_BEFORE + 1)), lambda s: F.aggregate(
         F.slice(same, s, F.lit(WINDOW)), F.lit(0), lambda total, x: total + x))
     equal = F.when(F.col("mask") < len(MASKS), F.array_max(counts)).otherwise(F.get(least, F.col("mask")))
-    verified = met.select(*keys, "item_id", "at", "mask", equal.alias("equal")).where(F.col("equal") >= F.get(least, F.col("mask")))
+    verified = met.select(*keys, "item_id", "at", "mask", (F.col("times") * F.col("item_times")).alias("times"), equal.alias("equal")).where(F.col("equal") >= F.get(least, F.col("mask")))
     return verified.groupBy(*keys, "item_id").agg(
-        F.min("at").alias("first_word"), F.max("equal").alias("equal_words"), F.count("*").alias("n_seeds"))
+        F.min("at").alias("first_word"), F.max("equal").alias("equal_words"), F.sum("times").alias("n_seeds"))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -120,6 +120,16 @@ def luhn(digits):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
+def test_runs_of_one_word_on_both_sides(spark):
+    """Each stretch is compared once, so that the work does not grow with the product of the runs."""
+    df = spark.createDataFrame([(1, "same " * 100_000), (2, "other words " * 500)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "same " * 1_000), (6, "same " * 5)], "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r for r in dc.overlaps(df, bench).collect()}
+    assert sorted(out) == [(1, 5), (1, 6)]
+    assert (out[1, 5]["first_word"], out[1, 5]["equal_words"]) == (0, 13) and (out[1, 6]["n_seeds"], out[1, 6]["equal_words"]) == (99_996, 5)
+    assert 0.999 * 2 * 99_992 * 992 < out[1, 5]["n_seeds"] <= 99_993 * 993 + 99_992 * 992
+
+
 def test_pseudonyms_keep_format_and_links(spark):
     iban = "GB82 WEST 1234 5698 7654 32"
     texts = ["card 4111 1111 1111 1111, again 4111111111111111; not 4111111111111112", f"pay {iban} now", "born 2024-02-29 not 2023-02-29",
