@@ -340,6 +340,98 @@ def gaussian_fit(df: DataFrame, x: str = "scaleyear", y: str = "RouteTotal", by:
     )
 
 
+def within_products(cells: DataFrame, covariates: Sequence[str], by: str = S.SPECIES, route: str = S.ROUTE,
+                    effort: str | None = "nstop") -> DataFrame:
+    """Per species the sums of products within routes, from cells with ``n, total, square``.
+
+    Columns ``W{j}_{k}`` for j <= k hold the products of variables j and k around the routes' means; the last variable
+    is the response, from which the log of effort is subtracted. Rows and routes are counted as ``n`` and ``n_routes``.
+    Sums are taken per route and then per species, so no row meets its mean.
+    """
+    o = offset(effort) if effort else F.lit(0.0)
+    n, total = F.col("n").cast("double"), F.col("total")
+    xs = [F.col(c).cast("double") for c in covariates]
+    y = total - n * o
+    sums = [F.sum(n).alias("__n"), F.sum(y).alias("__s"), F.sum(F.col("square") - 2 * o * total + n * o * o).alias("__ss")]
+    size = len(xs)
+    for j, x in enumerate(xs):
+        sums += [F.sum(n * x).alias(f"__s{j}"), F.sum(y * x).alias(f"__p{j}")]
+        sums += [F.sum(n * x * xs[k]).alias(f"__p{j}_{k}") for k in range(j, size)]
+    routes = cells.groupBy(by, route).agg(*sums)
+    out = [F.sum("__n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("n_routes")]
+    for j in range(size):
+        out += [F.sum(F.col(f"__p{j}_{k}") - F.col(f"__s{j}") * F.col(f"__s{k}") / F.col("__n")).alias(f"W{j}_{k}") for k in range(j, size)]
+        out.append(F.sum(F.col(f"__p{j}") - F.col(f"__s{j}") * F.col("__s") / F.col("__n")).alias(f"W{j}_{size}"))
+    out.append(F.sum(F.col("__ss") - F.col("__s") * F.col("__s") / F.col("__n")).alias(f"W{size}_{size}"))
+    return routes.groupBy(by).agg(*out)
+
+
+def _solved(products: DataFrame, size: int) -> DataFrame:
+    """Adds coefficients ``b{j}``, diagonals ``v{j}`` of the inverse, residual sum ``rss`` and the number ``used`` of terms.
+
+    A Cholesky factor, column by column. A variable that does not vary beyond those before it has a null pivot; its
+    coefficient is null and the others are as if it were absent.
+    """
+    df = products
+
+    def factor(i: int, j: int) -> Column:
+        value = F.col(f"W{j}_{i}")
+        for k in range(j):
+            value = value - F.col(f"__L{i}_{k}") * F.col(f"__L{j}_{k}")
+        return value
+
+    for j in range(size):
+        pivot = factor(j, j)
+        df = df.withColumn(f"__d{j}", F.when(pivot > F.col(f"W{j}_{j}") * 1e-9, F.sqrt(pivot)))
+        df = df.withColumns({f"__L{i}_{j}": F.coalesce(factor(i, j) / F.col(f"__d{j}"), F.lit(0.0)) for i in range(j + 1, size + 1)})
+    rss = F.col(f"W{size}_{size}")
+    for j in range(size):
+        rss = rss - F.col(f"__L{size}_{j}") * F.col(f"__L{size}_{j}")
+    used = F.lit(0)
+    for j in range(size):
+        used = used + F.col(f"__d{j}").isNotNull().cast("int")
+    df = df.withColumns({"rss": F.greatest(rss, F.lit(0.0)), "used": used})
+    for j in reversed(range(size)):
+        value = F.col(f"__L{size}_{j}")
+        for i in range(j + 1, size):
+            value = value - F.col(f"__L{i}_{j}") * F.coalesce(f"b{i}", F.lit(0.0))
+        df = df.withColumn(f"b{j}", value / F.col(f"__d{j}"))
+    for j in range(size):  # column j of the inverse factor, from the diagonal down
+        for i in range(j, size):
+            value = F.lit(1.0 if i == j else 0.0)
+            for k in range(j, i):
+                value = value - F.col(f"__L{i}_{k}") * F.col(f"__I{k}_{j}")
+            df = df.withColumn(f"__I{i}_{j}", F.coalesce(value / F.col(f"__d{i}"), F.lit(0.0)))
+        df = df.withColumn(f"v{j}", sum((F.col(f"__I{i}_{j}") * F.col(f"__I{i}_{j}") for i in range(j, size)), F.lit(0.0)))
+    return df
+
+
+def gaussian_cells_fit(cells: DataFrame, covariates: Sequence[str] = ("scaleyear",), by: str = S.SPECIES, route: str = S.ROUTE,
+                       effort: str | None = "nstop") -> DataFrame:
+    """Linear trend with one level per route and any covariates, as a table like that of :func:`trend_fit`.
+
+    ``cells`` are those of :func:`collapse_rows`. ``phi`` is the residual variance, ``theta`` is null. A covariate that
+    does not vary within routes is dropped and flagged. Errors and ``phi`` are null without degrees of freedom. The plan
+    is lazy: two aggregations, and a Cholesky solve by columns.
+    """
+    size = len(covariates)
+    fit = _solved(within_products(cells, covariates, by, route, effort), size)
+    dof = F.col("n") - F.col("n_routes") - F.col("used")
+    phi = F.when(dof > 0, F.col("rss") / dof)
+    loglik = F.when(F.col("rss") > 0, -F.col("n") / 2 * (F.log(2 * math.pi * F.col("rss") / F.col("n")) + 1))
+    terms = F.array(*[
+        F.struct(F.lit(c).alias("term"), F.col(f"b{j}").alias("estimate"),
+                 F.when(F.col(f"b{j}").isNotNull(), F.sqrt(phi * F.col(f"v{j}"))).alias("se")) for j, c in enumerate(covariates)
+    ])
+    rows = fit.select(by, phi.alias("phi"), loglik.alias("loglik"), "n", "n_routes", F.explode(terms).alias("__t"))
+    rows = rows.select(by, "__t.*", "phi", "loglik", "n", "n_routes")
+    z = ratio("estimate", "se")
+    return rows.select(
+        by, "term", "estimate", "se", z.alias("z"), pvalue(z).alias("p"), "phi", F.lit(None).cast("double").alias("theta"),
+        "loglik", "n", "n_routes", F.lit(True).alias("converged"), F.col("estimate").isNull().alias("dropped"),
+    )
+
+
 def annual_change(coef: DataFrame, sd_year: str | float = "sd_year", estimate: str = "estimate", se: str = "se") -> DataFrame:
     """Percent change per year with limits, from a coefficient of scaled year.
 

@@ -14,7 +14,8 @@ from ..operators.clean import drop_bad_start, drop_in, exclude_codes, keep_in, m
 from ..operators.encode import factor_code, zscore
 from ..operators.joins import null_safe_join, stack
 from ..operators.newton import durable
-from ..operators.trend import gaussian_fit, sd_of_years, trend_fit, trend_table
+from ..operators.nbinom import nbinom1_fit
+from ..operators.trend import gaussian_cells_fit, sd_of_years, trend_fit, trend_table
 from ..operators.zerofill import visit_totals
 
 
@@ -124,6 +125,28 @@ def _cells(parts: _Parts, covariates: Sequence[str]) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("total", "square")})
 
 
+def _value_cells(parts: _Parts, covariates: Sequence[str]) -> DataFrame:
+    """Cells with the frequency of each count, as ``operators.nbinom.value_cells`` makes them of the filled rows.
+
+    Detections are counted by value; zeros are the visits of a cell that are left.
+    """
+    cell = list(dict.fromkeys([S.ROUTE, *covariates, "nstop"]))
+    visits = parts.visits.na.drop(subset=cell[1:]).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    found = parts.totals.na.drop(subset=cell[1:]).where(F.col("RouteTotal") > 0).groupBy(
+        S.SPECIES, *cell, F.col("RouteTotal").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    found = null_safe_join(found, parts.pairs, [S.SPECIES, S.ROUTE], "left_semi")
+    some = found.groupBy(S.SPECIES, *cell).agg(F.sum("n").alias("__found"))
+    zeros = null_safe_join(null_safe_join(visits, parts.pairs, [S.ROUTE], "inner"), some, [S.SPECIES, *cell])
+    zeros = zeros.withColumn("n", F.col("n") - F.coalesce(F.col("__found"), F.lit(0))).where(F.col("n") > 0)
+    columns = [S.SPECIES, *cell, "value", "n"]
+    return found.select(*columns).unionByName(zeros.withColumn("value", F.lit(0.0)).select(*columns))
+
+
+def model_value_cells(obs: DataFrame, rules: TrendRules, covariates: Sequence[str] = ("scaleyear", "protocol_code")) -> DataFrame:
+    """The same data as ``value_cells(model_rows(...))``, without ever writing out the zeros."""
+    return _value_cells(_model_parts(obs, rules), covariates).where(F.col(S.SPECIES).isNotNull())
+
+
 def complete_cells(cells: DataFrame, covariates: Sequence[str]) -> DataFrame:
     """The cells that one model is fitted to: without rows that lack one of its own covariates."""
     key = list(dict.fromkeys([S.SPECIES, S.ROUTE, S.YEAR, "nstop", "scaleyear", *covariates]))
@@ -154,10 +177,12 @@ def fitted_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel
     link, whose percent change is back-transformed like the others although their scale is not logarithmic.
     """
     for model in models:
-        if model.family not in ("poisson", "gaussian"):
+        if model.family not in ("poisson", "nbinom1", "gaussian"):
             raise ValueError(f"unknown family {model.family!r}")
-        if model.family == "gaussian" and tuple(model.covariates) not in ((), ("scaleyear",), TrendModel.covariates):
-            raise ValueError("a gaussian trend has no covariates but the year")
+        if "scaleyear" not in model.covariates:
+            raise ValueError("a trend needs the covariate scaleyear")
+        if model.family == "nbinom1" and model.route_effect == "gamma":
+            raise ValueError("a nbinom1 trend has fixed route effects or none")
     named = [sp for m in models for sp in m.species or ()]
     parts = _model_parts(obs, rules)
     tables = []
@@ -167,13 +192,15 @@ def fitted_trends(obs: DataFrame, rules: TrendRules, models: Sequence[TrendModel
         part = _members(cells, model, named)
         # the year varies over all rows of the kept routes, also over those without a covariate
         sd = sd_of_years(part, weight="n")
+        link = "log"
         if model.family == "gaussian":
-            rows = _rows(parts).select(S.SPECIES, S.ROUTE, S.YEAR, "scaleyear", "nstop", "RouteTotal")
-            fits, link = gaussian_fit(durable(_members(rows, model, named))), "identity"
+            fits, link = gaussian_cells_fit(complete_cells(part, model.covariates), model.covariates), "identity"
+        elif model.family == "nbinom1":
+            own = durable(_members(_value_cells(parts, model.covariates), model, named))
+            fits = nbinom1_fit(own, model.covariates, route_effect=model.route_effect, collapsed=True)
         else:
             own = durable(complete_cells(part, model.covariates))
             fits = trend_fit(own, model.covariates, route_effect=model.route_effect, collapsed=True)
-            link = "log"
         tables.append(trend_table(fits, sd).withColumn("Link", F.lit(link)))
     return stack(*tables)
 
