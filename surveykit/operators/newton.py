@@ -77,7 +77,7 @@ def maximise(evaluate: Callable[[dict[object, np.ndarray]], Evaluation], start:
                 if expected < tol * (1 + abs(ll)) * 1e-3 or (np.isfinite(gain) and gain < tol * 1e-6 * (1 + abs(ll))):
                     # the last step is too small to be worth another pass, but not worth losing
                     fit.done = fit.converged = True
-                    fit.x = fit.x + step if 0 < expected < tol else fit.x
+                    fit.x = fit.x + step if 0 < expected < tol * (1 + abs(ll)) else fit.x
                 fit.trial = fit.x + step
             else:
                 fit.halvings += 1

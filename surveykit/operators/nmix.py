@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import Z975, linear, logit, plogis, ratio
+from ..functions.scalars import Z975, lgamma, linear, logit, plogis, ratio
 from .joins import null_safe_join
 from .newton import covariance, durable, maximise, symmetric
 
@@ -117,6 +117,80 @@ def nmix_loglik(hist: DataFrame, params: Sequence[tuple[float, float]], by: Sequ
     )
 
 
+_TAIL_TERMS = 48  # each at most half the one before, so that what follows them is below 2^-48 of the whole
+
+
+def certified_histories(hist: DataFrame, keep: Sequence[str], history: str = "history") -> DataFrame:
+    """Sites alike in counts and covariates as one row with the sorted counts ``__h``, for sums without a fixed bound.
+
+    As in :func:`collapse_histories`, missing visits are skipped, and sites without any count or covariate left out.
+    """
+    seen = F.transform(F.filter(history, lambda v: v.isNotNull()), lambda v: v.cast("int"))
+    rows = hist.select(*keep, F.sort_array(seen).alias("__h")).where(F.size("__h") > 0).na.drop(subset=list(keep) or None)
+    total = F.aggregate("__h", F.lit(0).cast("bigint"), lambda a, y: a + y)
+    return rows.groupBy(*keep, "__h").agg(F.count(F.lit(1)).alias("w")).select(
+        *keep, "__h", "w", F.size("__h").alias("j"), total.alias("total"), F.array_max("__h").alias("top"))
+
+
+def _log_q(zeta: Column) -> Column:
+    return -F.when(zeta > 0, zeta + F.log1p(F.exp(-zeta))).otherwise(F.log1p(F.exp(zeta)))
+
+
+def with_certified_moments(df: DataFrame, log_lam: Column, logit_p: Column) -> DataFrame:
+    """The columns of the likelihood as with a fixed bound, and ``tail_bound``: what the sum leaves out, relative to it.
+
+    The ratio of a term to the one before it, x / N times the product of N / (N - y), falls with N. From the first N on
+    at which an upper estimate of that ratio is at most one half, the terms are below a geometric series; the sum
+    goes on for 48 more. The rest is at most (last term) r / (1 - r), with r the ratio behind the last one. A single
+    pass over N keeps scaled sums, so neither large counts nor large means overflow, and no array of terms is stored.
+    """
+    df = df.withColumns({"__eta": log_lam, "__zeta": logit_p})
+    df = df.withColumns({"__lam": F.exp("__eta"), "__p": plogis("__zeta"), "__x": F.col("__eta") + F.col("j") * _log_q(F.col("__zeta"))})
+    # where N - top is at least j x top, the product is below e; so N = 2 e x makes the ratio one half
+    half = F.greatest(F.col("top") * (F.col("j") + 1), F.ceil(F.exp("__x") * (2 * math.e)).cast("bigint"))
+    last = F.greatest(half, F.col("top") + 1) + _TAIL_TERMS
+
+    def ratio_at(n: Column, x: Column) -> Column:
+        return F.aggregate("__h", x - F.log(n), lambda a, y: a + F.log(n / (n - y)))
+
+    def add(s: Column, n: Column) -> Column:
+        log_ratio = ratio_at(n.cast("double"), F.col("__x"))
+        t = s["t"] + log_ratio
+        top = F.greatest(s["m"], t)
+        old, new, k = F.exp(s["m"] - top), F.exp(t - top), (n - F.col("top")).cast("double")
+        return F.struct(t.alias("t"), top.alias("m"), (s["s0"] * old + new).alias("s0"), (s["s1"] * old + new * k).alias("s1"),
+                        (s["s2"] * old + new * k * k).alias("s2"))
+
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("m"), F.lit(1.0).alias("s0"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+    df = df.withColumn("__last", last.cast("bigint")).withColumn(
+        "__s", F.aggregate(F.sequence((F.col("top") + 1).cast("bigint"), F.col("__last")), zero, add))
+    # the term at N = top: exp(x top) top! / prod (y! (top - y)!) x top!^(j-1), in logs
+    first = F.aggregate("__h", -lgamma(F.col("top") + 1.0), lambda a, y: a + lgamma(F.col("top") + 1.0) - lgamma(y + 1.0) - lgamma(
+        F.col("top") - y + 1.0)) + F.col("top") * F.col("__x")
+    mean = F.col("__s.s1") / F.col("__s.s0")
+    following = F.exp(ratio_at((F.col("__last") + 1).cast("double"), F.col("__x")))
+    return df.withColumns({
+        "__ll": F.log("__s.s0") + F.col("__s.m") + first - F.col("__lam") + F.col("total") * F.col("__zeta"),
+        "__e1": F.col("top") + mean,
+        "__v": F.greatest(F.col("__s.s2") / F.col("__s.s0") - mean * mean, F.lit(0.0)),
+        "tail_bound": F.exp(F.col("__s.t") - F.col("__s.m")) / F.col("__s.s0") * following / (1 - following),
+    }).drop("__s", "__x", "__last")
+
+
+def certified_loglik(hist: DataFrame, params: Sequence[tuple[float, float]], by: Sequence[str] = (),
+                     history: str = "history") -> DataFrame:
+    """As :func:`nmix_loglik`, for counts of any size; ``tail_bound`` is the largest relative rest of any history."""
+    grid = F.array(*[
+        F.struct(F.lit(n).alias("point"), F.lit(float(lam)).alias("lam"), F.lit(float(p)).alias("p"))
+        for n, (lam, p) in enumerate(params)
+    ])
+    rows = certified_histories(hist, by, history).withColumn("__q", F.explode(grid))
+    lam, p = F.col("__q.lam"), F.col("__q.p")
+    rows = with_certified_moments(rows, F.log(lam), logit(p))
+    return rows.groupBy(*by, F.col("__q.point").alias("point"), lam.alias("lam"), p.alias("p")).agg(
+        F.sum(F.col("w") * F.col("__ll")).alias("loglik"), F.max("tail_bound").alias("tail_bound"))
+
+
 FIT_SCHEMA = (
     "`{by}` {type}, model string, term string, estimate double, se double, z double, p double, "
     "n_pars int, log_lik double, n_sites bigint, converged boolean, vcov array<double>"
@@ -136,20 +210,23 @@ def _start(formula: Formula, mean: float, variance: float, visits: float) -> np.
     return b
 
 
-def nmix_fit(hist: DataFrame, models: Mapping[str, Formula], by: str = "species", k: int = 100,
+def nmix_fit(hist: DataFrame, models: Mapping[str, Formula], by: str = "species", k: int | None = 100,
              history: str = "history", max_steps: int = 80) -> DataFrame:
     """Coefficients of every model for every species.
 
     Gradient and curvature follow from the mean and variance of N given the counts, so a Newton step is one
     pass over the collapsed histories for all species and models together. All models share one design of all
     covariates, in which the terms a model lacks stay 0. ``vcov`` holds the row of the covariance matrix that
-    belongs to the term, in the order of the model's terms.
+    belongs to the term, in the order of the model's terms. A count beyond ``k`` is an error; without ``k`` each history
+    is summed as far as :func:`with_certified_moments` proves to be enough.
     """
     spark = hist.sparkSession
     key_type = hist.schema[by].dataType.simpleString()
     covariates = list(dict.fromkeys(c for f in models.values() for c in f.covariates))
     full = Formula(tuple(covariates), tuple(covariates))
-    rows = durable(collapse_histories(hist, [by, *covariates], history, k))
+    keep = [by, *covariates]
+    rows = durable(certified_histories(hist, keep, history) if k is None else collapse_histories(hist, keep, history, k))
+    moments = with_certified_moments if k is None else _with_moments
     total, w = F.col("total").cast("double"), F.col("w")
     base = rows.groupBy(by).agg(
         F.sum("w").alias("n"), (F.sum(w * total) / F.sum("w")).alias("mean"),
@@ -171,7 +248,7 @@ def nmix_fit(hist: DataFrame, models: Mapping[str, Formula], by: str = "species"
         params = spark.createDataFrame(table, f"`{by}` {key_type}, __model string, __b array<double>")
         b = [F.get(F.col("__b"), F.lit(i)) for i in range(size)]
         eta, zeta = linear(b[:a], x), linear(b[a:], z)
-        data = _with_moments(rows.join(params, by), eta, zeta)
+        data = moments(rows.join(params, by), eta, zeta)
         e1, v, lam, p, j = (F.col(c) for c in ("__e1", "__v", "__lam", "__p", "j"))
         score = [e1 - lam, F.col("total") - j * p * e1]
         curve = {(0, 0): lam - v, (0, 1): j * p * v, (1, 1): j * p * (1 - p) * e1 - j * p * j * p * v}

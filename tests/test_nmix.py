@@ -44,6 +44,39 @@ def test_count_beyond_the_bound_fails(spark):
         M.nmix_loglik(hist(spark, [("a", 1, [11, 2])]), [(4.0, 0.5)], k=10).collect()
 
 
+def long_brute(ys, lam, p):
+    """Log-likelihood in logs, summed far beyond any mass."""
+    ys = [y for y in ys if y is not None]
+    terms = [-lam + n * math.log(lam) - math.lgamma(n + 1) + sum(
+        math.lgamma(n + 1) - math.lgamma(y + 1) - math.lgamma(n - y + 1) + y * math.log(p) + (n - y) * math.log1p(-p) for y in ys)
+        for n in range(max(ys), 20_000)]
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+def test_sums_without_a_bound_are_certified(spark):
+    data = [("a", 1, [500, 430, None]), ("a", 2, [0, 0, 0]), ("a", 3, [None, 3]), ("a", 4, [None, None]), ("a", 5, [1000, 1]), ("a", 6, None)]
+    points = [(4.0, 0.5), (900.0, 0.5), (0.01, 0.001), (3000.0, 0.3)]
+    out = M.certified_loglik(hist(spark, data), points, ["species"]).orderBy("point").collect()
+    for r, (lam, p) in zip(out, points):
+        assert r.loglik == pytest.approx(sum(long_brute(h, lam, p) for h in ([500, 430], [0, 0, 0], [3], [1000, 1])), rel=1e-11)
+        assert 0 <= r.tail_bound < 1e-12
+    some = hist(spark, [("a", 1, [3, 2]), ("a", 2, [0, None])])
+    assert M.certified_loglik(some, points[:1]).collect()[0].loglik == pytest.approx(M.nmix_loglik(some, points[:1]).collect()[0].loglik, rel=1e-10)
+
+
+def test_large_counts_are_fitted(spark, simulated):
+    small = simulated.where("species = 'a'").limit(400)
+    want = {r.term: r for r in M.nmix_fit(small, {"null": M.Formula()}).collect()}
+    got = {r.term: r for r in M.nmix_fit(small, {"null": M.Formula()}, k=None).collect()}
+    assert all(got[t].estimate == pytest.approx(want[t].estimate, abs=1e-6) and got[t].se == pytest.approx(want[t].se, rel=1e-4) for t in want)
+    rng = np.random.default_rng(1)
+    rows = [("b", i, [int(v) for v in rng.binomial(rng.poisson(700), 0.7, 4)]) for i in range(60)]
+    assert max(max(r[2]) for r in rows) > 500
+    fit = {r.term: r for r in M.nmix_fit(hist(spark, rows), {"null": M.Formula()}, k=None).collect()}
+    assert fit["lam(Int)"].converged and abs(fit["lam(Int)"].estimate - math.log(700)) < 4 * fit["lam(Int)"].se
+
+
 def test_site_abundance(spark):
     data = [("a", 1, [3, 2]), ("a", 2, [3, 2]), ("a", 3, [0, 0]), ("a", 4, [0, None])]
     params = spark.createDataFrame([("a", 4.0, 0.5)], "species string, lam double, p double")
