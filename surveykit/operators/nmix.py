@@ -117,6 +117,7 @@ def nmix_loglik(hist: DataFrame, params: Sequence[tuple[float, float]], by: Sequ
     )
 
 
+_MOST_TERMS = 20_000  # a longer sum is not taken: its likelihood is NaN, so that a fit turns back there
 _TAIL_TERMS = 48  # each at most half the one before, so that what follows them is below 2^-48 of the whole
 
 
@@ -143,6 +144,8 @@ def with_certified_moments(df: DataFrame, log_lam: Column, logit_p: Column) -> D
     at which an upper estimate of that ratio is at most one half, the terms are below a geometric series; the sum
     goes on for 48 more. The rest is at most (last term) r / (1 - r), with r the ratio behind the last one. A single
     pass over N keeps scaled sums, so neither large counts nor large means overflow, and no array of terms is stored.
+    A sum that needs more than 20,000 terms beyond the largest count gives NaN. Fits of counts that follow a Poisson law of
+    their own run that far (detection towards 0); they turn back there and end with ``converged`` false.
     """
     df = df.withColumns({"__eta": log_lam, "__zeta": logit_p})
     df = df.withColumns({"__lam": F.exp("__eta"), "__p": plogis("__zeta"), "__x": F.col("__eta") + F.col("j") * _log_q(F.col("__zeta"))})
@@ -162,7 +165,8 @@ def with_certified_moments(df: DataFrame, log_lam: Column, logit_p: Column) -> D
                         (s["s2"] * old + new * k * k).alias("s2"))
 
     zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("m"), F.lit(1.0).alias("s0"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
-    df = df.withColumn("__last", last.cast("bigint")).withColumn(
+    short = F.coalesce(last - F.col("top") <= _MOST_TERMS + F.col("top") * F.col("j"), F.lit(False))
+    df = df.withColumn("__last", F.when(short, last).otherwise(F.col("top") + 1).cast("bigint")).withColumn("__short", short).withColumn(
         "__s", F.aggregate(F.sequence((F.col("top") + 1).cast("bigint"), F.col("__last")), zero, add))
     # the term at N = top: exp(x top) top! / prod (y! (top - y)!) x top!^(j-1), in logs
     first = F.aggregate("__h", -lgamma(F.col("top") + 1.0), lambda a, y: a + lgamma(F.col("top") + 1.0) - lgamma(y + 1.0) - lgamma(
@@ -170,11 +174,12 @@ def with_certified_moments(df: DataFrame, log_lam: Column, logit_p: Column) -> D
     mean = F.col("__s.s1") / F.col("__s.s0")
     following = F.exp(ratio_at((F.col("__last") + 1).cast("double"), F.col("__x")))
     return df.withColumns({
-        "__ll": F.log("__s.s0") + F.col("__s.m") + first - F.col("__lam") + F.col("total") * F.col("__zeta"),
+        "__ll": F.when(F.col("__short"), F.log("__s.s0") + F.col("__s.m") + first - F.col("__lam") + F.col("total") * F.col("__zeta")).otherwise(
+            F.lit(float("nan"))),
         "__e1": F.col("top") + mean,
         "__v": F.greatest(F.col("__s.s2") / F.col("__s.s0") - mean * mean, F.lit(0.0)),
         "tail_bound": F.exp(F.col("__s.t") - F.col("__s.m")) / F.col("__s.s0") * following / (1 - following),
-    }).drop("__s", "__x", "__last")
+    }).drop("__s", "__x", "__last", "__short")
 
 
 def certified_loglik(hist: DataFrame, params: Sequence[tuple[float, float]], by: Sequence[str] = (),

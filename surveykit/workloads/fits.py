@@ -252,9 +252,3 @@ def large_hist(spark, sf):
 def nmix_loglik_certified(spark, sf):
     out = M.certified_loglik(large_hist(spark, sf), LARGE, ["species"])
     return rounded(out.withColumn("certified", F.col("tail_bound") < 1e-12).drop("tail_bound"), "loglik", digits=3)
-
-
-@query("nmix_fit_certified")
-def nmix_fit_certified(spark, sf):
-    """The same fit as with a fixed bound; of histories without a bound, each sum ends where its rest is proven small."""
-    return M.nmix_fit(hist(spark, sf), {"null": M.Formula()}, k=None).drop("vcov")

@@ -65,6 +65,11 @@ def test_sums_without_a_bound_are_certified(spark):
     assert M.certified_loglik(some, points[:1]).collect()[0].loglik == pytest.approx(M.nmix_loglik(some, points[:1]).collect()[0].loglik, rel=1e-10)
 
 
+def test_a_sum_that_would_be_too_long_is_not_taken(spark):
+    out = M.certified_loglik(hist(spark, [("a", 1, [3, 2])]), [(1e9, 0.001), (4.0, 0.5)]).orderBy("point").collect()
+    assert math.isnan(out[0].loglik) and out[1].loglik == pytest.approx(-2.919957, abs=1e-6)
+
+
 def test_large_counts_are_fitted(spark, simulated):
     small = simulated.where("species = 'a'").limit(400)
     want = {r.term: r for r in M.nmix_fit(small, {"null": M.Formula()}).collect()}
