@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .batches import extended, parts, process_cache
+from .columns import others
 
 _MOST = 1 << 18  # remembered pieces and pairs in a worker; forgetting them changes only the time
 
@@ -174,6 +175,8 @@ def read_ranks(path: str) -> Vocabulary:
         ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in (x.split() for x in lines if x.strip()))
     if [r for r, _ in ranked] != list(range(len(ranked))):
         raise ValueError("ranks must count from 0 without gaps")
+    if len({t for _, t in ranked if len(t) == 1}) < 256:
+        raise ValueError("there must be a token for every byte")
     return Vocabulary([t for _, t in ranked])
 
 
@@ -183,7 +186,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "t
     A null text is encoded as an empty one. A column that is already named ``ids`` is replaced; all others, and
     repeated rows, stay. The vocabulary is broadcast; its size does not depend on the data.
     """
-    kept = [c for c in docs.columns if c != ids]
+    kept = others(docs, ids)
     base = docs.select(*kept)
     at, schema = kept.index(text), extended(base.schema, (ids, ArrayType(IntegerType())))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -220,7 +223,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", data: str
     A column that is already named ``data`` is replaced. An id outside the vocabulary is an error. The tokens travel
     with the plan as a literal, whose size does not depend on the data, and built-in functions put them together.
     """
-    kept = [c for c in docs.columns if c != data]
+    kept = others(docs, data)
     tokens = F.split(F.lit(",".join(t.hex() for t in vocabulary.tokens)), ",")
     unknown = F.raise_error(F.lit("an id outside the vocabulary"))
     found = F.transform(F.col(ids), lambda i: F.coalesce(F.get(tokens, i), unknown))

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import free
+
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, EQUAL = 13, 11
 _BEFORE = WINDOW - 8
@@ -106,7 +108,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("do
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark passage, with all their columns."""
-    own = {f"__{c}": F.xxhash64(F.col(c)) for c in (doc, text)}
+    own = {name: F.xxhash64(F.col(c)) for name, c in zip(free(docs, f"__{doc}", f"__{text}"), (doc, text))}
     marked = docs.withColumns(own)
     bad = overlaps(marked, benchmark, tuple(own), text).select(*[F.col(c).alias(f"{c}_bad") for c in own]).distinct()
     return marked.join(bad, [marked[c] == bad[f"{c}_bad"] for c in own], "left_anti").drop(*own)

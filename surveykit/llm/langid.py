@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import extended, parts, process_cache
+from .columns import others
 
 UNDETERMINED = "und"
 _CHUNK = 250_000
@@ -127,7 +128,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     rows, stay as they are.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = others(docs, "lang_pred", "score")
     base = docs.select(*kept)
     schema = extended(base.schema, ("lang_pred", "string"), ("score", "double"))
     shared = spark.sparkContext.broadcast(model)

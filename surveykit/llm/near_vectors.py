@@ -54,8 +54,15 @@ def choose_pivots(vectors: DataFrame, index: PivotIndex) -> dict[int, np.ndarray
 
     Where fewer are apart there are fewer, so that lists are longer, but nothing is lost.
     """
-    count = max(index.least_pivots, math.isqrt(vectors.count()))
-    rows = vectors.select("unit", F.xxhash64("unit").alias("h")).orderBy("h", "unit").limit(count * index.tried).select("unit").toArrow()
+    n_rows = vectors.count()
+    count = max(index.least_pivots, math.isqrt(n_rows))
+    wanted = count * index.tried
+    drawn = vectors.select("unit", F.xxhash64("unit").alias("h"))
+    # only what can be among the smallest hashes moves: by six deviations more than are wanted lie below the bound
+    share = (wanted + 6 * math.sqrt(wanted) + 64) / max(n_rows, 1)
+    if share < 1:
+        drawn = drawn.where(F.col("h") < int(share * (1 << 64)) - (1 << 63))
+    rows = drawn.orderBy("h", "unit").limit(wanted).select("unit").toArrow()
     out: dict[int, np.ndarray] = {}
     sizes: dict[int, int] = {}
     for unit in rows.column("unit"):
@@ -127,33 +134,32 @@ def near_vectors(rows: DataFrame, least: float = 0.98, index: PivotIndex = Pivot
     ``component_id`` and is kept. Rows with one id are one node, but each counts as a vector in ``n_links``.
     Other columns are not read. The index may miss a pair; nothing below ``least`` is ever linked.
     """
-    scratch = Scratch(rows.sparkSession)
-    source = rows.select(F.col(vec).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"),
-                         F.col(vector).cast("array<double>").alias("v"))
-    fit = source.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
-    classes = fit.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
-    # scaled by the largest component first, so that no square overflows or vanishes
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = classes.withColumn("top", top).withColumn("w", F.transform("v", lambda x: x / F.col("top")))
-    unit = scaled.withColumn("norm", F.sqrt(_dot(F.col("w"), F.col("w")))).select(
-        "label", "v", "rep", "times", F.transform("w", lambda x: x / F.col("norm")).alias("unit"))
-    kept = scratch.keep(unit, "classes")
-    near = described(kept, choose_pivots(kept, index), index)
-    pairs = scratch.keep(candidates(scratch.keep(near, "described"), index), "pairs")
-    sides = [kept.select(F.col("rep").alias(s), "label", F.col("unit").alias(f"unit_{s}"), F.col("times").alias(f"times_{s}")) for s in "ab"]
-    checked = pairs.join(sides[0], "a").join(sides[1], ["b", "label"]).where(_dot(F.col("unit_a"), F.col("unit_b")) >= least)
-    links = scratch.keep(checked.select("a", "b", "label", "times_a", "times_b"), "links")
-    labels = components(links, scratch)
-    counts = links.select(F.explode(F.array(
-        F.struct(F.col("a").alias("rep"), "label", F.col("times_b").alias("n")),
-        F.struct(F.col("b").alias("rep"), "label", F.col("times_a").alias("n")))).alias("s")).select("s.*").groupBy(
-        "rep", "label").agg(F.sum("n").alias("others"))
-    known = kept.select("label", "v", "rep", "times").join(counts, ["rep", "label"], "left").join(
-        labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "label", "v", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
-    result = scratch.leave(scratch.keep(source.join(known, ["label", "v"], "left").select(
-        "vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id")), "result"))
-    scratch.close()
+    with Scratch(rows.sparkSession) as scratch:
+        source = rows.select(F.col(vec).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"),
+                             F.col(vector).cast("array<double>").alias("v"))
+        fit = source.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
+        classes = fit.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
+        # scaled by the largest component first, so that no square overflows or vanishes
+        top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+        scaled = classes.withColumn("top", top).withColumn("w", F.transform("v", lambda x: x / F.col("top")))
+        unit = scaled.withColumn("norm", F.sqrt(_dot(F.col("w"), F.col("w")))).select(
+            "label", "v", "rep", "times", F.transform("w", lambda x: x / F.col("norm")).alias("unit"))
+        kept = scratch.keep(unit, "classes")
+        near = described(kept, choose_pivots(kept, index), index)
+        pairs = scratch.keep(candidates(scratch.keep(near, "described"), index), "pairs")
+        sides = [kept.select(F.col("rep").alias(s), "label", F.col("unit").alias(f"unit_{s}"), F.col("times").alias(f"times_{s}")) for s in "ab"]
+        checked = pairs.join(sides[0], "a").join(sides[1], ["b", "label"]).where(_dot(F.col("unit_a"), F.col("unit_b")) >= least)
+        links = scratch.keep(checked.select("a", "b", "label", "times_a", "times_b"), "links")
+        labels = components(links, scratch)
+        counts = links.select(F.explode(F.array(
+            F.struct(F.col("a").alias("rep"), "label", F.col("times_b").alias("n")),
+            F.struct(F.col("b").alias("rep"), "label", F.col("times_a").alias("n")))).alias("s")).select("s.*").groupBy(
+            "rep", "label").agg(F.sum("n").alias("others"))
+        known = kept.select("label", "v", "rep", "times").join(counts, ["rep", "label"], "left").join(
+            labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+            "label", "v", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"),
+            F.coalesce("component", "rep").alias("component_id"))
+        result = scratch.leave(scratch.keep(source.join(known, ["label", "v"], "left").select(
+            "vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+            F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id")), "result"))
     return result.select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

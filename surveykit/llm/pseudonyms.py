@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import free, others
+
 _ROUNDS = 8
 _BETWEEN = "(?!^)(?!$)"  # the places between two characters
 
@@ -335,16 +337,17 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str = "p
     text stays null and an empty one empty, with nothing found. A column that is already named ``found`` is
     replaced; all others, and repeated rows, stay. Whoever has ``key`` can undo the permutation.
     """
-    kept = [c for c in docs.columns if c != found]
+    kept = others(docs, found)
+    hits_, made_ = free(docs, "__hits", "__made")
     hits = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(f"({_ANY})"), 1), F.array().cast("array<string>"))
-    seen = docs.select(*kept, hits.alias("__hits"))
-    made = F.transform("__hits", lambda h: F.struct(h.alias("old"), pseudonym(key, h).alias("p")))
-    known = seen.select(*kept, F.when(F.size("__hits") > 0, made).otherwise(F.array().cast(
-        f"array<struct<old:string,p:struct<kind:string,new:string,parts:{_PARTS}>>>")).alias("__made"))
+    seen = docs.select(*kept, hits.alias(hits_))
+    made = F.transform(hits_, lambda h: F.struct(h.alias("old"), pseudonym(key, h).alias("p")))
+    known = seen.select(*kept, F.when(F.size(hits_) > 0, made).otherwise(F.array().cast(
+        f"array<struct<old:string,p:struct<kind:string,new:string,parts:{_PARTS}>>>")).alias(made_))
     gaps = F.split(F.col(text), f"(?:{_ANY})", -1)
-    rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__made", i)["p"]["new"], F.lit("")))), "")
-    parts = F.flatten(F.transform("__made", lambda m: F.transform(m["p"]["parts"], lambda x: F.struct(
+    rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(made_, i)["p"]["new"], F.lit("")))), "")
+    parts = F.flatten(F.transform(made_, lambda m: F.transform(m["p"]["parts"], lambda x: F.struct(
         m["p"]["kind"].alias("kind"), x["old"].alias("old"), x["new"].alias("new")))))
     changed = F.filter(parts, lambda x: x["old"] != x["new"])
-    columns = [F.when(F.size("__made") > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in kept]
+    columns = [F.when(F.size(made_) > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in kept]
     return known.select(*columns, changed.alias(found))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .columns import free, others
+
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
     """Number of good ones among ``drawn`` without replacement, by inversion outwards from the mode."""
@@ -66,7 +68,8 @@ def shuffled_shards(df: DataFrame, keys: Sequence[str], n_shards: int, seed: int
     """
     if n_shards < 1:
         raise ValueError("there must be a shard")
-    spark, kept = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
+    spark, kept = df.sparkSession, others(df, "shard", "slot")
+    block_, cuts_, rank_, part_, at_, start_ = free(df, "__block", "__cuts", "__rank", "__part", "__at", "__start")
 
     def random_of(salt: str) -> Column:
         return F.xxhash64(F.lit(f"{seed}:{salt}"), *[F.col(c) for c in keys])
@@ -81,17 +84,17 @@ def shuffled_shards(df: DataFrame, keys: Sequence[str], n_shards: int, seed: int
     for b, row in zip(order, matrix):
         upto = 0
         cuts.append((b, [upto := upto + n for n in row]))
-    dealt = spark.createDataFrame(cuts, "__block int, __cuts array<bigint>")
+    dealt = spark.createDataFrame(cuts, f"`{block_}` int, `{cuts_}` array<bigint>")
 
     per_shard = max(1, math.ceil(n_blocks / n_shards))
-    place = Window.partitionBy("__block").orderBy(random_of("first"), *keys)
-    ranked = df.select(*kept, block.alias("__block")).withColumn("__rank", F.row_number().over(place)).join(dealt, "__block")
-    first = F.size(F.filter("__cuts", lambda c: c < F.col("__rank")))
+    place = Window.partitionBy(block_).orderBy(random_of("first"), *keys)
+    ranked = df.select(*kept, block.alias(block_)).withColumn(rank_, F.row_number().over(place)).join(dealt, block_)
+    first = F.size(F.filter(cuts_, lambda c: c < F.col(rank_)))
     part = F.pmod(F.shiftrightunsigned(random_of("second"), 1), F.lit(per_shard)).cast("int")
-    sent = ranked.select(*kept, first.cast("int").alias("shard"), part.alias("__part"))
-    counts = sent.groupBy("shard", "__part").count()
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__part").orderBy(random_of("third"), *keys)
-    return sent.withColumn("__at", F.row_number().over(within)).join(starts, ["shard", "__part"]).select(
-        *kept, "shard", (F.col("__start") + F.col("__at") - 1).alias("slot"))
+    sent = ranked.select(*kept, first.cast("int").alias("shard"), part.alias(part_))
+    counts = sent.groupBy("shard", part_).count()
+    before = Window.partitionBy("shard").orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", part_, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start_))
+    within = Window.partitionBy("shard", part_).orderBy(random_of("third"), *keys)
+    return sent.withColumn(at_, F.row_number().over(within)).join(starts, ["shard", part_]).select(
+        *kept, "shard", (F.col(start_) + F.col(at_) - 1).alias("slot"))

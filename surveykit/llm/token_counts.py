@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import extended, parts, process_cache
+from .columns import others
 
 _BLANK = "▁"
 _BATCH = 1_000_000
@@ -80,7 +81,7 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, text: str = "
     ``model`` is the content of a model file. A null text counts as an empty one, which has no tokens. Columns of
     those names are replaced; all others, and repeated rows, stay.
     """
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    kept = others(docs, "n_bytes", "n_tokens", "over_limit")
     base = docs.select(*kept)
     at, schema = kept.index(text), extended(base.schema, ("n_tokens", "long"))
     key = ("counter", hashlib.sha256(model).hexdigest(), chunk, overlap)
