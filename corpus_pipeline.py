@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveykit.llm import byte_bpe, decontamination, langid, near_duplicates, pseudonyms
+from surveykit.llm.columns import free, others
 from surveykit.llm.queries import PSEUDONYM_KEY, bpe_vocabulary, table
 from surveykit.storage import Scratch
 
@@ -24,8 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     model = langid.train(docs)
     if not model.languages:
         model = langid.train(docs.select("text", F.lit("any").alias("lang")))
-    judged = langid.predict(docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    plain = others(docs, "lang_pred", "score")
+    aside = {c: free(docs, f"__{c}")[0] for c in docs.columns if c not in plain}
+    judged = langid.predict(docs.withColumnsRenamed(aside), model)
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(
+        *[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -34,30 +38,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     Of rows that agree in id and text one stays, the first in the order of the other columns. Rows that share an id, or have
     none, but differ in text are documents of their own; a missing id counts as the largest, then the text's digest decides.
     """
-    scratch = Scratch(spark)
-    wide = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    often = wide.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
-    plain = wide.where("__id is not null").join(often, "__id", "left_anti").withColumn("__node", F.col("__id"))
-    shared = wide.join(often, "__id", "left_semi").unionByName(wide.where("__id is null"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = shared.groupBy("doc_id", "__id", "text").agg(F.min(F.struct(F.lit(0).alias("__none"), *others)).alias("__row"))
+    id_, node_, none_, row_ = free(docs, "__id", "__node", "__none", "__row")
+    wide = docs.withColumn(id_, F.col("doc_id").cast("long"))
+    often = wide.where(F.col(id_).isNotNull()).groupBy(id_).count().where("count > 1").select(id_)
+    plain = wide.where(F.col(id_).isNotNull()).join(often, id_, "left_anti").withColumn(node_, F.col(id_))
+    shared = wide.join(often, id_, "left_semi").unionByName(wide.where(F.col(id_).isNull()))
+    rest = others(docs, "doc_id", "text")
+    one = shared.groupBy("doc_id", id_, "text").agg(F.min(F.struct(F.lit(0).alias(none_), *rest)).alias(row_))
     # numbers outside the range of ids
-    least, most = wide.agg(F.min("__id"), F.max("__id")).first()
+    least, most = wide.agg(F.min(id_), F.max(id_)).first()
     number = F.monotonically_increasing_id()
-    free = F.lit(min(least or 0, 0) - 1) - number if (least or 0) >= -(1 << 62) else F.lit(most + 1) + number
-    one = scratch.leave(scratch.keep(one.select("doc_id", "__id", "text", *[F.col(f"__row.{c}").alias(c) for c in others]).withColumn(
-        "__node", free.cast("long")), "shared"))
-    scratch.close()
-    texts = plain.select("__node", "text").unionByName(one.select("__node", "text"))
-    found = near_duplicates.near_duplicates(texts, doc="__node").select(F.col("doc_id").alias("__node"), "component_id", "kept")
+    unused = F.lit(min(least or 0, 0) - 1) - number if (least or 0) >= -(1 << 62) else F.lit(most + 1) + number
+    with Scratch(spark) as scratch:
+        one = scratch.leave(scratch.keep(one.select("doc_id", id_, "text", *[F.col(f"{row_}.{c}").alias(c) for c in rest]).withColumn(
+            node_, unused.cast("long")), "shared"))
+    texts = plain.select(node_, "text").unionByName(one.select(node_, "text"))
+    found = near_duplicates.near_duplicates(texts, doc=node_).select(F.col("doc_id").alias(node_), "component_id", "kept")
     if one.isEmpty():
-        return plain.join(found.where("kept").select("__node"), "__node", "left_semi").select(*docs.columns)
-    known = found.join(one.select("__node", F.lit(True).alias("own"), "__id", F.sha2("text", 256).alias("digest")), "__node", "left")
-    place = F.struct((F.col("own").isNotNull() & F.col("__id").isNull()).alias("last"), F.coalesce(
-        "__id", F.when(F.col("own").isNull(), F.col("__node"))).alias("id"), "digest", "__node")
-    kept = known.groupBy("component_id").agg(F.min(place).alias("first")).select("first.__node")
-    return plain.join(kept, "__node", "left_semi").select(*docs.columns).unionByName(
-        one.join(kept, "__node", "left_semi").select(*docs.columns))
+        return plain.join(found.where("kept").select(node_), node_, "left_semi").select(*docs.columns)
+    known = found.join(one.select(node_, F.lit(True).alias("own"), id_, F.sha2("text", 256).alias("digest")), node_, "left")
+    place = F.struct((F.col("own").isNotNull() & F.col(id_).isNull()).alias("last"), F.coalesce(
+        id_, F.when(F.col("own").isNull(), F.col(node_))).alias("id"), "digest", node_)
+    kept = known.groupBy("component_id").agg(F.min(place).alias("first")).select(f"first.{node_}")
+    return plain.join(kept, node_, "left_semi").select(*docs.columns).unionByName(
+        one.join(kept, node_, "left_semi").select(*docs.columns))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -67,8 +71,9 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def private_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Replaces personal data by pseudonyms; ``n_chars`` follows the new text."""
-    done = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY)
-    size = F.when(F.size("pii_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    found, = free(docs, "pii_found")
+    done = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, found=found)
+    size = F.when(F.size(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", size).select(*docs.columns)
 
 
@@ -90,14 +95,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """The result of all stages over the table of documents; each stage reads what the one before it has written."""
-    scratch = Scratch(spark)
-    docs = table(spark, folder, "documents")
-    for name, stage in STAGES[:-1]:
-        written = scratch.keep(stage(spark, docs, folder), name)
-        if docs.columns == written.columns and hasattr(docs, "_scratch_path"):
-            scratch.drop(docs)
-        docs = written
-    scratch.leave(docs)
-    result = STAGES[-1][1](spark, docs, folder)
-    scratch.close()
-    return result
+    with Scratch(spark) as scratch:
+        docs = table(spark, folder, "documents")
+        for name, stage in STAGES[:-1]:
+            written = scratch.keep(stage(spark, docs, folder), name)
+            if docs.columns == written.columns and hasattr(docs, "_scratch_path"):
+                scratch.drop(docs)
+            docs = written
+        scratch.leave(docs)
+        return STAGES[-1][1](spark, docs, folder)
