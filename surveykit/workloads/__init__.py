@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, encoding, estimation, filling, fits, geography, joining, plots, summarising
+from . import cleaning, encoding, estimation, filling, fits, geography, joining, plots, quality, summarising
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "cleaning", "encoding", "estimation", "filling", "fits", "geography", "joining", "plots",
-           "summarising"]
+           "quality", "summarising"]
