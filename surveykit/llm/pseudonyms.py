@@ -28,6 +28,10 @@ _DIGITS = {"ip": (r"[\d.]", r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
            "national": (r"[\d-]", r"\d{3}-\d{2}-\d{4}(?![\d-])"),
            "phone": (r"[\w+(-]", r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\.?\d)|(?<![\w+(-])\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)|(?<![\w+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\.?\d)|(?<![\w+(-])\d{3}-\d{3}-\d{4}(?![\d-])"),
            "card": (r"[\d.-]", "")}
+#: Leading digits that issuers have been given, with the lengths of their numbers.
+ISSUED = ("4[0-9]{12}(?:[0-9]{3}){0,2}", "5[1-5][0-9]{14}", "2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}",
+          "3[47][0-9]{13}", "3(?:0[0-5]|[689][0-9])[0-9]{11,16}", "35(?:2[89]|[3-8][0-9])[0-9]{12,15}",
+          "6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12,15}", "62[0-9]{14,17}", "(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15}")
 PATTERNS = {k: f"(?<!{before}){pattern}" for k, (before, pattern) in (_LETTERS | _DIGITS).items()}
 
 
@@ -124,7 +128,7 @@ def check_digit(digits: Column) -> Column:
 
 
 def _card(key: str, value: Column) -> Column:
-    """Of a valid card number; the first digit stays."""
+    """Of a valid card number; the first digit, the length and the validity of the check digit stay."""
     def of(digits: Column) -> Column:
         body = F.substring(digits, F.lit(1), F.length(digits) - 1)
         new = F.concat(F.substring(body, F.lit(1), F.lit(1)), permuted_text(
@@ -138,14 +142,14 @@ _SPANS = "array<struct<first:int,last:int>>"
 
 
 def _card_spans(blocks: Column) -> Column:
-    """First and last block (from 0) of each card number: 13 to 19 digits in whole blocks that pass the check digit.
+    """First and last block (from 0) of each card number: 13 to 19 digits in whole blocks, in an issuer's range, that pass the check digit.
 
     Unbroken numbers and the usual layouts go first, then any other run of the blocks that are left, the longest first.
     """
     def valid(i: Column, j: Column) -> Column:
         def of(digits: Column) -> Column:
             size = F.length(digits)
-            return F.when(size.between(13, 19), check_digit(F.substring(digits, F.lit(1), size - 1)) == F.substring(
+            return F.when(size.between(13, 19) & digits.rlike(f"^(?:{'|'.join(ISSUED)})$"), check_digit(F.substring(digits, F.lit(1), size - 1)) == F.substring(
                 digits, size, F.lit(1))).otherwise(F.lit(False))
 
         return _let(F.array_join(F.slice(blocks, i + 1, j - i + 1), ""), of)
