@@ -194,3 +194,26 @@ def test_cards_need_an_issuer(spark):
     for i, card in enumerate(cards, len(left)):
         new = out[i]["text"]
         assert new != card and len(new) == len(card) and new[0] == card[0] and luhn(new)
+
+
+def test_owners_of_hosts(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.me.github.io": ("me.github.io", "github.io"),
+             "a.example.com": ("example.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""),
+             "u:p@www.example.org:8080": ("example.org", "org"), "example.com.": ("example.com", "com"), "example.com.:80": ("example.com", "com"),
+             "10.0.0.1:80": ("10.0.0.1", "[]"), "[::1]:80": ("[::1]", "[]"), "a.b.c.ck": ("b.c.ck", "c.ck"), "x.www.ck": ("www.ck", "ck"),
+             "a.com.fr": ("com.fr", "fr")}
+    df = spark.createDataFrame([(h,) for h in hosts] + [(None,)], "host string")
+    out = {r["host"]: r["o"] for r in df.select("host", rp.owner_of(F.col("host"), rp.SUFFIX_RULES).alias("o")).collect()}
+    assert {h: tuple(out[h]) for h in hosts} == hosts
+    rules = rp.read_suffix_rules("// comment\n\nCOM.fr  rest\n*.xy\n")
+    assert rules == ("com.fr", "*.xy")
+    assert tuple(df.where("host = 'a.com.fr'").select(rp.owner_of(F.col("host"), rules).alias("o")).first()["o"]) == ("a.com.fr", "com.fr")
+    assert tuple(df.where("host = 'a.com.fr'").select(rp.owner_of(F.col("host"), ()).alias("o")).first()["o"]) == ("com.fr", "fr")
+
+
+def test_tenants_of_a_shared_suffix_are_apart(spark):
+    """A bad tenant of a shared suffix does not block its neighbours, but its own other hosts."""
+    rows = [("a.bad.github.io", 1)] * 60 + [("b.bad.github.io", 1)] * 2 + [(f"t{i}.github.io", 0) for i in range(40) for _ in range(5)]
+    out = {r["host"]: r["bound"] for r in rp.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert out["a.bad.github.io"] > 0.25 and out["b.bad.github.io"] > 0.25 and max(out[f"t{i}.github.io"] for i in range(40)) < 0.25
+    assert rp.host_reputation(spark.createDataFrame([], "host string, bad int")).count() == 0
