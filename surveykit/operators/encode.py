@@ -7,20 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import hashed, ratio
-from .joins import null_safe_join
+from .joins import lookup_join, null_safe_join
 from .order_stats import frequencies, quantiles, value_ranks
 
 
 def factor_code(df: DataFrame, col: str, name: str | None = None, levels: DataFrame | None = None) -> DataFrame:
     """Integer code of each text value in byte order, from 1; a missing value is the text ``NA``.
 
-    ``levels`` may supply the column's values from a smaller table.
+    ``levels`` may supply the column's values from a smaller table. The dictionary is measured by one job; while it is
+    small, the rows are not shuffled.
     """
     label = F.coalesce(F.col(col).cast("string"), F.lit("NA"))
     source = (df if levels is None else levels).select(label.alias("__label"))
     codes = value_ranks(frequencies(source, [], "__label"), [], "__label")
     codes = codes.select("__label", F.col("rank").cast("int").alias(name or f"{col}_code"))
-    return df.withColumn("__label", label).join(codes, "__label").drop("__label")
+    return lookup_join(df.withColumn("__label", label), codes, ["__label"]).drop("__label")
 
 
 def zscore(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = None,

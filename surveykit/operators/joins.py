@@ -37,6 +37,36 @@ def keep_after(df: DataFrame, condition: Column, count: str) -> DataFrame:
     return df.where(condition.cast("int") * F.col(count) > 0)
 
 
+#: Up to these sizes a dictionary is sent to every task.
+_SMALL_ROWS, _SMALL_BYTES = 1 << 16, 8 << 20
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], small_rows: int = _SMALL_ROWS,
+                small_bytes: int = _SMALL_BYTES) -> DataFrame:
+    """Inner join of rows with a table that holds every key once and few further columns, planned by measured sizes.
+
+    One small job measures the table. Up to ``small_rows`` rows and ``small_bytes`` bytes of keys it is sent to every
+    task, so that no row of ``rows`` is shuffled. Beyond that, keys that hold more rows than a partition's share (there
+    are fewer of them than partitions) are found by counting, and they alone are salted on both sides. The salt is a hash of the whole
+    row, so equal rows stay together and a rerun deals alike. Missing keys match nothing.
+    """
+    keys = list(keys)
+    width = F.octet_length(F.to_json(F.struct(*keys)))
+    size = table.select(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    if size["n"] <= small_rows and size["b"] <= small_bytes:
+        return rows.join(F.broadcast(table), keys)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    heavy = counts.where(F.col("__n") * parts > counts.agg(F.sum("__n")).scalar()).select(*keys, F.lit(True).alias("__heavy"))
+
+    def salted(df: DataFrame, salts: Column) -> DataFrame:
+        marked = df.join(F.broadcast(heavy), keys, "left")
+        return marked.withColumn("__salt", F.explode(F.when(F.col("__heavy"), salts).otherwise(F.array(F.lit(0))))).drop("__heavy")
+
+    dealt = salted(rows, F.array(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")))
+    return dealt.join(salted(table, F.sequence(F.lit(0), F.lit(parts - 1))), [*keys, "__salt"]).drop("__salt")
+
+
 def left_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return null_safe_join(left, right, keys, "left")
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import Z975, lgamma, linear, logit, plogis, ratio
-from .joins import null_safe_join
+from .joins import lookup_join, null_safe_join
 from .newton import covariance, durable, maximise, symmetric
 
 
@@ -414,7 +414,8 @@ def site_abundance(hist: DataFrame, params: DataFrame, keys: Sequence[str], by:
                    history: str = "history") -> DataFrame:
     """Mean of N at each site given its counts, for lam and p by species (columns ``lam`` and ``p``).
 
-    Computed per distinct history and joined back, since most sites share theirs with many others.
+    Computed per distinct history and joined back, since most sites share theirs with many others. The different
+    histories are counted by one job; while they are few, the sites are not shuffled.
     """
     seen = F.transform(F.filter(history, lambda v: v.isNotNull()), lambda v: v.cast("int"))
     rows = hist.select(*dict.fromkeys([by, *keys]), F.sort_array(seen).alias("__h"))
@@ -426,4 +427,5 @@ def site_abundance(hist: DataFrame, params: DataFrame, keys: Sequence[str], by:
         _weights(F.col("__h"), k).alias("__c"),
     ).join(params.select(by, "lam", "p"), by)
     kinds = _with_moments(kinds, F.log("lam"), logit("p"))
-    return rows.join(kinds.select(by, "__h", F.col("__e1").alias("estimate")), [by, "__h"]).drop("__h")
+    estimates = kinds.select(by, "__h", F.col("__e1").alias("estimate"))
+    return lookup_join(rows, estimates, [by, "__h"]).drop("__h")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions.scalars import ratio
+from ..storage import Scratch
 from .clean import first_stop
 from .joins import null_safe_join
 from .summaries import route_location
@@ -97,6 +99,25 @@ def grid_polygons(spark: SparkSession, lon: tuple[float, float], lat: tuple[floa
     return cells.select(key.alias("cell"), ring.alias("ring"))
 
 
+def _edges(ring: str | Column) -> Column:
+    """The edges of a closed ring of corners ``x, y``."""
+    return F.zip_with(
+        F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))),
+        F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))),
+        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
+    )
+
+
+def _holds(edges: str, px: Column, py: Column) -> Column:
+    """Whether an odd number of edges lies to the right of the point."""
+    def crossed(count: Column, edge: Column) -> Column:
+        spans = (edge["y1"] > py) != (edge["y2"] > py)
+        at = ratio((edge["x2"] - edge["x1"]) * (py - edge["y1"]), edge["y2"] - edge["y1"]) + edge["x1"]
+        return count + F.when(spans, F.when(px < at, 1).otherwise(0)).otherwise(0)
+
+    return F.aggregate(edges, F.lit(0), crossed) % 2 == 1
+
+
 def point_in_polygon(pts: DataFrame, rings: DataFrame, x: str = "lon", y: str = "lat",
                      tile: tuple[float, float] = (0.5, 0.25)) -> DataFrame:
     """Points with the ``cell`` of each polygon that holds them; points in no polygon are left out.
@@ -107,30 +128,125 @@ def point_in_polygon(pts: DataFrame, rings: DataFrame, x: str = "lon", y: str =
     """
     tx, ty = (F.lit(float(t)) for t in tile)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    edges = F.zip_with(
-        F.slice("ring", F.lit(1), F.size("ring") - 1),
-        F.slice("ring", F.lit(2), F.size("ring") - 1),
-        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
-    )
 
     def tiles(values: Column, size: Column) -> Column:
         return F.explode(F.sequence(F.floor(F.array_min(values) / size), F.floor(F.array_max(values) / size)))
 
     candidates = (
-        rings.select("cell", edges.alias("__edges"), tiles(xs, tx).alias("__tx"), ys.alias("__ys"))
+        rings.select("cell", _edges("ring").alias("__edges"), tiles(xs, tx).alias("__tx"), ys.alias("__ys"))
         .withColumn("__ty", tiles(F.col("__ys"), ty))
         .drop("__ys")
     )
     px, py = F.col(x), F.col(y)
+    tiled = pts.withColumns({"__tx": F.floor(px / tx), "__ty": F.floor(py / ty)})
+    return tiled.join(candidates, ["__tx", "__ty"]).where(_holds("__edges", px, py)).drop("__tx", "__ty", "__edges")
 
-    def crossed(count: Column, edge: Column) -> Column:
-        spans = (edge["y1"] > py) != (edge["y2"] > py)
-        at = ratio((edge["x2"] - edge["x1"]) * (py - edge["y1"]), edge["y2"] - edge["y1"]) + edge["x1"]
-        return count + F.when(spans, F.when(px < at, 1).otherwise(0)).otherwise(0)
 
-    inside = F.aggregate("__edges", F.lit(0), crossed) % 2 == 1
-    tiled = pts.withColumns({"__tx": F.floor(px / tx), "__ty": F.floor(py / ty)})
-    return tiled.join(candidates, ["__tx", "__ty"]).where(inside).drop("__tx", "__ty", "__edges")
+@dataclass(frozen=True)
+class Tiling:
+    """First tiles of ``size`` degrees, of which those with much work are quartered, at most ``depth`` times.
+
+    The work of a tile is its number of points times the number of edges that matter in it. A tile is split if that exceeds both
+    ``least`` and the ``share``-th part of all work; so fewer than ``share`` tiles are split on each level, whatever the data.
+    """
+
+    size: tuple[float, float] = (0.5, 0.25)
+    depth: int = 8
+    share: int = 1024
+    least: int = 4096
+
+
+def _code(tx: Column, ty: Column) -> Column:
+    return F.shiftleft(tx, 32) + ty
+
+
+def _at_level(value: Column, size: float, level: int | Column) -> Column:
+    scale = F.lit(float(1 << level)) if isinstance(level, int) else F.pow(F.lit(2.0), level)
+    return F.floor(value / F.lit(float(size)) * scale)
+
+
+def _relevant(candidates: DataFrame, size: tuple[float, float]) -> DataFrame:
+    """Candidates with the edges that a ray from inside their tile to the right can meet; those without one go."""
+    scale = F.pow(F.lit(2.0), F.col("__l"))
+    # a thousandth of a tile more on each side, so that no rounding can lose an edge
+    left = (F.col("__tx") - 0.001) / scale * F.lit(float(size[0]))
+    low, high = ((F.col("__ty") + d) / scale * F.lit(float(size[1])) for d in (-0.001, 1.001))
+    near = F.filter("__edges", lambda e: (F.greatest(e["x1"], e["x2"]) >= left) & (F.greatest(e["y1"], e["y2"]) >= low) & (
+        F.least(e["y1"], e["y2"]) <= high))
+    return candidates.withColumn("__edges", near).where(F.size("__edges") > 0)
+
+
+def _first_tiles(shapes: DataFrame, size: tuple[float, float]) -> DataFrame:
+    listed = shapes.select("cell", F.flatten(F.transform("rings", _edges)).alias("__edges"))
+
+    def tiles(axis: str, size: float) -> Column:
+        # every corner begins an edge, since the rings are closed
+        values = F.transform("__edges", lambda e: e[f"{axis}1"])
+        return F.explode(F.sequence(F.floor(F.array_min(values) / size), F.floor(F.array_max(values) / size)))
+
+    placed = listed.withColumn("__tx", tiles("x", size[0])).withColumn("__ty", tiles("y", size[1]))
+    return _relevant(placed.withColumn("__l", F.lit(0)), size)
+
+
+def _quartered(candidates: DataFrame, level: int, codes: Sequence[int], size: tuple[float, float]) -> DataFrame:
+    """The candidates of the listed tiles of one level move to the four tiles below; the others stay."""
+    def child(dx: int, dy: int) -> Column:
+        return F.struct(F.lit(level + 1).alias("__l"), (F.col("__tx") * 2 + dx).alias("__tx"), (F.col("__ty") * 2 + dy).alias("__ty"))
+
+    split = (F.col("__l") == level) & _code(F.col("__tx"), F.col("__ty")).isin(*codes)
+    own = F.array(F.struct("__l", "__tx", "__ty"))
+    below = F.array(*[child(dx, dy) for dx in (0, 1) for dy in (0, 1)])
+    moved = candidates.select("cell", "__edges", F.explode(F.when(split, below).otherwise(own)).alias("__t"))
+    return _relevant(moved.select("cell", "__edges", "__t.*"), size)
+
+
+def split_tiles(pts: DataFrame, shapes: DataFrame, x: str = "lon", y: str = "lat", tiling: Tiling = Tiling()) -> list[list[int]]:
+    """Which tiles of each level are split, from measured numbers of points and edges.
+
+    The points are counted once, on the finest tiles; the levels are summed from there, one small job each.
+    """
+    (sx, sy), depth = tiling.size, tiling.depth
+    finest = pts.groupBy(_at_level(F.col(x), sx, depth).alias("fx"), _at_level(F.col(y), sy, depth).alias("fy")).agg(
+        F.count(F.lit(1)).alias("n"))
+    splits: list[list[int]] = []
+    with Scratch(pts.sparkSession) as scratch:
+        counted = scratch.keep(finest.where(F.col("fx").isNotNull() & F.col("fy").isNotNull()), "points")
+        candidates, budget = _first_tiles(shapes, tiling.size), None
+        for level in range(depth):
+            points_here = counted.groupBy(F.shiftright("fx", depth - level).alias("__tx"), F.shiftright("fy", depth - level).alias("__ty")).agg(
+                F.sum("n").alias("n"))
+            edges_here = candidates.where(F.col("__l") == level).groupBy("__tx", "__ty").agg(F.sum(F.size("__edges")).alias("e"))
+            work = points_here.join(edges_here, ["__tx", "__ty"]).select(
+                _code(F.col("__tx"), F.col("__ty")).alias("code"), (F.col("n").cast("double") * F.col("e")).alias("w"))
+            if budget is None:
+                budget = max(float(tiling.least), (work.agg(F.sum("w")).first()[0] or 0.0) / tiling.share)
+            codes = sorted(r["code"] for r in work.where(F.col("w") > budget).select("code").collect())
+            if not codes:
+                break
+            splits.append(codes)
+            candidates = _quartered(candidates, level, codes, tiling.size)
+    return splits
+
+
+def point_in_shape(pts: DataFrame, shapes: DataFrame, x: str = "lon", y: str = "lat", tiling: Tiling = Tiling()) -> DataFrame:
+    """Points with the ``cell`` of each shape that holds them, on tiles that adapt to points and edges.
+
+    ``shapes`` has ``cell`` and ``rings``, the closed rings of all parts and holes in any order and direction: a point is
+    inside if an odd number of rings goes around it. A shape is listed under the tiles that it touches, there with the
+    edges that matter, so a point never meets the whole outline. Points without coordinates, and in no shape, are left out; repeated
+    points stay, a null or empty list of rings holds nothing. A point on a shared edge falls into one of the shapes.
+    """
+    splits = split_tiles(pts, shapes, x, y, tiling)
+    (sx, sy), px, py = tiling.size, F.col(x), F.col(y)
+    candidates, level = _first_tiles(shapes, tiling.size), F.lit(len(splits))
+    for k, codes in enumerate(splits):
+        candidates = _quartered(candidates, k, codes, tiling.size)
+    for k, codes in reversed(list(enumerate(splits))):
+        level = F.when(~_code(_at_level(px, sx, k), _at_level(py, sy, k)).isin(*codes), k).otherwise(level)
+    placed = pts.withColumn("__l", level).withColumns({
+        "__tx": _at_level(px, sx, F.col("__l")), "__ty": _at_level(py, sy, F.col("__l"))})
+    found = placed.join(candidates, ["__l", "__tx", "__ty"]).where(_holds("__edges", px, py))
+    return found.drop("__l", "__tx", "__ty", "__edges")
 
 
 def route_cells(df: DataFrame, rings: DataFrame | None = None, event: str = S.EVENT, route: str = S.ROUTE,

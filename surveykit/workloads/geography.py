@@ -73,6 +73,37 @@ def point_in_polygon(spark, sf):
     return K.point_in_polygon(sites(spark, sf), rings).select("site", "cell")
 
 
+#: Shares of a box's sides: the outline, the hole in it, and an island in the hole.
+_FRAMES = ((0.0, 1.0), (0.25, 0.75), (0.4, 0.6))
+
+
+def _framed(k: int) -> str:
+    lo, hi = (repr(v) + "::DOUBLE" for v in _FRAMES[k])
+    return " AND ".join(f"{v} >= {v}1 + ({v}2 - {v}1) * {lo} AND {v} < {v}1 + ({v}2 - {v}1) * {hi}" for v in ("lon", "lat"))
+
+
+@query("point_in_shape", (
+    f"WITH {_SITES}, boxes AS (SELECT c_nationkey AS cell, min(lon) AS lon1, max(lon) AS lon2, min(lat) AS lat1, max(lat) AS lat2"
+    " FROM sites JOIN customer ON site = c_custkey GROUP BY ALL) SELECT site, CAST(cell AS INT) AS cell FROM sites JOIN boxes ON "
+    f"{_framed(0)} WHERE NOT ({_framed(1)}) OR ({_framed(2)})"
+))
+def point_in_shape(spark, sf):
+    """Which nations' frames hold a site: the box around a nation's own sites, with a hole and an island in it."""
+    homes = table(spark, sf, "customer").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").cast("int").alias("cell"))
+    boxes = sites(spark, sf).join(homes, "site").groupBy("cell").agg(
+        F.min("lon").alias("x1"), F.max("lon").alias("x2"), F.min("lat").alias("y1"), F.max("lat").alias("y2"))
+
+    def ring(lo: float, hi: float):
+        def at(axis: str, share: float):
+            return F.col(f"{axis}1") + (F.col(f"{axis}2") - F.col(f"{axis}1")) * F.lit(share)
+
+        corners = ((lo, lo), (hi, lo), (hi, hi), (lo, hi), (lo, lo))
+        return F.array(*[F.struct(at("x", a).alias("x"), at("y", b).alias("y")) for a, b in corners])
+
+    shapes = boxes.select("cell", F.array(*[ring(*frame) for frame in _FRAMES]).alias("rings"))
+    return K.point_in_shape(sites(spark, sf), shapes).select("site", "cell")
+
+
 @query("grid_cell", f"WITH {_SITES} SELECT site, {_CELL} AS cell FROM sites")
 def grid_cell(spark, sf):
     return sites(spark, sf).select("site", K.grid_cell("lat", "lon").alias("cell"))

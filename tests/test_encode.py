@@ -64,3 +64,20 @@ def test_nothing_to_draw_from(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id int, v double")
     assert [r.v for r in N.impute_empirical(df, "v", ["id"]).collect()] == [None, None]
     assert [r.z for r in N.zscore(df, "v", name="z").collect()] == [None, None]
+
+
+def test_lookup_by_measured_size(spark):
+    """A small dictionary is sent to the rows; beyond the bound only the keys that are hot are salted."""
+    from surveykit.operators.joins import lookup_join
+
+    rows = [(i, "hot" if i % 3 else f"k{i % 50}") for i in range(3000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "i int, key string")
+    table = df.where("key is not null").select("key").distinct().withColumn("size", F.length("key"))
+    want = sorted((k, i, len(k)) for i, k in rows if k is not None)
+    small, large = lookup_join(df, table, ["key"]), lookup_join(df, table, ["key"], small_rows=4)
+    for out in (small, large, lookup_join(df, table, ["key"], small_bytes=10)):
+        assert out.columns == ["key", "i", "size"] and sorted(map(tuple, out.collect())) == want
+    plans = [out._jdf.queryExecution().optimizedPlan().toString() for out in (small, large)]
+    assert "__salt" not in plans[0] and "__salt" in plans[1]
+    assert lookup_join(df.limit(0), table, ["key"], small_rows=0).count() == 0
+    assert lookup_join(df, table.limit(0), ["key"]).count() == 0

@@ -68,3 +68,31 @@ def test_routes_outside_the_grid_have_no_cell(spark):
     rings = K.grid_polygons(spark, (-69.5, -62.5), (44.0, 48.25))
     out = {r.RouteIdentifier: (r.latitude, r.cell) for r in K.route_cells(df, rings).collect()}
     assert out == {"in": (46.1, "184_-133"), "out": (46.1, None)}
+
+
+def star(rng, x, y, size, corners):
+    """A closed ring around a point, not convex."""
+    angles = np.sort(rng.uniform(0, 2 * np.pi, corners))
+    far = size * rng.uniform(0.3, 1.0, corners)
+    ring = [(float(x + f * np.cos(a)), float(y + f * np.sin(a))) for a, f in zip(angles, far)]
+    return [*ring, ring[0]]
+
+
+def test_shapes_with_holes_and_parts(spark):
+    rng = np.random.default_rng(5)
+    shapes = {k: [star(rng, *rng.uniform(-3, 3, 2), rng.uniform(0.2, 3), 40) for _ in range(rng.integers(1, 4))] for k in range(12)}
+    shapes[50] = [[(-2.0, -2.0), (2.0, -2.0), (2.0, 2.0), (-2.0, 2.0), (-2.0, -2.0)], [(-1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (1.0, -1.0), (-1.0, -1.0)]]
+    spread = rng.uniform(-4, 4, (1500, 2))
+    dense = rng.uniform(0.01, 0.02, (4000, 2))  # all in one tile, and there in one corner of it
+    points = [(i, float(a), float(b), "kept") for i, (a, b) in enumerate(np.vstack([spread, dense]))] + [(-1, None, 1.0, "x"), (7, 0.0, 1.5, "again")]
+    pts = spark.createDataFrame(points, "id int, lon double, lat double, cell_name string")
+    kinds = "cell int, rings array<array<struct<x:double,y:double>>>"
+    df = spark.createDataFrame([*shapes.items(), (60, None), (61, []), (62, [[]])], kinds)
+    want = sorted((i, k) for i, x, y, _ in points if x is not None for k, rings in shapes.items()
+                  if sum(inside(x, y, ring) for ring in rings) % 2)
+    for tiling in (K.Tiling(), K.Tiling(share=32, least=100), K.Tiling(depth=1, least=10)):
+        assert sorted((r.id, r.cell) for r in K.point_in_shape(pts, df, tiling=tiling).collect()) == want
+    assert set(K.point_in_shape(pts, df).columns) == {"id", "lon", "lat", "cell_name", "cell"}
+    deep, flat = K.split_tiles(pts, df, tiling=K.Tiling(share=32, least=100)), K.split_tiles(pts.where("id < 1500"), df, tiling=K.Tiling(least=10**9))
+    assert flat == [] and len(deep) >= 4 and 0 in deep[0] and all(len(codes) < 32 for codes in deep)
+    assert K.point_in_shape(pts.limit(0), df).count() == 0 and K.point_in_shape(pts, df.limit(0)).count() == 0
