@@ -38,13 +38,15 @@ def prefix_examples(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     ``example`` counts from 0 in the order of turns; ``loss_start = loss_end`` where there is no target. Null roles
     and texts are empty. Turns are ordered by number (nulls first), then role and text; repeated rows are turns of
-    their own; rows without a conversation form one conversation with a null id. Other columns are not read, and
-    an empty table gives no examples.
+    their own. A row without a conversation is one by itself, with a null id, so that any number of them is spread over
+    all tasks. Other columns are not read, and an empty table gives no examples.
     """
     said = rows.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    one = F.struct("turn", "role", "text")
+    whole = said.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns")).unionByName(
+        said.where("conv_id is null").select("conv_id", F.array(one).alias("turns")))
     written = whole.select(
         "conv_id",
         F.transform("turns", lambda t: F.concat(
@@ -83,13 +85,18 @@ def turns_of(text: Column) -> Column:
 
 
 def conversation_digests(examples: DataFrame) -> DataFrame:
-    """Per conversation, from its examples alone: number and digest of its turns, and of its trainable text."""
+    """Per conversation, from its examples alone: number and digest of its turns, and of its trainable text.
+
+    An example without a conversation is all of its own one.
+    """
     read = examples.select(
         "conv_id", "example", "text", F.length("text").alias("chars"),
         target_text(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("target"))
-    one = read.groupBy("conv_id").agg(
+    own = F.struct("example", "target")
+    one = read.where("conv_id is not null").groupBy("conv_id").agg(
         F.max_by("text", "example").alias("last"), F.sum("chars").alias("formatted_chars"),
-        F.array_sort(F.collect_list(F.struct("example", "target"))).alias("targets"))
+        F.array_sort(F.collect_list(own)).alias("targets")).unionByName(read.where("conv_id is null").select(
+            "conv_id", F.col("text").alias("last"), F.col("chars").cast("long").alias("formatted_chars"), F.array(own).alias("targets")))
     told = one.select(
         "conv_id", "formatted_chars", turns_of(F.col("last")).alias("turns"),
         F.array_join(F.transform("targets", lambda t: t["target"]), "").alias("loss"))

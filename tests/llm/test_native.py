@@ -29,6 +29,17 @@ def test_examples_hold_each_reply_once(spark):
     assert chat.conversation_digests(chat.prefix_examples(df.limit(0))).count() == 0
 
 
+def test_rows_without_a_conversation_are_alone(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (None, None, None, None), (1, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = chat.prefix_examples(df).collect()
+    assert sorted((r["conv_id"] or 0, r["example"], r["loss_end"] - r["loss_start"]) for r in examples) == [
+        (0, 0, 0), (0, 0, 0), (0, 0, 1), (0, 0, 1), (1, 0, 0)]
+    told = sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"], r["turns_sha256"]) for r in chat.conversation_digests(chat.prefix_examples(df)).collect())
+    assert told == sorted((c or 0, 1, len(t or "") if ro == "assistant" else 0, hashlib.sha256(f"{ro or ''}\n{t or ''}\n".encode()).hexdigest())
+                          for c, _, ro, t in rows)
+
+
 def test_rules_and_url_parts(spark):
     rules = [rp.Rule("com", "/", "allow"), rp.Rule("example.com", "/en/", "block"), rp.Rule("www.example.com", "/en/", "allow")]
     urls = [("http://WWW.Example.COM/en/1?x#y", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
@@ -68,6 +79,26 @@ def test_shards_have_exact_sizes_and_gapless_slots(spark):
         sh.shuffled_shards(df, ["doc_id"], 0)
 
 
+def test_equal_rows_are_dealt_like_others(spark):
+    """A row that repeats is numbered over all partitions, falls into all blocks and reaches all shards."""
+    hot = spark.range(30_000, numPartitions=8).select(F.lit(7).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    df = hot.union(spark.range(3_000, numPartitions=3).selectExpr("id + 100 as doc_id", "'t' as text"))
+    told = sh.numbered_copies(df, ["doc_id", "text"], "copy")
+    assert told.where("doc_id = 7").selectExpr("count(*)", "count(copy)", "count(distinct copy)", "min(copy)", "max(copy)").first()[:] == (
+        30_000, 29_999, 29_999, 1, 29_999)
+    assert told.where("doc_id <> 7 and copy is not null").count() == 0
+    blocks = told.groupBy(F.pmod(F.xxhash64(F.lit("0:block"), "doc_id", "text", "copy"), F.lit(181))).count().agg(F.max("count")).first()[0]
+    assert blocks < 300
+    out = sh.shuffled_shards(df, ["doc_id", "text"], 6)
+    rows = out.where("doc_id = 7").groupBy("shard").count().collect()
+    assert sorted(r["shard"] for r in rows) == list(range(6)) and all(abs(r["count"] - 5_000) < 150 for r in rows)
+    assert out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).where(
+        "n = 5500 and d = n and m = n - 1").count() == 6
+    again = sh.shuffled_shards(df.repartition(5), ["doc_id", "text"], 6)
+    assert out.exceptAll(again).count() == 0
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()
+
+
 def test_matrix_margins_and_law():
     matrix = sh.communication_matrix([0, 5, 17, 100], [40, 41, 41], seed=1)
     assert [sum(r) for r in matrix] == [0, 5, 17, 100] and [sum(c) for c in zip(*matrix)] == [40, 41, 41]
