@@ -45,8 +45,9 @@ def prefix_examples(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"))
     one = F.struct("turn", "role", "text")
+    nobody = F.lit(None).cast(said.schema["conv_id"].dataType).alias("conv_id")  # a literal lets Spark leave the other half out where only one is read
     whole = said.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns")).unionByName(
-        said.where("conv_id is null").select("conv_id", F.array(one).alias("turns")))
+        said.where("conv_id is null").select(nobody, F.array(one).alias("turns")))
     written = whole.select(
         "conv_id",
         F.transform("turns", lambda t: F.concat(
