@@ -229,5 +229,5 @@ def nbinom1_fit(df: DataFrame, covariates: Sequence[str] = ("scaleyear",), y: st
             se = math.sqrt(cov[j, j]) if est is not None and cov[j, j] > 0 else None
             z = est / se if se else None
             result.append((key, name, est, se, z, normal_pvalue(z) if z is not None else None, ratio, float(math.exp(fit["x"][p])),
-                           fit["ll"], count, sizes[key][1], bool(fit["done"]), bool(fit["dropped"][j])))
+                           fit["ll"], count, sizes[key][1], bool(fit["done"]), bool(fit["dropped"][j]), None))
     return spark.createDataFrame(result, TREND_SCHEMA.format(by=by, type=key_type))

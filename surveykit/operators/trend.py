@@ -15,7 +15,7 @@ from .newton import covariance, durable, maximise, parameter_table, symmetric
 
 TREND_SCHEMA = (
     "`{by}` {type}, term string, estimate double, se double, z double, p double, phi double, theta double, "
-    "loglik double, n bigint, n_routes bigint, converged boolean, dropped boolean"
+    "loglik double, n bigint, n_routes bigint, converged boolean, dropped boolean, shape_at_bound boolean"
 )
 
 
@@ -138,7 +138,9 @@ def trend_fit(
     dispersion. This is close to, but not the same as, a mixed model with normal route intercepts.
 
     Each step is one pass over the collapsed rows: sums per species and route, then per species. Fixed effects
-    cannot estimate a covariate that is constant within every route; such a term is dropped and flagged.
+    cannot estimate a covariate that is constant within every route; such a term is dropped and flagged. Where no
+    variation between routes is left, the gamma shape grows without end: it stops there and ``shape_at_bound`` is true
+    (null for other route effects).
     With ``collapsed`` the table already holds cells as :func:`collapse_rows` makes them; every step reads
     them, so they should be stored (:func:`operators.newton.durable`).
     """
@@ -224,6 +226,7 @@ def trend_fit(
         return sums.groupBy(by).agg(*cols).collect()
 
     flat: dict[object, np.ndarray] = {}
+    at_bound: dict[object, bool] = {}
 
     def evaluate(points: dict) -> dict:
         out = {}
@@ -239,7 +242,8 @@ def trend_fit(
                 g.append(r["gt"])
                 cross = np.array([r[f"ht{j}"] for j in range(p)])
                 h = np.block([[h, cross[:, None]], [cross[None, :], np.array([[r["htt"]]])]])
-                if points[r[by]][p] > 12 and r["gt"] > 0:
+                at_bound[r[by]] = points[r[by]][p] > 12 and r["gt"] > 0
+                if at_bound[r[by]]:
                     # no variation between routes is left: the shape has no finite maximum
                     g[p] = 0.0
                     h[p, :] = h[:, p] = 0.0
@@ -266,7 +270,7 @@ def trend_fit(
             result.append((
                 key, name, est, se, z, normal_pvalue(z) if z is not None else None,
                 None if math.isnan(phi) else phi, float(math.exp(fit.x[p])) if gamma else None,
-                fit.loglik, n, routes, bool(fit.converged), bool(dropped[j]),
+                fit.loglik, n, routes, bool(fit.converged), bool(dropped[j]), bool(fit.x[p] > 12 and at_bound.get(key, False)) if gamma else None,
             ))
     return spark.createDataFrame(result, TREND_SCHEMA.format(by=by, type=key_type))
 
@@ -336,7 +340,7 @@ def gaussian_fit(df: DataFrame, x: str = "scaleyear", y: str = "RouteTotal", by:
     return fit.select(
         by, F.lit(x).alias("term"), F.col("slope").alias("estimate"), "se", z.alias("z"), pvalue(z).alias("p"),
         none.alias("phi"), none.alias("theta"), none.alias("loglik"), "n", "n_routes",
-        F.lit(True).alias("converged"), F.lit(False).alias("dropped"),
+        F.lit(True).alias("converged"), F.lit(False).alias("dropped"), F.lit(None).cast("boolean").alias("shape_at_bound"),
     )
 
 
@@ -429,6 +433,7 @@ def gaussian_cells_fit(cells: DataFrame, covariates: Sequence[str] = ("scaleyear
     return rows.select(
         by, "term", "estimate", "se", z.alias("z"), pvalue(z).alias("p"), "phi", F.lit(None).cast("double").alias("theta"),
         "loglik", "n", "n_routes", F.lit(True).alias("converged"), F.col("estimate").isNull().alias("dropped"),
+        F.lit(None).cast("boolean").alias("shape_at_bound"),
     )
 
 

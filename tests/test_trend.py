@@ -136,6 +136,15 @@ def test_no_variation_between_routes(spark):
     assert got["scaleyear"].estimate == pytest.approx(0, abs=0.05) and got["scaleyear"].se > 0
 
 
+def test_a_shape_without_maximum_is_flagged(spark):
+    rows = [(k, r, float(t), 10, 10) for k in ("same", "apart") for r in range(6) for t in range(5)]
+    rows = [(k, f"r{r}", x, n, y if k == "same" else y * (1 + r * r)) for k, r, x, n, y in rows]
+    df = spark.createDataFrame(rows, "CommonName string, RouteIdentifier string, scaleyear double, nstop int, RouteTotal int")
+    flags = {(r.CommonName, r.shape_at_bound) for r in T.trend_fit(df, ["scaleyear"]).collect()}
+    assert flags == {("same", True), ("apart", False)}
+    assert {r.shape_at_bound for r in T.trend_fit(df, ["scaleyear"], route_effect="none").collect()} == {None}
+
+
 def test_only_constant_covariates(table):
     got = coefficients(T.trend_fit(table, ["protocol"], route_effect="fixed"), "A")
     assert got["protocol"].dropped and got["protocol"].se is None
