@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from surveykit.llm import byte_bpe, decontamination, langid, near_duplicates, pseudonyms
 from surveykit.llm.columns import free, others
 from surveykit.llm.queries import PSEUDONYM_KEY, bpe_vocabulary, table
-from surveykit.storage import Scratch
+from surveykit.storage import Scratch, files
 
 LEAST_SCORE = 0.5
 
@@ -32,6 +32,15 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
         *[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
+def _gathered(kept: DataFrame, size: int) -> DataFrame:
+    """The rows in no more partitions than ``size`` bytes of text fill, however many a shuffle has left."""
+    return kept.coalesce(files(size))
+
+
+def _text_bytes():
+    return F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keeps the document with the smallest id of each group (five words, similarity 0.8), by its own text.
 
@@ -46,27 +55,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     rest = others(docs, "doc_id", "text")
     one = shared.groupBy("doc_id", id_, "text").agg(F.min(F.struct(F.lit(0).alias(none_), *rest)).alias(row_))
     # numbers outside the range of ids
-    least, most = wide.agg(F.min(id_), F.max(id_)).first()
+    least, most, size = wide.agg(F.min(id_), F.max(id_), _text_bytes()).first()
     number = F.monotonically_increasing_id()
     unused = F.lit(min(least or 0, 0) - 1) - number if (least or 0) >= -(1 << 62) else F.lit(most + 1) + number
     with Scratch(spark) as scratch:
         one = scratch.leave(scratch.keep(one.select("doc_id", id_, "text", *[F.col(f"{row_}.{c}").alias(c) for c in rest]).withColumn(
             node_, unused.cast("long")), "shared"))
     texts = plain.select(node_, "text").unionByName(one.select(node_, "text"))
-    found = near_duplicates.near_duplicates(texts, doc=node_).select(F.col("doc_id").alias(node_), "component_id", "kept")
+    found = near_duplicates.near_duplicates(_gathered(texts, size), doc=node_).select(F.col("doc_id").alias(node_), "component_id", "kept")
     if one.isEmpty():
-        return plain.join(found.where("kept").select(node_), node_, "left_semi").select(*docs.columns)
+        return _gathered(plain.join(found.where("kept").select(node_), node_, "left_semi").select(*docs.columns), size)
     known = found.join(one.select(node_, F.lit(True).alias("own"), id_, F.sha2("text", 256).alias("digest")), node_, "left")
     place = F.struct((F.col("own").isNotNull() & F.col(id_).isNull()).alias("last"), F.coalesce(
         id_, F.when(F.col("own").isNull(), F.col(node_))).alias("id"), "digest", node_)
     kept = known.groupBy("component_id").agg(F.min(place).alias("first")).select(f"first.{node_}")
-    return plain.join(kept, node_, "left_semi").select(*docs.columns).unionByName(
-        one.join(kept, node_, "left_semi").select(*docs.columns))
+    return _gathered(plain.join(kept, node_, "left_semi").select(*docs.columns).unionByName(
+        one.join(kept, node_, "left_semi").select(*docs.columns)), size)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    return decontamination.without_benchmark(docs, table(spark, folder, "benchmark")).select(*docs.columns)
+    size, = docs.agg(_text_bytes()).first()
+    return _gathered(decontamination.without_benchmark(docs, table(spark, folder, "benchmark")).select(*docs.columns), size)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..storage import Scratch
+from ..storage import Scratch, files
 
 _MOST = 500_000
+_LINK = 16  # bytes
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,26 +55,31 @@ def _place(node: str) -> Column:
     return F.crc32(F.col(node).cast("string"))
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, component`` (the smallest node of the group) for all nodes of the links ``a, b`` (bigint).
+def components(links: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
+    """``node, component`` (the smallest node of the group) for all nodes of the links ``a, b`` (bigint), ``most`` of them if known.
 
     Each task first joins what its own links connect. Then every node moves to its first neighbour in a random order
-    (twice), which leaves about one node in three, whatever the shape of the graph, until no link is left.
+    (twice), which leaves about one node in three, whatever the shape of the graph, until no link is left. The number of
+    links left bounds all tables of a round, and so their files.
     """
-    edges = scratch.keep(links.select("a", "b").where("a <> b").distinct().mapInArrow(_forest, "a long, b long"), "edges")
+    whole = links.select("a", "b").where("a <> b").distinct()
+    whole = whole if most is None else whole.coalesce(files(most * _LINK))
+    edges = scratch.keep(whole.mapInArrow(_forest, "a long, b long"), "edges")
     moves: list[DataFrame] = []
-    while not edges.isEmpty():
+    nodes = 0
+    while left := edges.count():
+        nodes = nodes or 2 * left
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(F.struct(_place("b").alias("place"), F.col("b").alias("to"))).alias("m"))
         step = near.select(F.col("a").alias("node"), F.when(
             F.col("m") < F.struct(_place("a").alias("place"), F.col("a").alias("to")), F.col("m.to")).otherwise(F.col("a")).alias("to"))
         again = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        move = scratch.keep(step.join(again, "to").select("node", F.col("further").alias("to")), "moves")
+        move = scratch.keep(step.join(again, "to").select("node", F.col("further").alias("to")), "moves", size=2 * left * _LINK)
         moves.append(move)
         first = edges.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
         moved = first.join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y").select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        following = scratch.keep(moved.mapInArrow(_forest, "a long, b long"), "edges")
+        following = scratch.keep(moved.coalesce(files(left * _LINK)).mapInArrow(_forest, "a long, b long"), "edges")
         scratch.drop(edges)
         edges = following
     if not moves:
@@ -83,6 +89,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         total = total.join(move.select(F.col("node").alias("root"), "to"), "root", "left").select(
             "node", F.coalesce("to", "root").alias("root"))
     least = total.groupBy("root").agg(F.min("node").alias("component"))
-    labels = scratch.keep(total.join(least, "root").select("node", "component"), "labels")
+    labels = scratch.keep(total.join(least, "root").select("node", "component"), "labels", size=nodes * _LINK)
     scratch.drop(edges, *moves)
     return labels

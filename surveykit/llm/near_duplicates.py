@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..storage import Scratch
+from ..storage import Scratch, files
 from .components import components
 from .shingles import mixed, sets
 
@@ -178,7 +178,20 @@ def _block_links(percent: int):
     return run
 
 
-def _finished(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int, scratch: Scratch,
+@dataclass(frozen=True)
+class _Weight:
+    """How many members the buckets have, and the bytes of one, of a class and of all sets; they bound the tables' files."""
+
+    members: int
+    sets: int
+    member: int = 24
+
+    @staticmethod
+    def of_class(near: Near) -> int:
+        return 8 * (near.bands + 4)
+
+
+def _finished(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int, scratch: Scratch, weight: _Weight,
               cell: int = 1 << 20) -> DataFrame:
     """The groups, after comparing what buckets still hold in different groups; ``cell`` bounds a block's shingles."""
     known = labels.select(F.col("node").alias("rep"), "component")
@@ -186,25 +199,27 @@ def _finished(members: DataFrame, labels: DataFrame, full: DataFrame, percent: i
         "key", "rep", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                       F.count("*").alias("n")).where("lo <> hi and n > 2")
-    still = scratch.keep(placed.join(split.select("key", "lo"), "key"), "open")
-    if still.isEmpty():
+    still = scratch.keep(placed.join(split.select("key", "lo"), "key"), "open", size=weight.member * weight.members)
+    places = still.count()
+    if not places:
         return labels
-    areas = components(still.select(F.col("lo").alias("a"), F.col("component").alias("b")).where("a <> b"), scratch)
+    areas = components(still.select(F.col("lo").alias("a"), F.col("component").alias("b")).where("a <> b"), scratch, places)
     areas = areas.select(F.col("node").alias("component"), F.col("component").alias("area"))
     rows = scratch.keep(still.groupBy("rep", "component").agg(F.collect_list("key").alias("keys")).join(
-        areas, "component").join(full.select(F.col("id").alias("rep"), "shingles"), "rep"), "blocks")
+        areas, "component").join(full.select(F.col("id").alias("rep"), "shingles"), "rep"), "blocks", size=weight.sets + weight.member * places)
     blocks = rows.groupBy("area").agg(F.ceil(F.sum(F.size("shingles")) / cell).cast("int").alias("n_blocks"))
     dealt = rows.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn(
         "with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "area", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "component",
         "keys", "shingles").repartition("area", "i", "j")  # else all cells of an area would be in the task of their join
     extra = scratch.keep(dealt.groupBy("area", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "links")
-    if extra.isEmpty():
+    more = extra.count()
+    if not more:
         return labels
     of = known.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
     to = known.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
     joined = components(extra.join(of, "a", "left").join(to, "b", "left").select(
-        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch, more)
     nodes = labels.unionByName(extra.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
         labels, "node", "left_anti").select("node", F.col("node").alias("component")))
     return nodes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left"
@@ -237,24 +252,28 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc: str = "doc_id", t
             _describe(near), "doc_id long, n_shingles long, fa long, fb long, bands array<long>"), "described")
         same = ["n_shingles", "fa", "fb"]
         usable = described.where("n_shingles > 0 and doc_id is not null")
+        rows, shingles = described.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
         classes = scratch.keep(usable.groupBy(*same).agg(
-            F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
+            F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes", size=rows * _Weight.of_class(near))
 
         posted = classes.select("rep", F.explode("bands").alias("key"))
         shared = posted.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub <> far")
-        members = scratch.keep(posted.join(shared.select("key", "hub"), "key"), "members")
+        members = scratch.keep(posted.join(shared.select("key", "hub"), "key"), "members", size=rows * near.bands * _Weight.member)
+        weight = _Weight(members.count(), 8 * shingles)
         pairs = scratch.keep(members.where("rep <> hub").select(
-            F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+            F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs", size=weight.member * weight.members)
         needed = members.select(F.col("rep").alias("doc_id")).distinct()
-        full = scratch.keep(source.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+        full = scratch.keep(source.join(needed, "doc_id", "left_semi").select("doc_id", "text").coalesce(files(weight.sets)).mapInArrow(
             _full_sets(near), "id long, shingles array<long>"), "sets")
-        links = scratch.keep(_linked(pairs, full, near.percent).unionByName(_own_links(described, classes, same)), "links")
-        labels = components(links, scratch)
-        labels = _finished(members, labels, full, near.percent, scratch)
+        # a pair is compared on two sets
+        links = scratch.keep(_linked(pairs, full, near.percent).unionByName(_own_links(described, classes, same)), "links",
+                             size=2 * pairs.count() * (weight.sets // max(rows, 1)) + rows * weight.member)
+        labels = components(links, scratch, links.count())
+        labels = _finished(members, labels, full, near.percent, scratch, weight)
 
         joined = described.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").withColumn(
             "rep", F.coalesce("rep", "doc_id")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
         whole = F.coalesce("component", "rep")
         result = scratch.leave(scratch.keep(joined.select(
-            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), whole).alias("component_id")), "result"))
+            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), whole).alias("component_id")), "result", size=rows * weight.member))
     return result.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

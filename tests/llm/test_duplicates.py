@@ -129,6 +129,42 @@ def test_components(spark, links):
         assert {r["node"]: r["component"] for r in components(df, scratch).collect()} == roots(links, nodes)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    given = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    for k, v in given.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_go_to_few_files(many_partitions, monkeypatch):
+    spark, written, keep = many_partitions, [], Scratch.keep
+
+    def counted(self, df, name="table", *args, **more):
+        kept = keep(self, df, name, *args, **more)
+        written.append((name, len(kept.inputFiles())))
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    texts = {i: " ".join(f"w{i % 60}x{k}" for k in range(12)) + (" more" if i % 7 else "") for i in range(240)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in nd.near_duplicates(df).collect()}
+    assert got == expected(texts, 5)
+    assert {"classes", "members", "pairs", "sets", "links", "edges", "moves", "labels", "result"} <= {name for name, _ in written}
+    assert max(n for _, n in written) == 1
+
+
+def test_files_grow_with_the_rows(many_partitions):
+    spark = many_partitions
+    with Scratch(spark) as scratch:
+        rows = spark.range(1000).repartition(40, "id")
+        assert [len(scratch.keep(rows, size=size).inputFiles()) for size in (None, 0, 5 << 20, 1 << 40)] == [40, 1, 3, 40]
+        links = spark.range(1000).selectExpr("id a", "id + 1 b").repartition(40, "a")
+        assert components(links, scratch, 1000).where("component = 0").count() == 1001
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))

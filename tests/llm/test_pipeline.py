@@ -45,3 +45,19 @@ def test_near_dedup_by_text_where_ids_repeat_or_miss(spark):
     assert out == {(1, a, "s0"), (2, b, "s2"), (9, d, "s7"), (None, "", "s8"), (3, None, "s9"), (7, c, "s10"), (7, "y z", "s11"), (7, None, "s12")}
     plain = cp.near_dedup(spark, docs.where("doc_id in (1, 9, 3)"), FOLDER)
     assert plain.columns == docs.columns and plain.count() == 3
+
+
+def test_kept_documents_fill_few_partitions(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    given = {k: spark.conf.get(k) for k in names}
+    docs = spark.createDataFrame([(i, f"text number {i} of some words {i * i}", "en", "s", 1) for i in range(200)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(40)
+    try:
+        for k, v in zip(names, ("40", "false")):
+            spark.conf.set(k, v)
+        for stage in (cp.near_dedup, cp.benchmark_free):
+            kept = stage(spark, docs, FOLDER)
+            assert kept.rdd.getNumPartitions() == 1 and kept.count() == 200
+    finally:
+        for k, v in given.items():
+            spark.conf.set(k, v)
